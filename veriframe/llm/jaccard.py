@@ -4,9 +4,11 @@ A document is a row of the document by shingle incidence matrix. The product of
 its transpose counts the shingles that two documents share. Only a block of it can hold a link:
 with the shingles in one global order, frequent ones last, two documents of similarity t share
 one within the first ``n - ceil(t n) + 1`` of each. The product is taken over that block, grouped
-by shingle, its overlap counts are accumulated per pair, and pairs whose count cannot reach
-``ceil(t / (1 + t) (n_a + n_b))`` any more are discarded. The rest of the product is then
-computed for the pairs that stay, exactly.
+by shingle. A link needs ``need = ceil(t / (1 + t) (n_a + n_b))`` common shingles, so the first of
+them stands at place ``n - need`` or before in both, and the sets differ in ``n_a + n_b - 2 need``
+shingles at most, which the bits of their parities bound from below. Entries of the block that
+break a bound are discarded as they arise. The overlap counts of the pairs that stay are then
+accumulated over the whole of their rows, exactly.
 
 Copies and near copies never meet in pairs. Documents of equal sets are one row. Rows that share
 a minimum of a hash are held against the smallest of them first (as many pairs as rows), and the
@@ -32,6 +34,7 @@ BANDS = 6
 HEAVY_HERE, HEAVY = 3, 6  # documents of one chunk, and of all chunks, from which a shingle counts as frequent
 HEAVY_KEPT = 1 << 17  # frequent shingles that are ordered by their count; others by their hash alone
 BROADCAST_IDS = 1_000_000
+PARITY = 512  # the least number of parity bits, and those that travel with the entries of the block
 _C = mix64(np.arange(11, 11 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -63,32 +66,80 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def parities(x: np.ndarray) -> np.ndarray:
+    """Bits that say of which classes of shingles the set has an odd number; about two classes a shingle.
+
+    Equal shingles cancel out, so two sets differ in at least as many shingles as their parities
+    in bits. The number of classes is a power of two: halves of a longer one fold into a shorter.
+    """
+    size = max(PARITY, 1 << int(2 * len(x) - 1).bit_length())
+    return np.packbits((np.bincount((x >> np.uint64(16)).astype(np.int64) & (size - 1), minlength=size) & 1).astype(np.uint8))
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def needed(na: int, nb: int) -> int:
+    """The common shingles that a link of sets of these sizes needs."""
+    return -(-NUMER * (na + nb) // (NUMER + DENOM))
+
+
+def possible(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Those of the ``pairs`` (a, b) whose sizes and parities allow a link; facts: rep, n, odd."""
+    x, y = (facts.select(F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("odd").alias(f"o{k}")) for k in "ab")
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "oa", "ob")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            keep = []
+            for na, nb, p, q in zip(*(t.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                need = needed(na, nb)
+                u, v = np.frombuffer(p, np.uint8), np.frombuffer(q, np.uint8)
+                size = min(len(u), len(v))
+                keep.append(need <= min(na, nb) and int(np.bitwise_count(folded(u, size) ^ folded(v, size)).sum()) <= na + nb - 2 * need)
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([t.column(0).filter(mask), t.column(1).filter(mask)], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def prefix_length(n: int) -> int:
     return n - -(-NUMER * n // DENOM) + 1
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["kind", "doc_id", "n", "s1", "s2", "bands", "odd", "low"]
     seeds = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
     for b in chunks(batches):
         sets = shingle_sets(byte_texts(b))
         n = np.array([len(x) for x in sets], np.int32)
         one, two = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
         bands: list[list[int] | None] = []
+        odd: list[bytes | None] = []
+        low: list[list[int] | None] = []
         fresh: dict[tuple[int, int], np.ndarray] = {}
         for i, x in enumerate(sets):
             if not len(x):
                 bands.append(None)
+                odd.append(None)
+                low.append(None)
                 continue
             one[i], two[i] = x.sum(dtype=np.uint64), mix64(x ^ np.uint64(0x5555)).sum(dtype=np.uint64)
             fresh.setdefault((int(one[i]), int(two[i])), x)
             bands.append([int(mix64(x ^ s).min().view(np.int64)) for s in seeds])
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), b.column(0), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], names=["kind", "doc_id", "n", "s1", "s2", "bands"])
+            bits = parities(x)
+            odd.append(bits.tobytes())
+            low.append(folded(bits, PARITY // 8).view(np.int64).tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), np.int32)), b.column(0), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.binary()), pa.array(low, pa.list_(pa.int64()))], names=names)
         if fresh:
             h, c = np.unique(np.concatenate(list(fresh.values())), return_counts=True)
             h, c = h[c >= HEAVY_HERE], c[c >= HEAVY_HERE]
             if len(h):
                 none = pa.nulls(len(h), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), none, pa.array(c.astype(np.int32)), pa.array(h.view(np.int64)), none, pa.nulls(len(h), pa.list_(pa.int64()))], names=["kind", "doc_id", "n", "s1", "s2", "bands"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), none, pa.array(c.astype(np.int32)), pa.array(h.view(np.int64)), none, pa.nulls(len(h), pa.list_(pa.int64())), pa.nulls(len(h), pa.binary()), pa.nulls(len(h), pa.list_(pa.int64()))], names=names)
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -124,7 +175,7 @@ def verified(docs: DataFrame, pairs: DataFrame, broadcast_ids: int = BROADCAST_I
 
 def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows in order of ``h``, those whose ``h`` occurs more than once; holds one row back."""
-    names = ["h", "doc_id", "n"]
+    names = ["h", "doc_id", "i"]
     last: pa.RecordBatch | None = None  # the last row, if its h occurred once so far
     h_last: int | None = None
     for b in batches:
@@ -147,11 +198,11 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
     """(doc_id, n, rep) of every row, and (a, b) links between representatives whose components are those of all links."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    first = materialise(docs.mapInArrow(_signatures, "kind int, doc_id long, n int, s1 long, s2 long, bands array<long>"))
+    first = materialise(docs.mapInArrow(_signatures, "kind int, doc_id long, n int, s1 long, s2 long, bands array<long>, odd binary, low array<long>"))
     sig = first.filter("kind = 0")
     full = sig.filter("n > 0 and doc_id is not null")
     least = full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
-    known = materialise(full.join(least, ["s1", "s2", "n"]).select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")))
+    known = materialise(full.join(least, ["s1", "s2", "n"]).select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"), F.when(F.col("doc_id") == F.col("rep"), F.col("odd")).alias("odd"), F.when(F.col("doc_id") == F.col("rep"), F.col("low")).alias("low")))
     reps = known.filter("doc_id = rep").dropDuplicates(["rep"])
 
     # One pair for each row and band: with the smallest row of its group.
@@ -159,7 +210,8 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
     pivot = banded.groupBy("k", "key").agg(F.min(F.struct("rep", "n")).alias("p"), F.count("*").alias("size")).filter("size > 1")
     star = banded.join(pivot, ["k", "key"]).filter("rep <> p.rep").select(F.col("p.rep").alias("a"), F.col("rep").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
     star = star.filter(DENOM * F.least("na", "nb") >= NUMER * F.greatest("na", "nb")).select("a", "b").distinct()
-    near = materialise(verified(docs, star, broadcast_ids))
+    facts = reps.select("rep", "n", "odd")
+    near = materialise(verified(docs, possible(star, facts), broadcast_ids))
     label = connected(near).select(F.col("node").alias("rep"), "label")
 
     # The block of the product that can hold other links.
@@ -184,23 +236,27 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
                         y = x[np.argsort(cls, kind="stable")]
                 hs.append(y[:p])
                 ds.append(np.full(p, i, np.int64))
-                ns.append(np.full(p, len(x), np.int32))
+                ns.append(np.arange(p, dtype=np.int32))
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ds)), pa.array(np.concatenate(ns))], names=["h", "doc_id", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(ds)), pa.array(np.concatenate(ns))], names=["h", "doc_id", "i"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    block = docs.mapInArrow(prefixes, "h long, doc_id long, n int").repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_shared_only, "h long, doc_id long, n int")
+    block = docs.mapInArrow(prefixes, "h long, doc_id long, i int").repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_shared_only, "h long, doc_id long, i int")
     named = known.select("doc_id", "rep").join(label, "rep", "left").select("doc_id", "rep", F.coalesce("label", "rep").alias("comp")).dropDuplicates(["doc_id"])
-    post = materialise(block.join(named, "doc_id").select("h", "rep", "n", "comp").distinct())
+    post = materialise(block.join(named, "doc_id").groupBy("h", "rep", "comp").agg(F.min("i").alias("i")))
     mixed = post.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("h")
-    post = materialise(post.join(mixed, "h", "left_semi"))
+    slim = reps.select("rep", "n", *[F.get("low", F.lit(k)).alias(f"o{k}") for k in range(PARITY // 64)])
+    post = materialise(post.join(mixed, "h", "left_semi").join(slim, "rep"))
     x, y = post.alias("x"), post.alias("y")
-    met = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.comp") < F.col("y.comp")) & (DENOM * F.least("x.n", "y.n") >= NUMER * F.greatest("x.n", "y.n")))
-    met = met.groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).agg(F.count("*").alias("c"))
-    rest = lambda n: F.floor(F.lit(NUMER) * F.col(n) / DENOM)  # noqa: E731  at most so many beyond the block, from n - prefix_length(n)
-    need = F.ceil(F.lit(float(NUMER)) * (F.col("na") + F.col("nb")) / (NUMER + DENOM) - 1e-9)
-    met = met.filter(F.col("c") + F.greatest(rest("na"), rest("nb")) >= need).select("a", "b")
-    far = verified(docs, met, broadcast_ids)
+    # The common shingles that a link needs, the place at which the first of them stands, and what the parities allow.
+    need = F.ceil(F.lit(float(NUMER)) * (F.col("x.n") + F.col("y.n")) / (NUMER + DENOM) - 1e-9)
+    differ = sum((F.bit_count(F.col(f"x.o{k}").bitwiseXOR(F.col(f"y.o{k}"))) for k in range(1, PARITY // 64)), F.bit_count(F.col("x.o0").bitwiseXOR(F.col("y.o0"))))
+    met = x.join(
+        y,
+        (F.col("x.h") == F.col("y.h")) & (F.col("x.comp") < F.col("y.comp")) & (F.col("x.i") <= F.col("x.n") - need) & (F.col("y.i") <= F.col("y.n") - need) & (differ <= F.col("x.n") + F.col("y.n") - 2 * need),
+    )
+    met = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    far = verified(docs, possible(met, facts), broadcast_ids)
     return sig.select("doc_id", "n").join(named.select("doc_id", "rep"), "doc_id", "left"), near.select("a", "b").unionByName(far)
 
 
