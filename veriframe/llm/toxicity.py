@@ -32,6 +32,7 @@ WINDOW = 24
 DICTIONARY = 1 << 14
 WINDOWS_KEPT = 400_000
 LEAST_BYTES = 4  # over the least possible length, that a window must cost to count
+RATIO = 8.0  # times as frequent in toxic documents as in ordinary ones, at least
 SURPRISE = 13.0  # nats, by which a window's split between toxic and ordinary documents must differ from chance
 SCHEMA = "doc_id long, score double, predicted int, windows int, toxic_windows int, most_excess int"
 
@@ -52,8 +53,9 @@ def windows(text: bytes) -> list[bytes]:
 
 
 def doubled(window: bytes) -> bytes:
-    """Each byte twice: a match costs as much as before and saves twice as many literals, so short windows tell more."""
-    return np.repeat(np.frombuffer(window, np.uint8), 2).tobytes()
+    """The window's length as a mark, then each byte twice: a match costs as much as before and saves twice as many
+    literals, so short windows tell more; the mark tells a word from the end of a longer one."""
+    return bytes([128 + len(window)]) * 4 + np.repeat(np.frombuffer(window, np.uint8), 2).tobytes()
 
 
 class Model:
@@ -68,8 +70,8 @@ class Model:
         p = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_BTULTRA2, min_match=3, window_log=15, hash_log=14, chain_log=14, search_log=4, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
         kinds = zstandard.DICT_TYPE_RAWCONTENT, zstandard.DICT_TYPE_AUTO
         self.toxic, self.ordinary = (zstandard.ZstdCompressor(compression_params=p, dict_data=zstandard.ZstdCompressionDict(d, dict_type=k)) for d, k in zip(self.raw, kinds, strict=True))
-        # The least that any window costs: one that the toxic dictionary holds as it stands, less one byte.
-        self.base = min(len(self.toxic.compress(self.raw[0][-2 * k :])) for k in (4, 6, 8, 12)) - 1
+        # The least that any window costs: a stretch that the toxic dictionary holds as it stands, less one byte.
+        self.base = min(len(self.toxic.compress(self.raw[0][-k:])) for k in (8, 12, 16, 24)) - 1
         self.seen: dict[bytes, int] = {}
 
     def __getstate__(self):
@@ -151,24 +153,25 @@ def fit(rows: list[tuple[int, bytes]], seed: int = 3) -> Model | None:
         for y, w in _unlike(learn):
             inside[y].update(w)
             n[y] += 1
-        odd = {w: c for w, c in inside[1].items() if c >= 3 and _surprise(c, inside[0][w], n[1] / (n[0] + n[1])) >= SURPRISE}
-        return Model(_toxic(odd), _ordinary([doubled(b"".join(windows(t))) for y, t in learn if y == 0]))
+        odd = {w: c for w, c in inside[1].items() if c >= 3 and c * n[0] >= RATIO * n[1] * inside[0][w] and _surprise(c, inside[0][w], n[1] / (n[0] + n[1])) >= SURPRISE}
+        return Model(_toxic(odd), _ordinary([b"".join(map(doubled, windows(t))) for y, t in learn if y == 0]))
 
     model = train(learn)
     found = [(y, model.excesses(t)) for y, t in held]
     n1 = sum(y for y, _ in held)
     n0 = len(held) - n1
-    best = None
+    gains = {}
     for threshold in range(20, 101, 5):
         hits = [(y, sum(e >= threshold for e in x)) for y, x in found]
         for least in (1, 2, 3):
             tp = sum(h >= least for y, h in hits if y)
             fp = sum(h >= least for y, h in hits if not y)
-            gain = tp / n1 - 6 * fp / n0
-            if best is None or gain > best[0]:
-                best = gain, threshold, least
+            gains[threshold, least] = tp / n1 - 6 * fp / n0
+    # Of the settings within a hundredth of the best, the middle threshold of the least demanding number of windows.
+    near = sorted((least, threshold) for (threshold, least), g in gains.items() if g >= max(gains.values()) - 0.01)
+    first = [t for n, t in near if n == near[0][0]]
     model = train(rows)
-    _, model.threshold, model.least = best
+    model.threshold, model.least = first[len(first) // 2], near[0][0]
     model.slope = 2.0
     return model
 
