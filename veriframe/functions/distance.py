@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from veriframe.functions import align, text
 
@@ -27,7 +28,7 @@ def upper_bound(claim: Column, read: Column) -> Column:
 
 
 def _exact(cc: int):
-    @pandas_udf("int")
+    @pandas_udf(IntegerType())
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
             yield pd.Series([None if x is None else align.half_edits(x, y, cc) for x, y in zip(a, b, strict=True)], dtype="Int32")
@@ -70,13 +71,13 @@ def infix(claim: Column, read: Column, cc: int = 1) -> Column:
     return F.when(at > 0, hit).otherwise(missed)
 
 
-@pandas_udf("struct<agreement:double,coverage:double>")
+@pandas_udf(StructType([StructField("agreement", DoubleType()), StructField("coverage", DoubleType())]))
 def agreement(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for a, b in batches:
         yield pd.DataFrame([align.agreement(x or "", y or "") for x, y in zip(a, b, strict=True)], columns=["agreement", "coverage"])
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def prefix_distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
         yield pd.Series([align.prefix_distance(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -66,7 +66,7 @@ def class_fold(norm: str | Column) -> Column:
 def histogram(norm: str | Column) -> Column:
     """Counts of the confusable classes, in the order of ``CLASSES``."""
     x = class_fold(norm)
-    return F.array(*[F.length(x) - F.length(F.replace(x, F.lit(c), F.lit(""))) for c in CLASSES])
+    return F.transform(F.array(*[F.lit(c) for c in CLASSES]), lambda c: F.length(x) - F.length(F.replace(x, c, F.lit(""))))
 
 
 def deficit(claim: Column, read: Column) -> Column:

@@ -111,19 +111,40 @@ def why_not_verifiable(beverage: Column, filed: Column) -> Column:
 def candidates(filed: DataFrame) -> DataFrame:
     """One row for each accepted spelling: label, claim, cand_idx, text, norm, value, name, claimed, form, num.
 
-    Spellings of one normalized text are one, the first. A numeric field is expanded once for each
-    distinct vocabulary and joined to its claims, whose filed value says which spellings are claimed.
+    Spellings of one normalized text are one, the first. Of a numeric field these are the spellings
+    of values within the tolerance of the filed one; ``other_values`` finds the others by figure.
     """
     text = filed.filter("numeric is null").select("label", "claim", "expected", F.posexplode("texts").alias("cand_idx", "text"))
     text = text.withColumn("norm", T.normalize("text")).filter("norm <> ''")
     first = F.row_number().over(Window.partitionBy("label", "claim", "norm").orderBy("cand_idx"))
     text = text.withColumn("k", first).filter("k = 1").select("label", "claim", "cand_idx", "text", "norm", F.lit(0.0).alias("value"), F.col("expected").alias("name"), F.lit(True).alias("claimed"), F.lit(-1).alias("form"), F.lit("").alias("num"))
 
-    numeric = filed.filter("numeric is not null").withColumn("vocabulary", F.sha2(F.to_json(F.struct("numeric.formats", "numeric.valid")), 256))
-    words = vocabulary(numeric.select("vocabulary", "numeric.formats", "numeric.valid").dropDuplicates(["vocabulary"]))
-    joined = numeric.select("label", "claim", F.col("expected").cast("double").alias("want"), "numeric.tolerance", "vocabulary").join(words, "vocabulary")
-    number = joined.select("label", "claim", "cand_idx", "text", "norm", "value", "name", (F.abs(F.col("value") - F.col("want")) <= F.col("tolerance")).alias("claimed"), "form", "num")
-    return text.unionByName(number)
+    specs, words = _numeric(filed)
+    # Values within the tolerance, by an equi-join on stretches of twice the tolerance.
+    stretch = lambda v: F.floor(v / (2 * F.col("tolerance")))
+    around = F.array_distinct(F.array(stretch(F.col("want") - F.col("tolerance")), stretch(F.col("want") + F.col("tolerance"))))
+    near = specs.withColumn("at", F.explode(around)).join(words.withColumn("at", stretch(F.col("value"))).drop("tolerance"), ["vocabulary", "at"])
+    number = near.filter(F.abs(F.col("value") - F.col("want")) <= F.col("tolerance"))
+    return text.unionByName(number.select("label", "claim", "cand_idx", "text", "norm", "value", "name", F.lit(True).alias("claimed"), "form", "num"))
+
+
+def _numeric(filed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The numeric claims with the key of their vocabulary, and the spellings of each distinct vocabulary."""
+    numeric = filed.filter("numeric is not null").withColumn("vocabulary", F.sha2(F.to_json("numeric"), 256))
+    one = numeric.select("vocabulary", "numeric.formats", "numeric.valid", "numeric.tolerance").dropDuplicates(["vocabulary"])
+    words = vocabulary(one).join(one.select("vocabulary", "tolerance"), "vocabulary")
+    return numeric.select("label", "claim", F.col("expected").cast("double").alias("want"), "numeric.tolerance", "vocabulary"), words
+
+
+def other_values(filed: DataFrame, figures: DataFrame) -> DataFrame:
+    """Spellings of values that are not claimed, where a reading of the label holds the very figure.
+
+    ``figures`` has columns label and num, and any others, which are kept. A vocabulary of
+    thousands of spellings is thus never expanded for each label.
+    """
+    specs, words = _numeric(filed)
+    found = figures.join(specs, "label").join(words.drop("tolerance"), ["vocabulary", "num"])
+    return found.filter(F.abs(F.col("value") - F.col("want")) > F.col("tolerance")).withColumn("claimed", F.lit(False)).drop("vocabulary", "want", "tolerance")
 
 
 def vocabulary(specs: DataFrame, key: str = "vocabulary") -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql.functions import pandas_udf
 from veriframe.config import DEFAULT, Options
 from veriframe.functions import align
 from veriframe.functions import text as T
+from veriframe.operators import claims as C
 
 SPAN = "struct<cost:int,start:int,stop:int>"
 
@@ -77,16 +78,21 @@ def matches(claims: DataFrame, candidates: DataFrame, runs: DataFrame, options:
     """Rows (label, claim, spelling, reading) within the widest radius, with cost, distance, stretch and the three roles."""
     cc = options.half_cost
     filed = claims.select("label", "claim", radius_of(claims, options).alias("radius"))
-    cands = candidates.join(filed, ["label", "claim"]).withColumn("chist", T.histogram("norm")).withColumnRenamed("norm", "cnorm").withColumnRenamed("text", "ctext")
     reach = F.greatest(F.col("radius") + options.tie_margin, 2 * F.col("radius"))
-    cands = cands.withColumn("reach", reach).withColumn("cbudget", F.floor(F.col("reach") * 2 * F.length("cnorm") + 1e-9).cast("int"))
-    read = runs.select("label", "path", "box", "text", "norm", "confidence", "parts", "widest", "nums", "hist")
-    near = (F.length("norm") >= F.length("cnorm") * (1 - F.col("reach"))) & ~T.beyond(F.col("chist"), F.col("hist"), F.col("cbudget"))
-    # A value that is not claimed must be read exactly: an equi-join on the figure.
-    own = cands.filter("claimed or num = ''").join(read, "label").filter(near)
+    read = runs.select("label", "path", "box", F.col("text").alias("rtext"), F.col("norm").alias("rnorm"), "confidence", "parts", "widest", "nums", "hist")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        out = pairs.withColumn("reach", reach).withColumn("cbudget", F.floor(F.col("reach") * 2 * F.length("norm") + 1e-9).cast("int"))
+        out = out.filter(F.length("rnorm") >= F.length("norm") * (1 - F.col("reach")))
+        out = out.filter(~T.beyond(F.col("chist"), F.col("hist"), F.col("cbudget")))
+        return out.select("label", "claim", "cand_idx", F.col("text").alias("ctext"), F.col("norm").alias("cnorm"), "name", "claimed", "form", "num", "radius", "reach", "cbudget", "path", "box", F.col("rtext").alias("text"), F.col("rnorm").alias("norm"), "confidence", "parts", "widest", "nums")
+
+    # Spellings of the filed value meet all readings of the label; another value must be read
+    # exactly, so it is found by an equi-join on the figure.
+    own = near(candidates.filter("claimed or num = ''").withColumn("chist", T.histogram("norm")).join(filed, ["label", "claim"]).join(read, "label"))
     figures = read.select("*", F.explode(F.array_distinct("nums")).alias("num"))
-    other = cands.filter("not claimed and num <> ''").join(figures, ["label", "num"]).filter(near)
-    pairs = own.unionByName(other.select(own.columns))
+    other = C.other_values(claims, figures).withColumn("chist", T.histogram("norm")).join(filed, ["label", "claim"])
+    pairs = own.unionByName(near(other))
     m = matcher(cc)(F.col("cnorm"), F.col("form"), F.col("text"), F.col("norm"), F.col("parts"), F.col("widest"), F.col("cbudget"))
     pairs = pairs.withColumn("m", m).withColumn("dist", F.col("m.cost") / (2.0 * F.length("cnorm"))).filter(F.col("dist") <= F.col("reach"))
     holds = (F.col("num") == "") | F.array_contains("nums", F.col("num"))

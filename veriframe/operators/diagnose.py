@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from veriframe.functions import align
@@ -17,7 +18,7 @@ from veriframe.operators import geometry
 BLOCK_GATE, LEAST_BLOCK = 0.25, 8
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def infix_share(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
         yield pd.Series([align.infix_distance(x, y, 2) if x else 1.0 for x, y in zip(a, b, strict=True)], dtype="float64")
