@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2_000_000
+BATCH_BYTES = 4 << 20
 
 
 def fold(doc_id: str | Column, parts: int) -> Column:
@@ -20,6 +21,14 @@ def fold(doc_id: str | Column, parts: int) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % F.lit(parts), F.lit(0))
 
 
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Bounds the bytes of an Arrow batch, which both the JVM and the Python worker hold as a whole."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = "".join(filter(str.isdigit, spark.conf.get(key)))
+    if not now or int(now) > most:
+        spark.conf.set(key, str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or one under the warehouse where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import LOWER, byte_texts, chunks, joined, mix64, word_hashes
+from veriframe.llm.common import LOWER, byte_texts, chunks, joined, mix64, small_batches, word_hashes
 
 EDITS = 0.25  # of an item's words, rounded down
 REPEATS = 6
@@ -182,6 +182,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     of a document give rows of their own; equal items with different ids are both found.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
     for part in _batches(items, item_id, item_text):
@@ -203,6 +204,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that hold no item."""
     spark = docs.sparkSession
+    small_batches(spark)
     for part in _batches(items, item_id, item_text):
         shared = spark.sparkContext.broadcast(part)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import joined, mix64
+from veriframe.llm.common import joined, mix64, small_batches
 
 WINDOW = 32
 RADIUS = 16
@@ -150,6 +150,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     come first; an empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import chunks
+from veriframe.llm.common import chunks, small_batches
 
 SCHEMA = "page_id long, url string, text string, blocks int, kept int"
 
@@ -278,6 +278,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     repeated rows repeat; pages of any length are read whole; an empty table gives no rows.
     """
 
+    small_batches(pages.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "html"):
             rows = [main_text(p) if p else ("", 0, 0) for p in b.column(2).to_pylist()]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import LOWER, byte_texts, chunks, joined, materialise, mix64, word_hashes
+from veriframe.llm.common import LOWER, byte_texts, chunks, joined, materialise, mix64, small_batches, word_hashes
 from veriframe.llm.components import connected
 
 SHINGLE = 5
@@ -197,6 +197,7 @@ def _shared_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, rep) of every row, and (a, b) links between representatives whose components are those of all links."""
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     first = materialise(docs.mapInArrow(_signatures, "kind int, doc_id long, n int, s1 long, s2 long, bands array<long>, odd binary, low array<long>"))
     sig = first.filter("kind = 0")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import byte_texts, chunks, joined
+from veriframe.llm.common import byte_texts, chunks, joined, small_batches
 
 BITS = 16
 SAMPLE = 500  # documents of each language, at most about
@@ -105,6 +105,7 @@ def identify(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: s
     With ``keep``, returns instead the rows of ``docs``, all columns, whose language is known with that score.
     """
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     usable = train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= LONGEST)
     counts = {r[0]: r[1] for r in docs.filter(usable).groupBy(F.col(lang_col)).agg(F.count("*")).limit(MOST_LANGUAGES + 1).collect()}
     if len(counts) > MOST_LANGUAGES:

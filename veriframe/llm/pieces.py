@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import byte_texts, chunks
+from veriframe.llm.common import byte_texts, chunks, small_batches
 
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 SPACE = "▁"
 NONE = np.int32(1 << 30)
-WORDS_KEPT = 300_000
+WORDS_KEPT = 120_000
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 
 
@@ -241,6 +241,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
     executors need no local file. Null and empty texts give begin and end only; repeated rows give
     repeated results; a text of any length is encoded whole; an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
 

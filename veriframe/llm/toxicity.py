@@ -23,14 +23,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import byte_texts, chunks, mix64
+from veriframe.llm.common import byte_texts, chunks, mix64, small_batches
 from veriframe.llm.samples import labelled
 
 SAMPLE = 4000  # documents of each label, at most about
 LONGEST = 20_000
 WINDOW = 24
 DICTIONARY = 1 << 14
-WINDOWS_KEPT = 400_000
+WINDOWS_KEPT = 150_000
 LEAST_BYTES = 4  # over the least possible length, that a window must cost to count
 RATIO = 8.0  # times as frequent in toxic documents as in ordinary ones, at least
 SURPRISE = 13.0  # nats, by which a window's split between toxic and ordinary documents must differ from chance
@@ -184,6 +184,7 @@ def score(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "t
     without a toxic window; without both labels all documents do. Repeated rows repeat.
     With ``keep``, returns instead the rows of ``docs``, all columns, that are not predicted toxic.
     """
+    small_batches(docs.sparkSession)
     rows, _ = labelled(docs, labels, train, label_col, SAMPLE, LONGEST, id_col, text_col)
     model = docs.sparkSession.sparkContext.broadcast(fit(rows))
 
