@@ -129,6 +129,15 @@ def covered(box: tuple, others: list[tuple]) -> bool:
     return any(2 * max(0, min(x1, b[2]) - max(x0, b[0])) * max(0, min(y1, b[3]) - max(y0, b[1])) > area for b in others)
 
 
+def covered_by_any(boxes: DataFrame, others: DataFrame) -> DataFrame:
+    """(label, det_idx, covered): whether any box of ``others`` on the label covers more than half of the box."""
+    slim = others.select("label", F.struct("x0", "y0", "x1", "y1").alias("o")).groupBy("label").agg(F.collect_list("o").alias("others"))
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    both = lambda o: F.greatest(F.least("x1", o["x1"]) - F.greatest("x0", o["x0"]), F.lit(0)) * F.greatest(F.least("y1", o["y1"]) - F.greatest("y0", o["y0"]), F.lit(0))
+    hit = F.exists(F.coalesce("others", F.array().cast("array<struct<x0:int,y0:int,x1:int,y1:int>>")), lambda o: 2 * both(o) > area)
+    return boxes.join(slim, "label", "left").select("label", "det_idx", ((area <= 0) | hit).alias("covered"))
+
+
 def uncovered(turned: DataFrame, upright: DataFrame) -> DataFrame:
     """Turned boxes that neither an upright box nor an earlier accepted turned box covers, in order of ``det_idx``."""
     schema = turned.schema
