@@ -202,8 +202,11 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
     first = materialise(docs.mapInArrow(_signatures, "kind int, doc_id long, n int, s1 long, s2 long, bands array<long>, odd binary, low array<long>"))
     sig = first.filter("kind = 0")
     full = sig.filter("n > 0 and doc_id is not null")
-    least = full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
-    known = materialise(full.join(least, ["s1", "s2", "n"]).select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"), F.when(F.col("doc_id") == F.col("rep"), F.col("odd")).alias("odd"), F.when(F.col("doc_id") == F.col("rep"), F.col("low")).alias("low")))
+    # Copies: only sets that occur again need their smallest row; a large group then meets one row, which a join may split.
+    again = materialise(full.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c"))
+    named = full.join(again, ["s1", "s2", "n"], "left").withColumn("rep", F.coalesce("first", "doc_id"))
+    own = F.col("doc_id") == F.col("rep")
+    known = materialise(named.select("doc_id", "n", "rep", *[F.when(own, F.col(c)).alias(c) for c in ("bands", "odd", "low")]))
     reps = known.filter("doc_id = rep").dropDuplicates(["rep"])
 
     # One pair for each row and band: with the smallest row of its group.
