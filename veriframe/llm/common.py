@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -11,8 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2_000_000
-BATCH_BYTES = 4 << 20
+CHUNK_BYTES = 1_000_000
+BATCH_BYTES = 2 << 20
 
 
 def fold(doc_id: str | Column, parts: int) -> Column:
@@ -29,6 +31,26 @@ def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
         spark.conf.set(key, str(most))
 
 
+class Recent(dict):
+    """A table of at most about twice ``most`` entries: the entries of the generation before stay until the next one is full, and those in use move on."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is not None:
+            self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or one under the warehouse where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
@@ -47,6 +69,13 @@ def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     return spark.read.schema(schema).parquet(path)
 
 
+def release() -> None:
+    """Gives freed memory back at the end of a task: the worker waits for the next one, beside a JVM that needs it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches that hold about ``limit`` bytes of ``column``; a single longer text is its own slice."""
     for batch in batches:
@@ -62,6 +91,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             hi = max(lo + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+    release()
 
 
 def byte_texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

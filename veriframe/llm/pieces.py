@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import byte_texts, chunks, small_batches
+from veriframe.llm.common import Recent, byte_texts, chunks, small_batches
 
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 SPACE = "▁"
 NONE = np.int32(1 << 30)
-WORDS_KEPT = 120_000
+WORDS_KEPT = 50_000  # in each of two generations
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 
 
@@ -105,7 +105,7 @@ class Pieces:
         self.pair_keys, self.pair_ids = self._table({a * 65536 + b: i for (a, b), i in pairs.items()})
         known = {ord(c) for pair in adjacent for c in pair}
         self.adj_keys, _ = self._table({ord(a) * 0x110000 + ord(b): 1 for a, b in adjacent if ord(a) in known})
-        self.words: dict[bytes, tuple[bytes, bytes, int]] = {}
+        self.words = Recent(WORDS_KEPT)
 
     @staticmethod
     def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -210,21 +210,18 @@ class Pieces:
             w = re.findall(rb" +[^ ]*", b" " + t) if t else []
             split.append(w)
             new.update(w)
-        fresh = [w for w in new if w not in self.words]
         table = self.words
+        known = {w: table[w] for w in new}
+        fresh = [w for w, x in known.items() if x is None]
         if fresh:
-            if len(table) + len(fresh) > WORDS_KEPT:
-                table.clear()
-                fresh = list(new)
-            got = self.learn(fresh)
-            table.update(x for x in got.items() if len(x[0]) <= 64)
-            long = {w: x for w, x in got.items() if len(w) > 64}
-        else:
-            long = {}
+            for w, x in self.learn(fresh).items():
+                known[w] = x
+                if len(w) <= 64:
+                    table.keep(w, x)
         begin, end = struct.pack("<I", self.bos), struct.pack("<I", self.eos)
         rows = []
         for w in split:
-            got = [table.get(x) or long[x] for x in w]
+            got = [known[x] for x in w]
             ids = b"".join([x[0] for x in got])
             text = b"".join([x[1] for x in got])
             rows.append((2 + len(ids) // 4, begin + ids + end, text[1:] if text[:1] == b" " else text))
@@ -249,7 +246,7 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
         pieces = _MODELS.get(model_path)
         if pieces is None:
             pieces = _MODELS[model_path] = Pieces(model.value)
-        for b in chunks(batches, limit=2 << 20):
+        for b in chunks(batches, limit=1 << 20):
             rows = pieces.encode(byte_texts(b))
             n, ids, text = zip(*rows, strict=True)
             decoded = pa.array(text, pa.binary()).cast(pa.string())

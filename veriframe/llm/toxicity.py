@@ -23,14 +23,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import byte_texts, chunks, mix64, small_batches
+from veriframe.llm.common import Recent, byte_texts, chunks, mix64, small_batches
 from veriframe.llm.samples import labelled
 
 SAMPLE = 4000  # documents of each label, at most about
 LONGEST = 20_000
 WINDOW = 24
 DICTIONARY = 1 << 14
-WINDOWS_KEPT = 150_000
+WINDOWS_KEPT = 60_000  # in each of two generations
 LEAST_BYTES = 4  # over the least possible length, that a window must cost to count
 RATIO = 8.0  # times as frequent in toxic documents as in ordinary ones, at least
 SURPRISE = 13.0  # nats, by which a window's split between toxic and ordinary documents must differ from chance
@@ -72,7 +72,7 @@ class Model:
         self.toxic, self.ordinary = (zstandard.ZstdCompressor(compression_params=p, dict_data=zstandard.ZstdCompressionDict(d, dict_type=k)) for d, k in zip(self.raw, kinds, strict=True))
         # The least that any window costs: a stretch that the toxic dictionary holds as it stands, less one byte.
         self.base = min(len(self.toxic.compress(self.raw[0][-k:])) for k in (8, 12, 16, 24)) - 1
-        self.seen: dict[bytes, int] = {}
+        self.seen = Recent(WINDOWS_KEPT)
 
     def __getstate__(self):
         return self.raw, self.threshold, self.least, self.slope
@@ -85,13 +85,12 @@ class Model:
         seen = self.seen
         out = []
         for w in windows(text):
-            x = seen.get(w)
+            x = seen[w]
             if x is None:
-                if len(seen) >= WINDOWS_KEPT:
-                    seen.clear()
                 d = doubled(w)
                 plain = len(self.ordinary.compress(d)) - self.base
-                x = seen[w] = 100 * (plain - len(self.toxic.compress(d)) + self.base) // plain if plain >= LEAST_BYTES else 0
+                x = 100 * (plain - len(self.toxic.compress(d)) + self.base) // plain if plain >= LEAST_BYTES else 0
+                seen.keep(w, x)
             out.append(x)
         return out
 
