@@ -327,6 +327,40 @@ def test_decontamination_finds_items_exact_and_edited(spark, small, odd, empty):
     assert decontamination.matches(docs, bench.limit(0)).count() == 0 and decontamination.clean(odd, bench).count() == odd.count()
 
 
+def edited(rng, words, edits):
+    v = list(words)
+    for e in range(edits):
+        k = rng.randrange(len(v))
+        if rng.random() < 0.5 and len(v) > 1:
+            del v[k]
+        else:
+            v[k] = f"edit{e}x{rng.randrange(10**6)}"
+    return v
+
+
+def assert_as_brute_force(lengths, vocabulary, seed, copies=10):
+    """Items of each length with 0, a fifth and a quarter of their words edited, against the best match with each whole document."""
+    rng = random.Random(seed)
+    some = lambda n: [f"w{rng.randrange(vocabulary)}" for _ in range(n)]
+    items = [some(m) for m in lengths for _ in range(copies)]
+    texts = [" ".join(some(rng.randrange(40)) + edited(rng, w, e) + some(rng.randrange(40))).encode() for w in items for e in (0, len(w) // 5, len(w) // 4)]
+    got = {(d, i): (distance, last) for d, i, distance, _, last in decontamination.Items([(k, " ".join(w)) for k, w in enumerate(items)]).search(texts)}
+    patterns, want = [decontamination.words_of([" ".join(w).encode()])[0].tolist() for w in items], {}
+    for d, t in enumerate(texts):
+        h, _, ends, _, _ = decontamination.words_of([t])
+        for i, p in enumerate(patterns):
+            distance, end = decontamination.best_match(p, h.tolist())
+            if distance <= len(p) // 4:
+                want[d, i] = (distance, int(ends[end - 1]))
+    assert got == want and {(3 * i + e, i) for i in range(len(items)) for e in range(3)} <= set(got)
+
+
+@pytest.mark.parametrize("vocabulary", [50, 20_000])
+@pytest.mark.parametrize("length", [12, 16, 23, 24, 28, 32, 40, 70])
+def test_decontamination_finds_all_edits_within_the_limit(length, vocabulary):
+    assert_as_brute_force([length], vocabulary, seed=length)
+
+
 def test_best_match_is_an_edit_distance():
     rng = random.Random(3)
 

@@ -1,12 +1,10 @@
-"""Benchmark decontamination by embedded edit distance.
-
-A window of words is embedded by the CGK random walk: step j emits the word under the pointer and
-moves the pointer on if a random bit of (j, word) says so. Two windows that differ by few edits
-fall back into step, so their embeddings differ in few places. Each of ``REPEATS`` tables samples
-``SAMPLED`` places of the embedding; equal samples make a candidate. The windows have the size of
-the shortest items of their class; a longer item is covered by all its windows, so windows of a
-document need only be taken every few words, and any of them may hit. A candidate is verified by
-the exact edit distance of the whole item to the best stretch of the document's words.
+"""Benchmark decontamination by edit distance over words.
+
+An item of m words may be met with k = m * ``EDITS`` edits, rounded down. Cut into k + 1 pieces (of
+one to four words), it keeps at least one piece word for word, moved by at most k places. So
+every place of a document is looked up in the table of pieces, and no match is lost, whatever the
+item's length. A stretch that holds a piece but lacks more than k of the item's words is dropped;
+the others are verified by the exact edit distance of the whole item to the best stretch.
 """
 
 from __future__ import annotations
@@ -21,11 +19,11 @@ from pyspark.sql import functions as F
 from veriframe.llm.common import LOWER, byte_texts, chunks, joined, mix64, small_batches, word_hashes
 
 EDITS = 0.25  # of an item's words, rounded down
-REPEATS = 6
-SAMPLED = 4
-SIZES = (16, 8)  # window sizes; an item of at least 1.5 times as many words belongs to a class
 ITEMS_AT_ONCE = 20_000  # items that are broadcast together, about 50 MB at most
 LONGEST_ITEM = 100_000  # code points; longer items raise an error instead of a broadcast without bound
+LOOKED_UP_AT_ONCE = 1 << 18  # places with pieces of items, so that a very common piece takes bounded memory
+LONG = 2048  # words of an item whose bit masks are built when a text needs them
+MASKS_MB = 64
 SCHEMA = "doc_id long, item_id long, distance int, item_words int, first_byte long, last_byte long"
 
 _FOLD = LOWER.copy()
@@ -41,36 +39,42 @@ def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return h, starts, ends, np.searchsorted(starts, off), off
 
 
-def walk(h: np.ndarray, at: np.ndarray, steps: int) -> np.ndarray:
-    """The words emitted at each step by walks that start at ``at``; h ends in a padding word."""
-    out = np.empty((steps, len(at)), np.uint64)
-    pos, last = at.copy(), len(h) - 1
-    odd = mix64(np.arange(101, 101 + steps, dtype=np.uint64)) | np.uint64(1)
-    for j in range(steps):
-        w = h[pos]
-        out[j] = w
-        pos += ((w * odd[j]) >> np.uint64(63)).astype(pos.dtype)
-        np.minimum(pos, last, out=pos)
-    return out
-
-
-def keys(emitted: np.ndarray, repeat: int) -> np.ndarray:
-    """The sample of table ``repeat``: places spread over the embedding, one in each quarter."""
-    steps = len(emitted)
-    rng = np.random.default_rng(1000 + repeat)
-    k = np.full(emitted.shape[1], repeat + 1, np.uint64)
-    for q in range(SAMPLED):
-        lo, hi = q * steps // SAMPLED, max(q * steps // SAMPLED + 1, (q + 1) * steps // SAMPLED)
-        k = mix64(k * np.uint64(0x9E3779B97F4A7C15) + emitted[int(rng.integers(lo, hi))])
+def grams(h: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` words from each place."""
+    k = np.full(len(at), size, np.uint64)
+    for j in range(size):
+        k = mix64(k * np.uint64(0x9E3779B97F4A7C15) + h[at + j])
     return k
 
 
+class Masks(dict):
+    """The places of each word in a long pattern as bits; few are kept, since each is as long as the pattern."""
+
+    def __init__(self, pattern: list[int]):
+        super().__init__()
+        self.size, self.places = len(pattern), {}
+        for i, w in enumerate(pattern):
+            self.places.setdefault(w, []).append(i)
+
+    def get(self, w: int, default: int = 0) -> int:
+        if w not in self.places:
+            return default
+        if w not in self:
+            if len(self) * self.size > MASKS_MB << 23:
+                self.clear()
+            bits = np.zeros(self.size, np.uint8)
+            bits[self.places[w]] = 1
+            self[w] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+        return self[w]
+
+
 def best_match(pattern: list[int], text: list[int]) -> tuple[int, int]:
     """The least edit distance of the pattern to any stretch of the text, and the end of the first such stretch (bit-parallel)."""
     m = len(pattern)
-    peq: dict[int, int] = {}
-    for i, w in enumerate(pattern):
-        peq[w] = peq.get(w, 0) | 1 << i
+    peq: dict[int, int] = Masks(pattern) if m > LONG else {}
+    if m <= LONG:
+        for i, w in enumerate(pattern):
+            peq[w] = peq.get(w, 0) | 1 << i
     full, top = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score, best, end = full, 0, m, m, 0
     for j, w in enumerate(text, 1):
@@ -86,77 +90,121 @@ def best_match(pattern: list[int], text: list[int]) -> tuple[int, int]:
         pv, mv = mh | (~(xv | ph) & full), ph & xv
         if score < best:
             best, end = score, j
+            if not best:
+                break
     return best, end
 
 
-class Index:
-    """Windows of items of one class in sorted tables."""
+class Table:
+    """Sorted keys, with a table of bits that answers for most absent ones."""
 
-    def __init__(self, size: int, items: list[tuple[int, np.ndarray]], stride: int):
-        self.size, self.stride, self.steps = size, stride, max(SAMPLED, int(1.6 * size))
-        h = np.concatenate([x for _, x in items] + [np.zeros(1, np.uint64)])
-        base = np.concatenate(([0], np.cumsum([len(x) for _, x in items])))
-        at = np.concatenate([np.arange(b, b + max(1, len(x) - size + 1)) for b, (_, x) in zip(base, items, strict=False)])
-        which = np.concatenate([np.full(max(1, len(x) - size + 1), k) for k, (_, x) in enumerate(items)])
-        emitted = walk(h, at, self.steps)
-        self.tables = []
-        for r in range(REPEATS):
-            k = keys(emitted, r)
-            order = np.argsort(k, kind="stable")
-            self.tables.append((k[order], which[order].astype(np.int32), (at - base[which])[order].astype(np.int32)))
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.mask = np.uint64((1 << max(16, int(8 * len(keys)).bit_length())) - 1)
+        self.bits = np.zeros(int(self.mask) + 1, bool)
+        self.bits[(keys & self.mask).astype(np.int64)] = True
+
+    def find(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places of ``k`` that are in the table, and the first and last rows of each."""
+        at = np.flatnonzero(self.bits[(k & self.mask).astype(np.int64)])
+        first, last = np.searchsorted(self.keys, k[at]), np.searchsorted(self.keys, k[at], "right")
+        there = last > first
+        return at[there], first[there], last[there]
 
 
 class Items:
     def __init__(self, rows: list[tuple[int, str]]):
-        texts = [t.encode() for _, t in rows]
-        h, _, _, wo, _ = words_of(texts)
-        self.items = [(i, h[wo[k] : wo[k + 1]]) for k, (i, _) in enumerate(rows) if wo[k + 1] > wo[k]]
-        self.lists = [x.tolist() for _, x in self.items]
-        classes: dict[int, list[int]] = {}
-        for k, (_, x) in enumerate(self.items):
-            size = next((s for s in SIZES if len(x) >= 1.5 * s), min(len(x), SIZES[-1]))
-            classes.setdefault(size, []).append(k)
-        self.classes = [(Index(size, [self.items[k] for k in ks], size // 4 if size >= 8 and min(len(self.items[k][1]) for k in ks) >= 1.5 * size else 1), np.array(ks)) for size, ks in sorted(classes.items())]
+        h, _, _, wo, _ = words_of([t.encode() for _, t in rows])
+        worded = np.flatnonzero(np.diff(wo))
+        self.ids = np.array([i for i, _ in rows], np.int64)[worded]
+        self.words, self.base = h, wo[worded]
+        self.size = wo[worded + 1] - self.base
+        self.edits = (EDITS * self.size).astype(np.int64)
+        vocabulary, self.word = np.unique(h, return_inverse=True)
+        self.vocabulary = Table(vocabulary)
+        n = self.edits + 1
+        item = np.repeat(np.arange(len(n)), n)
+        j = np.arange(len(item)) - np.repeat(np.cumsum(n) - n, n)
+        place, end = j * self.size[item] // n[item], (j + 1) * self.size[item] // n[item]
+        self.pieces = []
+        for size in np.unique(end - place).tolist():
+            of = np.flatnonzero(end - place == size)
+            k = grams(h, self.base[item[of]] + place[of], size)
+            order = np.argsort(k, kind="stable")
+            self.pieces.append((size, Table(k[order]), item[of][order], place[of][order]))
+
+    def candidates(self, h: np.ndarray, wo: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, first word, last word) of all stretches that may hold an item, in this order."""
+        doc = np.repeat(np.arange(len(wo) - 1), np.diff(wo))
+        at, word, _ = self.vocabulary.find(h)
+        row = np.int64(len(h) + 1)
+        places = np.sort(word * row + at)
+        found = [np.zeros((3, 0), np.int64)]
+        for size, table, item, place in self.pieces:
+            at = np.arange(max(0, len(h) - size + 1))
+            at = at[doc[at] == doc[at + size - 1]]
+            hit, first, last = table.find(grams(h, at, size))
+            total = np.concatenate(([0], np.cumsum(last - first)))
+            for lo in range(0, int(total[-1]), LOOKED_UP_AT_ONCE):
+                each = np.arange(lo, min(lo + LOOKED_UP_AT_ONCE, int(total[-1])))
+                x = np.searchsorted(total, each, "right") - 1
+                entry = first[x] + each - total[x]
+                p, i = at[hit[x]], item[entry]
+                # Places count from the text's start; a slot has the starts that k edits may confuse.
+                slot = (p - place[entry] - wo[doc[p]]) // (self.edits[i] + 1)
+                c = np.unique(np.stack((doc[p], i, slot)), axis=1)
+                found.append(c[:, self.enough(c, wo, places, row)])
+        d, i, slot = np.unique(np.concatenate(found, axis=1), axis=1)
+        return d, i, *self.stretch(d, i, slot, wo)
+
+    def stretch(self, d: np.ndarray, i: np.ndarray, slot: np.ndarray, wo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = self.edits[i]
+        start = wo[d] + slot * (k + 1)
+        return np.maximum(wo[d], start - k), np.minimum(wo[d + 1], start + self.size[i] + 2 * k)
+
+    def enough(self, c: np.ndarray, wo: np.ndarray, places: np.ndarray, row: np.int64) -> np.ndarray:
+        """The candidates whose stretch lacks at most k of the item's words, each of which takes an edit."""
+        d, i, slot = c
+        lo, hi = self.stretch(d, i, slot, wo)
+        left, missing = np.arange(len(d)), np.zeros(len(d), np.int64)
+        kept, done, step = [], 0, 8
+        while len(left):
+            x = i[left]
+            cols = done + np.arange(step)
+            inside = cols < self.size[x][:, None]
+            w = self.word[np.minimum(self.base[x][:, None] + cols, len(self.word) - 1)] * row
+            q = np.searchsorted(places, w + lo[left][:, None])
+            there = (q < len(places)) & (places[np.minimum(q, len(places) - 1)] < w + hi[left][:, None])
+            missing[left] += (inside & ~there).sum(1)
+            done += step
+            left = left[missing[left] <= self.edits[x]]
+            over = self.size[i[left]] <= done
+            kept.append(left[over])
+            left = left[~over]
+            step = max(8, min(done, LOOKED_UP_AT_ONCE // max(1, len(left))))
+        return np.sort(np.concatenate(kept)) if kept else left
 
     def search(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, distance, first byte, last byte) of the best match of each text and item."""
         h, starts, ends, wo, off = words_of(texts)
-        if not len(h) or not self.items:
+        if not len(h) or not len(self.ids):
             return []
-        padded = np.concatenate((h, np.zeros(1, np.uint64)))
-        found: set[tuple[int, int, int]] = set()
-        for index, ks in self.classes:
-            at = np.arange(0, len(h), index.stride)
-            for lo in range(0, len(at), 1 << 15):  # so that the walk's arrays stay in the cache
-                part = at[lo : lo + (1 << 15)]
-                emitted = walk(padded, part, index.steps)
-                for r, (table, which, place) in enumerate(index.tables):
-                    k = keys(emitted, r)
-                    a = np.searchsorted(table, k)
-                    hit = np.flatnonzero(table[np.minimum(a, len(table) - 1)] == k)
-                    if len(hit):
-                        b = np.searchsorted(table, k[hit], "right")
-                        for p, x, y in zip(part[hit].tolist(), a[hit].tolist(), b.tolist(), strict=True):
-                            for e in range(x, y):
-                                found.add((int(ks[which[e]]), p, p - int(place[e])))
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        seen: set[tuple[int, int, int]] = set()
-        for item, p, start in sorted(found):
-            doc = int(np.searchsorted(wo, p, "right")) - 1
-            pattern = self.lists[item]
-            m = len(pattern)
-            k = int(EDITS * m)
-            slot = (doc, item, start // (k + 1))
-            if slot in seen:
-                continue
-            seen.add(slot)
-            lo, hi = max(int(wo[doc]), start - 2 * k - 1), min(int(wo[doc + 1]), start + m + 2 * k + 1)
-            if hi <= lo:
+        stretches: list[list[int]] = []
+        for doc, item, lo, hi in zip(*(x.tolist() for x in self.candidates(h, wo)), strict=True):
+            if stretches and stretches[-1][:2] == [doc, item] and lo <= stretches[-1][3]:
+                stretches[-1][3] = hi
+            else:
+                stretches.append([doc, item, lo, hi])
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for doc, item, lo, hi in stretches:
+            had = best.get((doc, item))
+            if had and not had[0]:
                 continue
-            d, end = best_match(pattern, h[lo:hi].tolist())
-            if d <= k and (best.get((doc, item)) is None or (d, lo + end) < best[doc, item][:2]):
-                best[doc, item] = (d, lo + end, m)
-        return [(doc, item, d, int(starts[max(int(wo[doc]), end - m)] - off[doc]), int(ends[end - 1] - off[doc])) for (doc, item), (d, end, m) in sorted(best.items())]
+            m = int(self.size[item])
+            d, end = best_match(self.words[self.base[item] : self.base[item] + m].tolist(), h[lo:hi].tolist())
+            if d <= self.edits[item] and (had is None or (d, lo + end) < had):
+                best[doc, item] = (d, lo + end)
+        return [(doc, item, d, int(starts[max(int(wo[doc]), end - int(self.size[item]))] - off[doc]), int(ends[end - 1] - off[doc])) for (doc, item), (d, end) in best.items()]
 
 
 def _batches(items: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
@@ -194,7 +242,7 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
                 rows = index.search(byte_texts(b))
                 if rows:
                     doc, item, d, first, last = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array([index.items[k][0] for k in item], pa.int64()), pa.array(d, pa.int32()), pa.array([len(index.lists[k]) for k in item], pa.int32()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], names=["doc_id", "item_id", "distance", "item_words", "first_byte", "last_byte"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), pa.array(index.ids[list(item)]), pa.array(d, pa.int32()), pa.array(index.size[list(item)].astype(np.int32)), pa.array(first, pa.int64()), pa.array(last, pa.int64())], names=["doc_id", "item_id", "distance", "item_words", "first_byte", "last_byte"])
 
         found = given.mapInArrow(run, SCHEMA)
         out = found if out is None else out.unionByName(found)
