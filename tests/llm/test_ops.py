@@ -361,6 +361,15 @@ def test_decontamination_finds_all_edits_within_the_limit(length, vocabulary):
     assert_as_brute_force([length], vocabulary, seed=length)
 
 
+@pytest.mark.parametrize("vocabulary", [50, 20_000])
+def test_decontamination_finds_short_items(spark, vocabulary):
+    assert_as_brute_force(range(1, 12), vocabulary, seed=7, copies=4)
+    docs = spark.createDataFrame([(1, "one Alpha, here"), (2, "alpha"), (3, "alphabet one"), (4, "here alpha one")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "alpha"), (2, "one alpha")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.matches(docs, items).collect()} == {(1, 1), (2, 1), (4, 1), (1, 2)}
+    assert [r.doc_id for r in decontamination.clean(docs, items).collect()] == [3]
+
+
 def test_best_match_is_an_edit_distance():
     rng = random.Random(3)
 
