@@ -370,6 +370,18 @@ def test_decontamination_finds_short_items(spark, vocabulary):
     assert [r.doc_id for r in decontamination.clean(docs, items).collect()] == [3]
 
 
+def test_decontamination_takes_items_of_any_length(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "ITEM_BYTES_AT_ONCE", 100_000)
+    rng = random.Random(9)
+    long = [f"word{rng.randrange(5000)}" for _ in range(15_000)]
+    items = spark.createDataFrame([(1, " ".join(long)), (2, "a short item of six words"), (3, " ".join(long[:9000]))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(edited(rng, long, 900))), (2, "here is a short item of six words"), (3, " ".join(long[:7000]))], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): r for r in decontamination.matches(docs, items).collect()}
+    assert set(found) == {(1, 1), (1, 3), (2, 2), (3, 3)}
+    assert found[1, 1].item_words == 15_000 and 0 < found[1, 1].distance <= 900 and found[3, 3].distance == 2000
+    assert decontamination.clean(docs, items).count() == 0
+
+
 def test_best_match_is_an_edit_distance():
     rng = random.Random(3)
 

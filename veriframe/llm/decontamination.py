@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from veriframe.llm.common import LOWER, byte_texts, chunks, joined, mix64, small_batches, word_hashes
 
 EDITS = 0.25  # of an item's words, rounded down
-ITEMS_AT_ONCE = 20_000  # items that are broadcast together, about 50 MB at most
-LONGEST_ITEM = 100_000  # code points; longer items raise an error instead of a broadcast without bound
+ITEMS_AT_ONCE = 20_000  # items that are broadcast together, unless their bytes are more than
+ITEM_BYTES_AT_ONCE = 4 << 20  # an item of more bytes is broadcast alone
 LOOKED_UP_AT_ONCE = 1 << 18  # places with pieces of items, so that a very common piece takes bounded memory
 LONG = 2048  # words of an item whose bit masks are built when a text needs them
 MASKS_MB = 64
@@ -209,14 +209,15 @@ class Items:
 
 def _batches(items: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
     rows: list[tuple[int, str]] = []
+    held = 0
     given = items.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).dropDuplicates()
     for r in given.toLocalIterator():
-        if len(r[1]) > LONGEST_ITEM:
-            raise ValueError(f"item {r[0]} has over {LONGEST_ITEM} code points")
-        rows.append((r[0], r[1]))
-        if len(rows) == ITEMS_AT_ONCE:
+        size = len(r[1].encode())
+        if rows and (len(rows) == ITEMS_AT_ONCE or held + size > ITEM_BYTES_AT_ONCE):
             yield Items(sorted(rows))
-            rows = []
+            rows, held = [], 0
+        rows.append((r[0], r[1]))
+        held += size
     if rows:
         yield Items(sorted(rows))
 
@@ -225,8 +226,8 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     """One row for each document and item that it holds: the edit distance in words, the item's words, and the bytes of the stretch.
 
     A document holds an item if a stretch of its words is within ``EDITS`` of the item's words.
-    Case and ASCII punctuation don't count. Items are broadcast ``ITEMS_AT_ONCE`` at a time, one
-    pass over the documents each. Null and wordless texts and items hold and give nothing; copies
+    Case and ASCII punctuation don't count. Items of any length are broadcast ``ITEMS_AT_ONCE`` or
+    ``ITEM_BYTES_AT_ONCE`` at a time, one pass over the documents each. Null and wordless texts and items hold and give nothing; copies
     of a document give rows of their own; equal items with different ids are both found.
     """
     spark = docs.sparkSession
