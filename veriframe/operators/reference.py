@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,7 @@ REFERENCE_SCHEMA = (
 )
 
 
+@lru_cache(1 << 14)
 def _norm(s: str) -> str:
     return T.normalize_with_offsets(s)[0]
 
@@ -44,7 +46,7 @@ def find_passage(want_text: str, texts: list[str], boxes: list[tuple], cc: int)
     norms = [_norm(t) for t in texts]
     best = None
     for seed in order:
-        if align.infix_distance(norms[seed], want, cc) > SEED_GATE:
+        if align.least_edits(norms[seed], want, True) > SEED_GATE * 2 * len(norms[seed]) or align.infix_distance(norms[seed], want, cc) > SEED_GATE:
             continue
         members, text, norm, used = [seed], texts[seed], norms[seed], {seed}
         while len(members) < MAX_REFERENCE_RUN and len(norm) < len(want):
@@ -148,7 +150,8 @@ def verify_references(detections: DataFrame, references: DataFrame, options: Opt
         out = pd.DataFrame(rows, columns=[f.split()[0] for f in REFERENCE_SCHEMA.split(", ")], dtype=object)
         return out.astype({c: "Int32" for c in ("parts", "x0", "y0", "x1", "y1")} | {c: "float64" for c in ("distance", "agreement", "coverage", "confidence")})
 
-    return kept(detections, options).groupBy("label").applyInPandas(run, REFERENCE_SCHEMA.format(label=detections.schema["label"].dataType.simpleString()))
+    parts = int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number, since a few bytes of labels are many alignments
+    return kept(detections, options).repartition(parts, "label").groupBy("label").applyInPandas(run, REFERENCE_SCHEMA.format(label=detections.schema["label"].dataType.simpleString()))
 
 
 def held_exactly(docs: DataFrame, references: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
