@@ -28,6 +28,9 @@ def fold(i, m):
 # 1
 
 
+fold_column = common.fold
+
+
 def brute_base(rows, learn):
     c = Counter()
     for i, t in rows:
@@ -64,6 +67,20 @@ def test_exchange_finds_classes():
     assert len({(a, b) for a, b in zip(group.tolist(), c.tolist(), strict=True)}) == 3
 
 
+@pytest.mark.parametrize("head", [1 << 18, 1000])
+def test_classes_reach_rare_words_and_grow(spark, monkeypatch, head):
+    monkeypatch.setattr(brown, "HEAD", head)
+    rng = random.Random(4)
+    kinds = [[[f"{rng.randrange(10**9)}" for _ in range(n)] for n in (20, 2000)] for _ in range(2)]
+    rows = [(i, " ".join(rng.choice(kinds[k % 2][rng.randrange(2)]) for k in range(100))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = brown.score(docs, train=fold_column("doc_id", 5) != 1).filter(fold_column("doc_id", 5) == 1).collect()
+    # Each word is of one of two kinds that take turns, so a model that knows the kind gains log10(2) a token.
+    gain = sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got)
+    assert gain > 0.11
+    assert brown.classes_of(1000) == 32 < brown.classes_of(400_000) < brown.classes_of(20_000_000)
+
+
 def test_language_model_on_odd_tables(spark, odd, empty):
     rows = brown.score(odd, F.lit(True)).collect()
     assert len(rows) == odd.count() and all(r.score <= 0 for r in rows)

@@ -1,15 +1,18 @@
 """Language-model scoring with Brown class bigrams.
 
-Every training token is counted. The ``OWN`` most frequent words are types of their own, all
-other words belong to one of ``ENDINGS`` types by a hash of their last bytes, so the number of
-types is fixed. Exchange clustering moves types between classes while the mutual information of
-adjacent classes grows. The probability of a text is the product, over its tokens, of the
-smoothed transition between classes and the smoothed emission of the word by its class.
-
-A word's emission needs its count, and the vocabulary grows with the corpus. At most ``HEAD`` of
-the most frequent words are broadcast; other tokens are sent by word to the table of counts, and what they
-add is summed per text. No word outside the broadcast table is more frequent than those inside,
-so none is a hot key.
+Every training token is counted and every training word has a class; the numbers of classes and of
+words that found them grow with the vocabulary. First the most frequent words are types of their
+own, all other words belong to one of ``ENDINGS`` types by a hash of their last bytes, and exchange
+clustering moves types between classes while the mutual information of adjacent classes grows. Then
+each other word is exchanged alone against these classes: the classes beside it are counted, and it
+moves to where the likelihood of its neighbours is largest. All words are done in parallel. The class of an ending
+stays for words that training didn't see. The probability of a text is the product, over its tokens, of
+the smoothed transition between classes and the smoothed emission of the word by its class.
+
+A word's emission needs its count and class, and the vocabulary grows with the corpus. At most ``HEAD`` of
+the most frequent words are broadcast; other tokens are sent by word to the table of counts and classes, and what they
+add is summed per text. As predecessors, words outside the broadcast table have the class of their ending.
+No word outside the broadcast table is more frequent than those inside, so none is a hot key.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,19 +32,24 @@ from veriframe.llm.common import byte_texts, chunks, materialise, small_batches
 
 HEAD = 1 << 18
 LEVELS = 64  # of frequency in each doubling
-OWN, ENDINGS = 384, 384
-TYPES = OWN + ENDINGS + 1  # the last one is the end of a text
-END = TYPES - 1
+ENDINGS = 384
+END = ENDINGS  # the type of the end of a text; the types of the words of their own follow
 END_WORD = "\n"  # no word holds white space
-CLASSES = 32
+CLASSES, OWN = 32, 12  # at least so many classes, and so many words of their own for each
 SWEEPS = 12
 COUNTED_AT_ONCE = 250_000
 TRANSITION_PRIOR = 5.0
+STAY = 1.0  # of the logarithm of the number of classes
 UNIGRAM = 0.1  # weight of the class without its predecessor
 
 
 def ending(word: bytes) -> int:
-    return OWN + zlib.crc32(word[-3:]) % ENDINGS
+    return zlib.crc32(word[-3:]) % ENDINGS
+
+
+def classes_of(distinct: int) -> int:
+    """The number of classes for so many different words: their cube root."""
+    return max(CLASSES, round(distinct ** (1 / 3)))
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -73,11 +82,12 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 def count_bigrams(docs: DataFrame, own: dict[bytes, int]) -> np.ndarray:
     """Adjacent types of all training texts; a text begins after an end."""
+    types = ENDINGS + 1 + len(own)
     shared = docs.sparkSession.sparkContext.broadcast(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = dict(shared.value)
-        total = np.zeros(TYPES * TYPES, np.int64)
+        total = np.zeros(types * types, np.int64)
         for b in chunks(batches):
             ids = [END]
             for t in byte_texts(b):
@@ -90,15 +100,87 @@ def count_bigrams(docs: DataFrame, own: dict[bytes, int]) -> np.ndarray:
                     ids.append(x)
                 ids.append(END)
             a = np.array(ids, np.int64)
-            total += np.bincount(a[:-1] * TYPES + a[1:], minlength=TYPES * TYPES)
+            total += np.bincount(a[:-1] * types + a[1:], minlength=types * types)
         at = np.flatnonzero(total)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["pair", "n"])
 
     found = docs.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(TYPES * TYPES, np.int64)
+    out = np.zeros(types * types, np.int64)
     out[found["pair"].to_numpy()] = found["n"].to_numpy()
-    return out.reshape(TYPES, TYPES)
+    return out.reshape(types, types)
+
+
+def count_neighbours(docs: DataFrame, own: dict[bytes, int], cls: np.ndarray, classes: int) -> DataFrame:
+    """(word, code, n) for words that are no types: how often a class (code) stands before, or (code - classes) after it."""
+    shared = docs.sparkSession.sparkContext.broadcast((own, cls))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, cls = shared.value
+        for b in chunks(batches):
+            local: dict[bytes, int] = {END_WORD.encode(): 0}
+            ids = [0]
+            for t in byte_texts(b):
+                ids.extend([local.setdefault(w, len(local)) for w in t.lower().split()])
+                ids.append(0)
+            words = list(local)
+            kind = np.array([END] + [own[w] if w in own else ending(w) for w in words[1:]], np.int64)
+            a = np.array(ids, np.int64)
+            c = cls[kind][a]
+            inner = np.flatnonzero(kind[a] < ENDINGS)
+            pair, n = np.unique(np.concatenate((a[inner] * (2 * classes) + c[inner - 1], a[inner] * (2 * classes) + classes + c[inner + 1])), return_counts=True)
+            if len(pair):
+                word = pa.array(words, pa.binary()).take(pa.array(pair // (2 * classes))).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([word, pa.array((pair % (2 * classes)).astype(np.int32)), pa.array(n.astype(np.int64))], names=["word", "code", "n"])
+
+    return docs.mapInArrow(run, "word string, code int, n long")
+
+
+def assign(neighbours: DataFrame, big: np.ndarray, cls: np.ndarray) -> DataFrame:
+    """(word, k, c): each word's class by exchange against fixed classes with the transitions ``big``, and its count.
+
+    A word leaves the class of its ending if it gains more than naming another class costs.
+    """
+    classes = len(big)
+    log = np.log(big + 0.1 / classes)
+    size = np.log(big.sum(0) + 0.5)
+    # Before the word: the transition into its class and its emission. After it: the transition out of its class.
+    gain = np.concatenate((log - size, log.T - np.log(big.sum(1) + 0.5)))
+    stay = STAY * np.log(classes)
+    shared = neighbours.sparkSession.sparkContext.broadcast((gain, cls[:ENDINGS]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gain, by_ending = shared.value
+        last, best, count = None, np.zeros(classes), 0
+
+        def rows(words: list, total: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            total[np.arange(len(words)), by_ending[[ending(w.encode()) for w in words]]] += stay
+            k = total.argmax(1)
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(k.astype(np.int32)), pa.array(c.astype(np.int64))], names=["word", "k", "c"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            run_ends = pa.compute.run_end_encode(b.column(0), run_end_type=pa.int32())
+            words = run_ends.values.to_pylist()
+            ends = run_ends.run_ends.to_numpy()
+            first = np.concatenate(([0], ends[:-1]))
+            code, n = b.column(1).to_numpy(), b.column(2).to_numpy()
+            total = np.add.reduceat(gain[code] * n[:, None], first)
+            c = np.add.reduceat(np.where(code < classes, n, 0), first)
+            if words[0] == last:
+                total[0] += best
+                c[0] += count
+            elif last is not None:
+                yield rows([last], best[None], np.array([count]))
+            if len(words) > 1:
+                yield rows(words[:-1], total[:-1], c[:-1])
+            last, best, count = words[-1], total[-1], int(c[-1])
+        if last is not None:
+            yield rows([last], best[None], np.array([count]))
+
+    parts = int(neighbours.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return neighbours.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(run, "word string, k int, c long")
 
 
 def _g(x: np.ndarray) -> np.ndarray:
@@ -149,6 +231,13 @@ def exchange(n: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.
     return c
 
 
+def steps_of(path: bytes, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The classes before and at each token of the table; a text begins after an end."""
+    p = np.frombuffer(path, np.int16).astype(np.int64)
+    before = np.concatenate(([end], np.where(p < 0, p + (1 << 15), p)[:-1]))
+    return before[p >= 0], p[p >= 0]
+
+
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the text).
 
@@ -170,46 +259,40 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         if inside + r.n > HEAD:
             break
         inside, cut = inside + r.n, r.level
+    n_classes = classes_of(distinct)
+    own: dict[bytes, int] = {}
     head = counts.filter(level >= cut).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+    for w in head["word"].slice(0, OWN * n_classes + 1).to_pylist():
+        if w != END_WORD and len(own) < OWN * n_classes:
+            own[w.encode()] = END + 1 + len(own)
+    pairs = count_bigrams(learnt, own)
+    cls = exchange(pairs, n_classes)
+    one = np.zeros((len(pairs), n_classes))
+    one[np.arange(len(pairs)), cls] = 1
+    seed_class = {w: int(cls[k]) for w, k in own.items()} | {END_WORD.encode(): int(cls[END])}
+    alone = materialise(assign(count_neighbours(learnt, own, cls, n_classes), one.T @ pairs @ one, cls))
+    class_of_word = alone.filter(level >= cut).select("word", "k").toArrow()
+    seed_class.update(zip((w.encode() for w in class_of_word["word"].to_pylist()), class_of_word["k"].to_pylist(), strict=True))
     words = [w.encode() for w in head["word"].to_pylist()]
     c = head["c"].to_numpy()
-    kinds = head["kind"].to_numpy().copy()
-    own: dict[bytes, int] = {}
-    for k, w in enumerate(words):
-        if len(own) == OWN:
-            break
-        if w != END_WORD.encode():
-            own[w] = len(own)
-            kinds[k] = own[w]
-    per_kind = {r[0]: r[1] for r in counts.groupBy("kind").agg(F.count("*")).collect()}
-    distinct_of = np.zeros(TYPES)
-    for k, v in per_kind.items():
-        distinct_of[k] = v
-    for w, k in own.items():
-        distinct_of[k] += 1
-        distinct_of[ending(w)] -= 1
-    pairs = count_bigrams(learnt, own)
-    cls = exchange(pairs)
-    one = np.zeros((TYPES, CLASSES))
-    one[np.arange(TYPES), cls] = 1
-    big = one.T @ pairs @ one
-    size, kinds_of = pairs.sum(0) @ one, distinct_of @ one
-    share = (size + 0.5) / (size.sum() + 0.5 * CLASSES)
-    follow = (big + TRANSITION_PRIOR * share) / (big.sum(1, keepdims=True) + TRANSITION_PRIOR)
-    step = np.log10((1 - UNIGRAM) * follow + UNIGRAM * share)
-    emit = np.log10(size + 0.5 * (kinds_of + 1))
-    whole = float(np.log10(tokens + 0.5 * (distinct + 1)))
+    class_of = np.array([seed_class[w] for w in words], np.int64)
+    size, kinds_of = np.zeros(n_classes), np.zeros(n_classes)
+    for r in alone.filter(level < cut).groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
+        size[r.k], kinds_of[r.k] = r.c, r.n
+    size += np.bincount(class_of, c, n_classes)
+    kinds_of += np.bincount(class_of, minlength=n_classes)
     table = {w: k for k, w in enumerate(words)}
-    model = spark.sparkContext.broadcast((table, np.log10(c + 0.5), cls[kinds] if len(kinds) else np.zeros(0, np.int64), cls, step, emit))
+    known_words = spark.sparkContext.broadcast((table, np.log10(c + 0.5), class_of, cls[: END + 1]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, log_c, class_of, cls, step, emit = model.value
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text, with the classes of its tokens (of the ending, less 2**15, outside the table), and one for each predecessor and token outside."""
+        table, log_c, class_of, by_ending = known_words.value
         get = table.get
-        by_ending = cls[:END]
         key = TaskContext.get().partitionId() << 36
+        end = get(END_WORD.encode(), -1)
         for b in chunks(batches):
-            keys, ids, word, m, n_tokens, known, s, rest = [], [], [], [], [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), byte_texts(b), strict=True):
+            keys, ids, learn, word, m, n_tokens, known, s, before, path = ([] for _ in range(10))
+            for i, t, learns in zip(b.column(0).to_pylist(), byte_texts(b), b.column(2).to_pylist(), strict=True):
                 w = t.lower().split()
                 at = np.array([get(x, -1) for x in w], np.int64)
                 out = np.flatnonzero(at < 0)
@@ -218,37 +301,81 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 if len(out):
                     unknown = [w[j] for j in out.tolist()]
                     k[out] = by_ending[[ending(x) for x in unknown]]
-                    tail.update(unknown)
-                end = get(b"\n", -1)
+                    tail.update(zip(unknown, np.concatenate(([by_ending[END]], k))[out].tolist(), strict=True))
                 seen = log_c[at[at >= 0]].sum() + (log_c[end] if end >= 0 else np.log10(0.5))
-                path = np.concatenate(([cls[END]], k, [cls[END]]))
-                model_part = step[path[:-1], path[1:]].sum() - emit[path[1:]].sum()
+                k[out] -= 1 << 15
                 keys.append(key)
                 ids.append(i)
+                learn.append(bool(learns))
                 word.append(f" {key}".encode())
                 m.append(0)
                 n_tokens.append(len(w) + 1)
                 known.append(len(w) - len(out) + (end >= 0))
                 s.append(float(seen))
-                rest.append(float(model_part))
-                for x, n in tail.items():
+                before.append(-1)
+                path.append(np.concatenate((k, [by_ending[END]])).astype(np.int16).tobytes())
+                for (x, h), n in tail.items():
                     keys.append(key)
                     ids.append(None)
+                    learn.append(bool(learns))
                     word.append(x)
                     m.append(n)
                     n_tokens.append(0)
                     known.append(0)
                     s.append(0.0)
-                    rest.append(0.0)
+                    before.append(h)
+                    path.append(None)
                 key += 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(word, pa.binary()).cast(pa.string()), pa.array(m, pa.int32()), pa.array(n_tokens, pa.int32()), pa.array(known, pa.int32()), pa.array(s, pa.float64()), pa.array(rest, pa.float64())],
-                names=["key", "doc_id", "word", "m", "n_tokens", "n_known", "s", "rest"],
+                [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(learn, pa.bool_()), pa.array(word, pa.binary()).cast(pa.string()), pa.array(m, pa.int32()), pa.array(n_tokens, pa.int32()), pa.array(known, pa.int32()), pa.array(s, pa.float64()), pa.array(before, pa.int32()), pa.array(path, pa.binary())],
+                names=["key", "doc_id", "learn", "word", "m", "n_tokens", "n_known", "s", "before", "path"],
             )
 
-    parts = given.select("doc_id", "text").mapInArrow(run, "key long, doc_id long, word string, m int, n_tokens int, n_known int, s double, rest double")
-    rare = counts.filter(level < cut).select("word", "c")
-    met = parts.join(rare, "word", "left") if inside < distinct else parts.withColumn("c", F.lit(None).cast("long"))
-    more = F.when(F.col("m") > 0, F.col("m") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5)).otherwise(0.0)
-    summed = met.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.col("n_known") + F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0)).alias("n_known"), F.sum(F.col("s") + more).alias("s"), F.sum("rest").alias("rest"))
+    parts = materialise(given.select("doc_id", "text", "t").mapInArrow(paths, "key long, doc_id long, learn boolean, word string, m int, n_tokens int, n_known int, s double, before int, path binary"))
+    whole_texts = parts.filter("m = 0")
+    outside = parts.filter("m > 0").select("key", "learn", "word", "m", "before")
+    rare = alone.filter(level < cut)
+    met = outside.join(rare, "word", "left") if inside < distinct else outside.withColumn("k", F.lit(None).cast("int")).withColumn("c", F.lit(None).cast("long"))
+    # A word that training didn't see has the class of its ending.
+    by_ending = F.array(*[F.lit(int(x)) for x in cls[:ENDINGS]])
+    met = materialise(met.withColumn("k", F.coalesce("k", F.get(by_ending, (F.crc32(F.expr("substr(cast(word as binary), -3)")) % ENDINGS).cast("int")))))
+
+    def transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(n_classes * n_classes, np.int64)
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                before, after = steps_of(p, int(cls[END]))
+                total += np.bincount(before * n_classes + after, minlength=n_classes * n_classes)
+        at = np.flatnonzero(total)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["pair", "n"])
+
+    inner = whole_texts.filter("learn").select("path").mapInArrow(transitions, "pair int, n long")
+    outer = met.filter("learn").select((F.col("before") * n_classes + F.col("k")).alias("pair"), F.col("m").cast("long").alias("n"))
+    big = np.zeros(n_classes * n_classes)
+    for r in inner.unionByName(outer).groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        big[r.pair] = r.n
+    big = big.reshape(n_classes, n_classes)
+    share = (size + 0.5) / (size.sum() + 0.5 * n_classes)
+    follow = (big + TRANSITION_PRIOR * share) / (big.sum(1, keepdims=True) + TRANSITION_PRIOR)
+    step = np.log10((1 - UNIGRAM) * follow + UNIGRAM * share) - np.log10(size + 0.5 * (kinds_of + 1))
+    whole = float(np.log10(tokens + 0.5 * (distinct + 1)))
+    model = spark.sparkContext.broadcast(step)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = model.value
+        for b in batches:
+            rest = [float(step[steps_of(p, int(cls[END]))].sum()) for p in b.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), b.column(5), pa.array(rest, pa.float64())], names=["key", "doc_id", "n_tokens", "n_known", "s", "rest"])
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = model.value
+        for b in batches:
+            rest = step[b.column(1).to_numpy(), b.column(2).to_numpy()] * b.column(3).to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(4), b.column(5), pa.array(rest)], names=["key", "n_known", "s", "rest"])
+
+    texts = whole_texts.select("key", "doc_id", "n_tokens", "n_known", "path", "s").mapInArrow(walk, "key long, doc_id long, n_tokens int, n_known int, s double, rest double")
+    more = met.select("key", "before", "k", "m", F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0).alias("n_known"), (F.col("m") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 0.5)).alias("s")).mapInArrow(single, "key long, n_known int, s double, rest double")
+    both = texts.unionByName(more, allowMissingColumns=True)
+    summed = both.groupBy("key").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("s").alias("s"), F.sum("rest").alias("rest"))
     return summed.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), F.col("n_known").cast("long").alias("n_known"), F.lit(int(tokens)).cast("long").alias("train_tokens"), (F.col("s") - F.col("n_tokens") * F.lit(whole)).alias("base_score"), (F.col("s") + F.col("rest")).alias("score"))
