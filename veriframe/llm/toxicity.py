@@ -1,20 +1,21 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, on windows of toxic and of ordinary text. A window is a
-word with the spaces round it, or a stretch of ``WINDOW`` bytes of a longer one. A window's
-excess is the share, in hundredths, of its ordinary length (over the least possible) that the
-toxic dictionary saves. The
-windows of toxic documents hold ordinary text for the most part; those that occur in ordinary
-documents as well are taken out before the toxic dictionary is trained. The least excess of a
-toxic window and the number of such windows are calibrated on documents held out of the
-dictionaries' training.
+Two zstandard dictionaries are trained by the library's trainer, one on ordinary text, one on
+toxic text. A toxic document is ordinary text for the most part, so the toxic dictionary's
+samples are the stretches of toxic documents with 5-byte sequences that the ordinary documents
+lack (a parse of the one text by the other), with some bytes round them. Every document is cut
+into windows of eight words, which are compressed twice: with the ordinary dictionary, and with
+the toxic one set behind it. In the first case a filler that matches nothing stands in the toxic
+one's place, so all else costs the same. The bytes saved are the window's evidence: each number
+of saved bytes has a weight, the logarithm of how much more often windows of toxic documents save
+that much. A document's score grows with the sum of its windows' weights; windows that save nothing
+weigh a little against it, so length alone doesn't make a document toxic. Weights and the
+threshold of the sum are calibrated on labelled documents that neither dictionary has seen.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,185 +24,198 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import Recent, byte_texts, chunks, mix64, small_batches
+from veriframe.llm.common import LOWER, byte_texts, chunks, mix64, small_batches, word_hashes
 from veriframe.llm.samples import labelled
 
-SAMPLE = 4000  # documents of each label, at most about
+SAMPLE = 6000  # documents of each label, at most about
 LONGEST = 20_000
-WINDOW = 24
-DICTIONARY = 1 << 14
-WINDOWS_KEPT = 60_000  # in each of two generations
-LEAST_BYTES = 4  # over the least possible length, that a window must cost to count
-RATIO = 8.0  # times as frequent in toxic documents as in ordinary ones, at least
-SURPRISE = 13.0  # nats, by which a window's split between toxic and ordinary documents must differ from chance
-SCHEMA = "doc_id long, score double, predicted int, windows int, toxic_windows int, most_excess int"
-
-_STRIP = b".,;:!?\"'()[]{}|"
-
-
-def windows(text: bytes) -> list[bytes]:
-    out = []
-    for w in text.lower().split():
-        w = w.strip(_STRIP)
-        if not w:
-            continue
-        if len(w) <= WINDOW:
-            out.append(b" " + w + b" ")
-        else:
-            out += [(b" " + w + b" ")[i : i + WINDOW] for i in range(0, len(w), WINDOW // 2)]
+WORDS = 8  # of a window
+PIECE = 48  # bytes; longer words count as several
+ORDINARY, TOXIC = 1 << 17, 1 << 12  # bytes of the dictionaries
+ORDINARY_SAMPLES = 40_000  # windows
+GRAM = 5
+KNOWN = 2  # ordinary documents from which a sequence counts as ordinary
+ROUND = 3  # bytes on each side of a stretch
+MOST = 12  # saved bytes that are told apart
+CLEAN = 6.0  # what an ordinary document found toxic costs, against a toxic one found
+FILLER = b"\0"
+SCHEMA = "doc_id long, score double, predicted int, windows int, toxic_windows int, saved int"
+
+
+def _words(text: bytes) -> list[bytes]:
+    out = text.lower().split()
+    if len(text) > PIECE and max(map(len, out), default=0) > PIECE:
+        out = [w[i : i + PIECE] for w in out for i in range(0, len(w), PIECE)]
     return out
 
 
-def doubled(window: bytes) -> bytes:
-    """The window's length as a mark, then each byte twice: a match costs as much as before and saves twice as many
-    literals, so short windows tell more; the mark tells a word from the end of a longer one."""
-    return bytes([128 + len(window)]) * 4 + np.repeat(np.frombuffer(window, np.uint8), 2).tobytes()
+def windows(text: bytes) -> list[bytes]:
+    """Stretches of ``WORDS`` words, one space between and round them."""
+    w = _words(text)
+    return [b" %b " % b" ".join(w[i : i + WORDS]) for i in range(0, len(w), WORDS)]
 
 
 class Model:
-    """Both dictionaries with their thresholds; pickled as bytes."""
+    """Both dictionaries, the weight of each number of saved bytes (one spent up to ``MOST`` saved) and the threshold of their sum; pickled as bytes."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        self.raw = toxic, ordinary
-        self.threshold, self.least, self.slope = 1, 1, 1.0
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        self.raw = ordinary, toxic
+        self.weights, self.threshold, self.slope = np.zeros(MOST + 2), 0.5, 1.0
         self._open()
 
     def _open(self) -> None:
-        p = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_BTULTRA2, min_match=3, window_log=15, hash_log=14, chain_log=14, search_log=4, target_length=64, write_content_size=False, write_checksum=False, write_dict_id=False)
-        kinds = zstandard.DICT_TYPE_RAWCONTENT, zstandard.DICT_TYPE_AUTO
-        self.toxic, self.ordinary = (zstandard.ZstdCompressor(compression_params=p, dict_data=zstandard.ZstdCompressionDict(d, dict_type=k)) for d, k in zip(self.raw, kinds, strict=True))
-        # The least that any window costs: a stretch that the toxic dictionary holds as it stands, less one byte.
-        self.base = min(len(self.toxic.compress(self.raw[0][-k:])) for k in (8, 12, 16, 24)) - 1
-        self.seen = Recent(WINDOWS_KEPT)
+        ordinary, toxic = self.raw
+        self.plain, self.both = _compressor(ordinary + FILLER * len(toxic)), _compressor(ordinary + toxic)
 
     def __getstate__(self):
-        return self.raw, self.threshold, self.least, self.slope
+        return self.raw, self.weights, self.threshold, self.slope
 
     def __setstate__(self, state):
-        self.raw, self.threshold, self.least, self.slope = state
+        self.raw, self.weights, self.threshold, self.slope = state
         self._open()
 
-    def excesses(self, text: bytes) -> list[int]:
-        seen = self.seen
-        out = []
-        for w in windows(text):
-            x = seen[w]
-            if x is None:
-                d = doubled(w)
-                plain = len(self.ordinary.compress(d)) - self.base
-                x = 100 * (plain - len(self.toxic.compress(d)) + self.base) // plain if plain >= LEAST_BYTES else 0
-                seen.keep(w, x)
-            out.append(x)
-        return out
-
-    def judge(self, text: bytes) -> tuple[float, int, int, int, int]:
-        x = self.excesses(text)
-        hits = sum(e >= self.threshold for e in x)
-        margin = hits - self.least + 0.5
-        score = 1 / (1 + np.exp(-self.slope * max(-30.0, min(30.0, margin))))
-        return float(score), int(score >= 0.5), len(x), hits, max(x, default=0)
-
-
-def _ordinary(samples: list[bytes]) -> bytes:
-    """A trained dictionary; of too few samples, their text as it stands."""
+    def saved(self, flat: list[bytes]) -> np.ndarray:
+        """The bytes that each window saves with the toxic dictionary."""
+        return _lengths(self.plain, flat) - _lengths(self.both, flat)
+
+    def judge(self, texts: list[bytes]) -> list[tuple[float, int, int, int, int]]:
+        """Of each text: score, predicted, windows, windows that weigh for toxicity, bytes saved."""
+        each = [windows(t) for t in texts]
+        saved = self.saved([w for ws in each for w in ws])
+        weight = self.weights[np.clip(saved, -1, MOST) + 1]
+        off = np.concatenate(([0], np.cumsum([len(ws) for ws in each])))
+        sums = [np.concatenate(([0], np.cumsum(v)))[off] for v in (weight, weight > 1, saved)]
+        total, toxic, saved = (np.diff(v) for v in sums)
+        score = 1 / (1 + np.exp(-self.slope * np.clip(total - self.threshold, -30, 30)))
+        return list(zip(score.tolist(), (score >= 0.5).astype(int).tolist(), map(len, each), toxic.tolist(), saved.tolist(), strict=True))
+
+
+def _compressor(raw: bytes) -> zstandard.ZstdCompressor:
+    p = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, min_match=4, window_log=18, hash_log=18, chain_log=18, search_log=6, write_content_size=False, write_checksum=False, write_dict_id=False)
+    return zstandard.ZstdCompressor(compression_params=p, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+
+
+def _lengths(c: zstandard.ZstdCompressor, flat: list[bytes]) -> np.ndarray:
+    return np.array([len(x) for x in c.multi_compress_to_buffer(flat)], np.int64) if flat else np.zeros(0, np.int64)
+
+
+def _trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary of the library's trainer; of too few samples, their text as it stands."""
     try:
-        return zstandard.train_dictionary(DICTIONARY, samples, level=3).as_bytes()
+        return zstandard.train_dictionary(min(size, max(256, sum(map(len, samples)) // 6)), samples, k=segment, d=6).as_bytes()
     except zstandard.ZstdError:
-        return (b"".join(samples) or b" ")[-DICTIONARY:].rjust(8, b" ")
+        return (b"".join(samples) or b" ")[-size:].rjust(8, b" ")
+
 
+def _grams(text: bytes) -> np.ndarray:
+    b = np.frombuffer(text, np.uint8).astype(np.uint64)
+    n = max(0, len(b) - GRAM + 1)
+    g = np.zeros(n, np.uint64)
+    for k in range(GRAM):
+        g |= b[k : n + k] << np.uint64(8 * k)
+    return g
 
-def _toxic(counts: dict[bytes, int]) -> bytes:
-    """The windows themselves, the most frequent last, where a match costs least."""
-    return b"".join(doubled(w) for w, _ in sorted(counts.items(), key=lambda x: (x[1], x[0])))[-DICTIONARY:].rjust(8, b" ")
 
+def _flat(text: bytes) -> bytes:
+    return b" %b " % b" ".join(_words(text))
 
-def _surprise(c: int, o: int, p: float) -> float:
-    """The divergence of c of c + o documents being toxic from a share p, in nats; 0 below that share."""
-    n = c + o
-    if c <= p * n:
-        return 0.0
-    return c * math.log(c / (p * n)) + (o * math.log(o / ((1 - p) * n)) if o else 0.0)
 
+def novel(text: bytes, known: np.ndarray) -> list[bytes]:
+    """The stretches of the text whose sequences of ``GRAM`` bytes aren't in the sorted ``known``, with ``ROUND`` bytes on each side."""
+    t = _flat(text)
+    g = _grams(t)
+    if not len(g):
+        return []
+    at = np.minimum(np.searchsorted(known, g), max(0, len(known) - 1))
+    new = np.flatnonzero(known[at] != g) if len(known) else np.arange(len(g))
+    edge = np.zeros(len(t) + 1, np.int64)
+    np.add.at(edge, new, 1)
+    np.add.at(edge, new + GRAM, -1)
+    inside = np.diff(np.concatenate(([False], np.cumsum(edge)[:-1] > 0, [False])).astype(np.int8))
+    return [s for a, z in zip(np.flatnonzero(inside == 1).tolist(), np.flatnonzero(inside == -1).tolist(), strict=True) if len(s := t[max(0, a - ROUND) : z + ROUND]) >= 8]
 
-def _unlike(rows: list[tuple[int, bytes]]) -> list[tuple[int, set[bytes]]]:
-    """The window sets without near copies: those that share one of four minima of the hashes of three windows with an earlier one."""
+
+def _unlike(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
+    """The rows without near copies: those that share one of four minima of the hashes of three words with an earlier one."""
     seen: set[tuple[int, int]] = set()
     out = []
     for y, t in rows:
-        w = windows(t)
-        h = np.array([zlib.crc32(b"".join(x)) for x in zip(w, w[1:], w[2:], strict=False)], np.uint64)
+        h, _, _ = word_hashes(LOWER[np.frombuffer(t, np.uint8)])
+        h = h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7)
         keys = {(k, int(mix64(h + np.uint64(k << 32)).min())) for k in range(4)} if len(h) else set()
         if not keys & seen:
-            out.append((y, set(w)))
+            out.append((y, t))
         seen |= keys
     return out
 
 
+def rising_odds(ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """The logarithms of the ratios of the toxic to the ordinary shares, pooled so that none falls and the first two are one."""
+    pools: list[list[float]] = []  # ordinary and toxic windows and the entries of each pool
+    odds = lambda p: (p[1] + 0.5) / (p[0] + 0.5)
+    for o, t, n in [(ordinary[:2].sum(), toxic[:2].sum(), 2), *((o, t, 1) for o, t in zip(ordinary[2:], toxic[2:], strict=True))]:
+        pools.append([float(o), float(t), n])
+        while len(pools) > 1 and odds(pools[-1]) <= odds(pools[-2]):
+            top = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], top, strict=True)]
+    base = math.log((toxic.sum() + 1.0) / (ordinary.sum() + 1.0))
+    return np.concatenate([np.full(int(p[2]), math.log(odds(p)) - base) for p in pools])
+
+
 def fit(rows: list[tuple[int, bytes]], seed: int = 3) -> Model | None:
-    rows = sorted(set(rows))  # a copy tells nothing new
+    """The model of (label, text) rows: dictionaries of two thirds, calibrated on the rest; None without both labels in both parts."""
+    rows = _unlike(sorted(set(rows)))  # a copy tells nothing new
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows)).tolist()
     held = [rows[i] for k, i in enumerate(order) if k % 3 == 0]
     learn = [rows[i] for k, i in enumerate(order) if k % 3]
     if len({y for y, _ in learn}) < 2 or len({y for y, _ in held}) < 2:
         return None
-
-    def train(learn: list[tuple[int, bytes]]) -> Model:
-        inside: tuple[Counter, Counter] = (Counter(), Counter())
-        n = [0, 0]
-        for y, w in _unlike(learn):
-            inside[y].update(w)
-            n[y] += 1
-        odd = {w: c for w, c in inside[1].items() if c >= 3 and c * n[0] >= RATIO * n[1] * inside[0][w] and _surprise(c, inside[0][w], n[1] / (n[0] + n[1])) >= SURPRISE}
-        return Model(_toxic(odd), _ordinary([b"".join(map(doubled, windows(t))) for y, t in learn if y == 0]))
-
-    model = train(learn)
-    found = [(y, model.excesses(t)) for y, t in held]
-    n1 = sum(y for y, _ in held)
-    n0 = len(held) - n1
-    gains = {}
-    for threshold in range(20, 101, 5):
-        hits = [(y, sum(e >= threshold for e in x)) for y, x in found]
-        for least in (1, 2, 3):
-            tp = sum(h >= least for y, h in hits if y)
-            fp = sum(h >= least for y, h in hits if not y)
-            gains[threshold, least] = tp / n1 - 6 * fp / n0
-    # Of the settings within a hundredth of the best, the middle threshold of the least demanding number of windows.
-    near = sorted((least, threshold) for (threshold, least), g in gains.items() if g >= max(gains.values()) - 0.01)
-    first = [t for n, t in near if n == near[0][0]]
-    model = train(rows)
-    model.threshold, model.least = first[len(first) // 2], near[0][0]
-    model.slope = 2.0
+    ordinary = [t for y, t in learn if y == 0]
+    grams, n = np.unique(np.concatenate([np.unique(_grams(_flat(t))) for t in ordinary]), return_counts=True)
+    known = grams[n >= KNOWN]
+    flat = [w for t in ordinary for w in windows(t) if len(w) >= 8]
+    flat = [flat[i] for i in np.sort(rng.permutation(len(flat))[:ORDINARY_SAMPLES]).tolist()]
+    model = Model(_trained(flat, ORDINARY, 64), _trained([s for y, t in learn if y for s in novel(t, known)], TOXIC, 12))
+    # Calibration: the weights of saved bytes, then the threshold of their sum.
+    y = np.array([y for y, _ in held])
+    saved = [np.clip(model.saved(windows(t)), -1, MOST) + 1 for _, t in held]
+    counts = [np.bincount(np.concatenate([s for s, z in zip(saved, y, strict=True) if z == label]), minlength=MOST + 2) for label in (0, 1)]
+    model.weights = rising_odds(*counts)
+    total = np.array([model.weights[s].sum() for s in saved])
+    cuts = np.arange(0.25, 8.1, 0.25)
+    gain = np.array([(total[y == 1] > c).mean() - CLEAN * (total[y == 0] > c).mean() for c in cuts])
+    model.threshold = float(cuts[np.flatnonzero(gain >= gain.max() - 0.01)].mean())
     return model
 
 
 def score(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
-    """Per row: id, score in 0..1, predicted, the windows, those found toxic and the largest excess.
+    """Per row: id, score in 0..1, predicted, the windows, those that weigh for toxicity and the bytes saved.
 
     ``train`` is a condition on the label rows' ``doc_id``; the sample has about ``SAMPLE`` rows of
     each label of at most ``LONGEST`` characters. Null texts count as empty and score as text
-    without a toxic window; without both labels all documents do. Repeated rows repeat.
+    without a window; without both labels every score is 0. Repeated rows repeat.
     With ``keep``, returns instead the rows of ``docs``, all columns, that are not predicted toxic.
     """
     small_batches(docs.sparkSession)
     rows, _ = labelled(docs, labels, train, label_col, SAMPLE, LONGEST, id_col, text_col)
     model = docs.sparkSession.sparkContext.broadcast(fit(rows))
 
-    def judge(text: bytes) -> tuple[float, int, int, int, int]:
+    def judge(texts: list[bytes]) -> list[tuple[float, int, int, int, int]]:
         m = model.value
-        return m.judge(text) if m is not None else (0.0, 0, len(windows(text)), 0, 0)
+        return m.judge(texts) if m is not None else [(0.0, 0, len(windows(t)), 0, 0) for t in texts]
 
     if keep:
 
         def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in chunks(batches, text_col):
-                yield b.filter(pa.array([judge(t)[1] == 0 for t in byte_texts(b, text_col)], pa.bool_()))
+                yield b.filter(pa.array([r[1] == 0 for r in judge(byte_texts(b, text_col))], pa.bool_()))
 
         return docs.mapInArrow(kept, docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            s, p, n, hits, most = zip(*map(judge, byte_texts(b)), strict=True)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array(p, pa.int32()), pa.array(n, pa.int32()), pa.array(hits, pa.int32()), pa.array(most, pa.int32())], names=["doc_id", "score", "predicted", "windows", "toxic_windows", "most_excess"])
+            s, p, n, hits, saved = zip(*judge(byte_texts(b)), strict=True)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array(p, pa.int32()), pa.array(n, pa.int32()), pa.array(hits, pa.int32()), pa.array(saved, pa.int32())], names=["doc_id", "score", "predicted", "windows", "toxic_windows", "saved"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
