@@ -3,12 +3,14 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -121,6 +123,39 @@ def test_toxicity_and_quality_on_held_out_rows(spark):
     assert np.mean([r.predicted == truth[r.doc_id].quality for r in q]) > 0.95
 
 
+def test_toxicity_compares_window_lengths():
+    rng = random.Random(8)
+    parts = "ba be bi bo bu da de di do du ka ke ki ko ku ma me mi mo mu".split()
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(1, 4)))
+    rows = []
+    for i in range(1200):
+        w = [word() for _ in range(rng.randint(5, 120))]
+        if i % 4 == 0:
+            for k in range(0, len(w), 25):
+                w[k + rng.randrange(min(25, len(w) - k))] = rng.choice(["zarquon", "flumptious", "grobnik", "vexarious"])
+        rows.append((int(i % 4 == 0), " ".join(w).encode()))
+    model = toxicity.fit(rows[:900])
+    held = rows[900:]
+    got = model.judge([t for _, t in held])
+    # Every pair of a toxic and an ordinary document in the right order (ties count half).
+    s1, s0 = ([g[0] for g, (y, _) in zip(got, held, strict=True) if y == k] for k in (1, 0))
+    assert np.mean([(a > b) + (a == b) / 2 for a in s1 for b in s0]) > 0.97 and len(set(s1)) > 20
+    # The same by one call of the library for each window.
+    ordinary, toxic = model.raw
+    p = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_GREEDY, min_match=4, window_log=18, hash_log=18, chain_log=18, search_log=6, write_content_size=False, write_checksum=False, write_dict_id=False)
+    one, two = (zstandard.ZstdCompressor(compression_params=p, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for d in (ordinary + bytes(len(toxic)), ordinary + toxic))
+    for (_, t), g in zip(held[:60], got, strict=False):
+        w = t.decode().lower().split()
+        cut = [f" {' '.join(w[i : i + 8])} ".encode() for i in range(0, len(w), 8)]
+        saved = [len(one.compress(x)) - len(two.compress(x)) for x in cut]
+        total = sum(model.weights[min(max(x, -1), toxicity.MOST) + 1] for x in saved)
+        assert g[2:] == (len(cut), sum(model.weights[min(max(x, -1), toxicity.MOST) + 1] > 1 for x in saved), sum(saved))
+        assert g[0] == pytest.approx(1 / (1 + math.exp(model.threshold - total))) and g[1] == (total >= model.threshold)
+    assert model.judge([b""]) == [(pytest.approx(1 / (1 + math.exp(model.threshold))), 0, 0, 0, 0)]
+    long = [b"x" * 100_000, b"ab " * 100_000]
+    assert [g[2] for g in model.judge(long)] == [math.ceil(math.ceil(100_000 / 48) / 8), 12_500]
+
+
 def test_language_on_held_out_rows(spark, small):
     truth = {i: lang for i, _, lang in documents(small)}
     got = [r for r in queries.op6_language_id(spark, small).collect() if r.held_out]
@@ -174,9 +209,48 @@ def test_main_text(name):
     assert html.main_text(page)[0] == want
 
 
+def brute_features(shape):
+    out = []
+    for i in range(len(shape)):
+        row = []
+        for j in (i, i - 1, i + 1, i - 2, i + 2):
+            row += shape[j] if 0 <= j < len(shape) else (0, 0.0)
+        out.append(tuple(row))
+    return out
+
+
+def test_density_tree_of_the_labelled_table(small):
+    pages = [[(*map(int, e[:-1].split("/")), e[-1] == "+") for e in line.split()] for line in html.LABELLED.strip().splitlines()]
+    rows = [brute_features([(n, k / n) for n, k, _ in p]) for p in pages]
+    for p, r in zip(pages, rows, strict=True):
+        assert html.features([(n, k / n) for n, k, _ in p]) == r and [html.classify(x) for x in r] == [y for *_, y in p]
+    # A tree of the other pages' blocks, on each page.
+    right = []
+    for i, p in enumerate(pages):
+        rest = [j for j in range(len(pages)) if j != i]
+        tree = html.grow(np.array([x for j in rest for x in rows[j]]), np.array([float(y) for j in rest for *_, y in pages[j]]))
+        right += [html.classify(x, tree) == y for x, (*_, y) in zip(rows[i], p, strict=True)]
+    assert np.mean(right) > 0.95
+
+
+def test_density_decides_without_names(small):
+    """With classes and the elements that name a part taken out, what the tree alone does is nearly the same."""
+    plain = lambda h: re.sub(r"</?(article|nav|footer|aside|main|header)\b[^>]*>", "<div>", re.sub(r' (class|id|role)="[^"]*"', "", h))
+    pages = [h for (h,) in duckdb.sql(f"select html from '{small}/pages.parquet' where html is not null").fetchall()]
+    blocks = declared = wrong = 0
+    for h in pages:
+        text, n, _, d = html.main_text(h)
+        alone = html.main_text(plain(h))
+        assert alone[1] == n and alone[3] == 0
+        blocks, declared = blocks + n, declared + d
+        wrong += len(set(text.split("\n")) ^ set(alone[0].split("\n")))
+    assert declared / blocks < 0.08 and wrong / blocks < 0.08
+
+
 def test_pages(spark, small):
     df = spark.createDataFrame([(1, None, "<p>x"), (2, "u", None), (2, "u", None), (None, "v", "<!-- never ends")], "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(1))
     assert sorted((str(r.page_id), r.text) for r in html.extract(df).collect()) == [("1", "x"), ("2", ""), ("2", ""), ("None", "")]
+    assert html.extract(df.limit(0)).count() == 0
     rows = queries.op3_html_extraction(spark, small).collect()
     assert all(r.n_chars == len(r.text) for r in rows) and all(r.text for r in rows)
 

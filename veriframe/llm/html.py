@@ -1,9 +1,13 @@
 """Main text of web pages from flat text blocks.
 
 A page becomes a flat list of text blocks. A block is described by its number of words and its
-link density, those of its neighbours, and where it stands: inside the page's article, inside a
-part that names itself as a menu, footer, advert and so on, and whether it is a heading. A
+link density, and by those of the two blocks before and the two after it, nothing else. A
 decision tree, grown by Gini impurity on the small labelled table below, keeps or drops it.
+
+What density can't tell, the markup may say outright: a block that the tree keeps still goes if it
+stands in a part that declares itself to be none of the article (a nav, footer, aside, form, hidden
+part, or one whose class, id or role names an advert, sidebar, notice or comments). The check only
+takes away; markup never brings back what the tree drops.
 """
 
 from __future__ import annotations
@@ -19,37 +23,38 @@ from pyspark.sql import functions as F
 
 from veriframe.llm.common import chunks, small_batches
 
-SCHEMA = "page_id long, url string, text string, blocks int, kept int"
+SCHEMA = "page_id long, url string, text string, blocks int, kept int, declared int"
 
 _TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
-_SKIPPED = frozenset("script style title noscript template textarea select button svg iframe object canvas audio video math datalist".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
+_SKIPPED = frozenset("script style title noscript template textarea select datalist button svg iframe canvas audio video".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math meter object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_BOILER = frozenset("nav footer aside form menu dialog header address".split())
+_OTHER = frozenset("nav footer aside form menu dialog header address".split())
 _LOOSE = frozenset("p li dt dd tr td th option thead tbody tfoot html body head h1 h2 h3 h4 h5 h6".split())
-# Words of class, id and role that name a part which is not the article.
-_NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation footer header masthead banner breadcrumb breadcrumbs comment comments respond reply "
-    "disqus discussion notice cookie cookies consent gdpr popup modal overlay alert warning share sharing social related recommended newsletter subscribe subscription signup login search widget toolbar "
-    "pagination pager copyright legal disclaimer tags byline complementary contentinfo topbar skip outbrain taboola feedback form".split()
+# Words of class, id and role that name a part which is not the article, and those that do so only
+# outside it, where the article's own parts (tags, a share of something, a discussion) can't be meant.
+_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsored promo sidebar menu nav navbar navigation navigationbar footer masthead breadcrumb breadcrumbs comment comments respond disqus cookie cookies newsletter outbrain taboola".split())
+_NAMES_OUTSIDE = frozenset(
+    "banner header consent gdpr notice popup modal overlay alert warning share sharing social related recommended subscribe subscription signup login search widget toolbar "
+    "pagination pager copyright legal disclaimer tags complementary contentinfo topbar skip feedback sponsor promotion discussion reply".split()
 )
 _ARTICLE = frozenset("article main story post entry content articlebody maincontent".split())
 
+Block = tuple[str, int, int, bool]
+
 
-def blocks(page: str) -> list[tuple[str, int, int, int, int, int, str]]:
-    """Of each text block: text, words, linked words, inside an article, inside another part, heading level, and its tag."""
-    out = []
+def blocks(page: str) -> list[Block]:
+    """Of each text block: text, words, linked words, and whether it stands in a part that names itself as none of the article."""
+    out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []
     art = boil = 0
     text: list[str] = []
     linked: list[str] = []
     link = 0
-    tag = ""
     at, n = 0, len(page)
-    seen_article = False
 
     def flush() -> None:
         nonlocal text, linked
@@ -61,7 +66,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int, str]]:
             if t:
                 words = len(_WORD.findall(t)) or 1
                 in_links = len(_WORD.findall(html.unescape("".join(linked)))) if linked else 0
-                out.append((t, words, min(words, in_links), int(art > 0), int(boil > 0), int(tag[1]) if len(tag) == 2 and tag[0] == "h" and tag[1].isdigit() else 0, tag))
+                out.append((t, words, min(words, in_links), boil > 0))
             text, linked = [], []
 
     while at < n:
@@ -94,11 +99,10 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int, str]]:
                 continue
             flush()
             link = 0
-            tag = name
             if name in _VOID or m[3].endswith("/"):
                 continue
             raw = m[3]
-            is_boiler = name in _BOILER and not (name in ("header", "address") and art)
+            is_boiler = name in _OTHER and not (name in ("header", "address") and art)
             is_article = name in ("article", "main")
             if raw and not raw.isspace():
                 names: set[str] = set()
@@ -108,7 +112,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int, str]]:
                         names.update(re.split(r"[^a-z]+", value.lower()))
                     elif key == "hidden" or (key == "style" and "display:none" in value.replace(" ", "").lower()) or (key == "aria-hidden" and value == "true"):
                         is_boiler = True
-                if names & _NAMES:
+                if names & _NAMES or (not art and names & _NAMES_OUTSIDE):
                     is_boiler = True
                 elif names & _ARTICLE and name in ("div", "section", "td"):
                     is_article = True
@@ -125,14 +129,12 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int, str]]:
                 continue
             stack.append((name, is_article, is_boiler))
             art, boil = art + is_article, boil + is_boiler
-            seen_article |= is_article
         else:
             if name in _INLINE:
                 if name == "a":
                     link = 0
                 continue
             flush()
-            tag = ""
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     for _, a, b in stack[k:]:
@@ -140,86 +142,34 @@ def blocks(page: str) -> list[tuple[str, int, int, int, int, int, str]]:
                     del stack[k:]
                     break
     flush()
-    return [(*b[:3], 2 if b[3] else 0 if seen_article else 1, *b[4:]) for b in out]
+    return out
 
 
-# The labelled table. Columns: words, link density, words and density of the block
-# before, of the block after, place (2 in the article, 1 no article on the page, 0 outside it),
-# named part, heading level, keep.
+# The labelled table. A line is a page, an entry a block: its words, linked words and + (article) or - (not).
 LABELLED = """
- 1 1.0   0 0.0   1 1.0  0 1 0  0
- 1 1.0   1 1.0   1 1.0  0 1 0  0
- 2 1.0   1 1.0   8 0.0  0 1 0  0
- 8 0.0   1 1.0  10 0.0  0 1 0  0
-12 0.1  40 0.0   0 0.0  0 1 0  0
-60 0.0  40 0.0   0 0.0  0 1 0  0
-35 0.0  12 0.0  35 0.0  2 1 0  0
- 6 0.0  50 0.0  20 0.0  2 1 0  0
- 4 1.0  50 0.0   4 1.0  2 1 0  0
- 9 0.3  90 0.0  12 0.1  1 1 0  0
-30 0.0  90 0.0  30 0.0  1 1 0  0
-80 0.0  90 0.0  60 0.0  1 1 2  0
-10 0.0   8 0.0  60 0.0  2 0 1  1
- 3 0.0   8 0.0   4 0.0  2 0 1  1
- 1 0.0  60 0.0  80 0.0  2 0 0  1
- 2 0.0   2 0.0   2 0.0  2 0 0  1
- 5 0.0  70 0.0   9 0.1  2 0 0  1
-45 0.0  10 0.0  60 0.0  2 0 0  1
-90 0.05 45 0.0  30 0.0  2 0 0  1
-15 0.4  45 0.0  30 0.0  2 0 0  1
-12 0.7  45 0.0  30 0.0  2 0 0  1
- 1 1.0  45 0.0  30 0.0  2 0 0  1
- 4 1.0  45 0.0  30 0.0  2 0 2  1
-300 0.0 10 0.0   5 0.0  2 0 0  1
- 9 0.0   3 1.0  12 0.0  2 0 0  1
-30 0.0   4 0.9  20 0.5  2 0 0  1
- 6 1.0   3 1.0   4 1.0  2 0 0  1
-14 0.0   6 0.6   0 0.0  2 0 1  1
- 3 0.5  20 0.8   9 0.7  2 0 0  1
-22 0.1  11 1.0  50 0.0  2 0 0  1
-30 0.0  20 0.0   2 1.0  2 0 0  1
-12 0.0   8 0.0   1 1.0  2 0 0  1
- 2 1.0   2 1.0   3 1.0  2 0 0  1
- 5 0.0   3 1.0  30 0.0  2 0 0  1
- 3 1.0   4 1.0   9 0.0  2 0 0  1
- 2 0.0   2 1.0   2 1.0  2 0 0  1
- 3 1.0  50 0.0   3 1.0  2 0 0  1
- 5 0.8   3 1.0   9 0.0  2 0 0  1
- 2 1.0   2 1.0   2 1.0  2 0 0  1
- 7 0.6  50 0.0   3 1.0  2 0 0  1
- 9 0.9   9 0.9  40 0.0  2 0 0  1
- 4 1.0   0 0.0   0 0.0  2 0 0  1
- 5 0.0   3 1.0   2 1.0  2 0 0  1
- 8 0.0   2 1.0   4 1.0  2 0 0  1
- 6 0.0   4 1.0  40 0.0  0 0 0  0
-70 0.0  15 0.9  90 0.0  0 0 0  0
-12 0.0   9 0.0  80 0.0  0 0 0  0
-33 0.0   0 0.0  62 0.0  0 0 0  0
-40 0.0   4 1.0  10 0.0  0 0 0  0
-120 0.0 60 0.0   9 0.1  0 0 0  0
- 3 0.9   2 1.0   3 0.9  0 0 0  0
- 9 0.0  60 0.0   0 0.0  0 0 2  0
- 2 1.0   0 0.0   2 1.0  1 0 0  0
- 3 1.0   2 1.0   3 1.0  1 0 0  0
- 5 0.8   3 1.0   9 0.0  1 0 0  0
- 3 1.0   3 1.0  50 0.0  1 0 0  0
- 4 1.0  60 0.0   3 1.0  1 0 0  0
- 7 0.6  50 0.0   3 1.0  1 0 0  0
- 5 0.0   3 1.0   2 1.0  1 0 0  0
- 6 0.0   3 1.0   0 0.0  1 0 0  0
- 8 0.0   3 1.0  60 0.0  1 0 1  1
- 5 0.0   0 0.0  40 0.0  1 0 1  1
- 6 0.0  50 0.0  60 0.0  1 0 2  1
-25 0.0   8 0.0  30 0.0  1 0 0  1
-60 0.0   8 0.0  70 0.0  1 0 0  1
-90 0.1  60 0.0  20 0.0  1 0 0  1
-200 0.0  0 0.0   0 0.0  1 0 0  1
-18 0.0  60 0.0  55 0.0  1 0 0  1
- 4 0.0  60 0.0  55 0.0  1 0 0  1
- 2 0.0  30 0.0  70 0.0  1 0 0  1
-20 0.2  60 0.0  40 0.0  1 0 0  1
- 5 0.0  60 0.0   0 0.0  1 0 0  1
- 7 0.0   0 0.0   0 0.0  1 0 0  1
+1/1- 1/1- 2/2- 1/1- 8/0+ 55/2+ 70/0+ 3/0+ 44/1+ 2/0- 6/6- 7/7- 5/5- 14/3-
+5/5- 12/0+ 7/2+ 90/4+ 33/0+ 5/5+ 61/0+ 120/6+ 18/0-
+2/2- 1/1- 1/1- 3/3- 2/2- 1/1- 6/0+ 210/0+ 26/8-
+1/1- 1/1- 1/1- 11/0+ 14/0+ 9/0+ 22/0+ 6/0+ 40/0+ 1/0+ 16/0+ 13/0-
+10/0+ 48/0+ 35/3+ 80/0+ 9/9- 8/8- 6/6- 20/0-
+1/0- 2/2- 3/3- 1/0- 2/2- 4/4- 15/0+ 60/5+ 4/0+ 75/2+ 28/1+ 1/0- 4/4- 5/5- 11/0-
+6/0+ 2/0+ 150/9+ 3/0+ 95/0+ 2/0+
+3/3- 4/4- 9/0+ 30/0+ 12/0+ 19/0+ 25/0+ 10/0+ 17/1+ 8/8+ 50/0+ 36/0+ 41/0+
+7/0+ 5/0+ 3/0+
+12/0+
+65/1+ 40/0+ 38/0+
+2/2- 2/2- 7/0+ 1/0+ 34/0+ 1/0+ 52/0+ 24/3+ 2/0+ 21/0+ 9/2-
+1/1- 1/1- 1/1- 1/1- 1/1- 1/1- 13/0+ 20/0+ 31/0+ 18/0+ 1/0+ 9/0+ 10/0-
+4/0+ 3/0+ 6/6+ 58/0+ 12/9- 10/8- 22/4-
+1/1- 2/2- 18/0+ 24/0+ 5/0+ 7/0+ 29/0+ 16/0-
+300/12+ 90/2+ 7/7- 6/6- 3/3- 8/0-
+1/1- 1/1- 2/2- 9/0+ 24/0+ 3/0+ 120/0+ 12/0-
+1/1- 3/3- 1/1- 14/0+ 70/2+ 45/0+ 80/1+ 25/0-
+2/2- 2/2- 5/0+ 10/0+ 33/0+ 18/0-
+1/1- 2/2- 1/1- 16/0+ 28/0+ 60/0+ 2/0+ 7/0-
+8/0+ 44/0+ 90/3+ 45/0+
+2/2- 6/0+ 52/0+ 28/0+
+1/1- 1/1- 11/0+ 37/0+ 4/0+ 21/0-
 """
 
 Node = tuple | int
@@ -248,41 +198,53 @@ def grow(x: np.ndarray, y: np.ndarray, least: int = 1) -> Node:
     return f, t, grow(x[low], y[low], least), grow(x[~low], y[~low], least)
 
 
-_table = np.array([[float(v) for v in line.split()] for line in LABELLED.strip().splitlines()])
-TREE = grow(_table[:, :-1], _table[:, -1])
+def features(shape: list[tuple[int, float]]) -> list[tuple[float, ...]]:
+    """Words and link density of each block, of the two before it and of the two after; none stand beyond the page's ends."""
+    edge = [(0, 0.0)] * 2
+    w = [*edge, *shape, *edge]
+    return [(*w[i + 2], *w[i + 1], *w[i + 3], *w[i], *w[i + 4]) for i in range(len(shape))]
+
+
+def learnt() -> Node:
+    rows, keep = [], []
+    for line in LABELLED.strip().splitlines():
+        entries = [(*map(int, e[:-1].split("/")), e[-1] == "+") for e in line.split()]
+        rows += features([(n, k / n) for n, k, _ in entries])
+        keep += [y for *_, y in entries]
+    return grow(np.array(rows), np.array(keep, float))
 
 
-def classify(row: tuple, node: Node = TREE) -> int:
+TREE = learnt()
+
+
+def classify(row: tuple[float, ...], node: Node = TREE) -> int:
     while not isinstance(node, int):
         f, t, low, high = node
         node = low if row[f] <= t else high
     return node
 
 
-def main_text(page: str) -> tuple[str, int, int]:
-    """The text, the number of blocks and of those kept."""
+def main_text(page: str) -> tuple[str, int, int, int]:
+    """The text, the number of blocks, of those that the tree keeps, and of those that the markup takes away from them."""
     found = blocks(page)
-    kept = []
-    edge = (0, 0.0)
-    shape = [edge, *((b[1], b[2] / b[1]) for b in found), edge]
-    for i, b in enumerate(found):
-        if classify((*shape[i + 1], *shape[i], *shape[i + 2], b[3], b[4], b[5])):
-            kept.append(b[0])
-    return "\n".join(kept), len(found), len(kept)
+    kept = [b for b, row in zip(found, features([(n, k / n) for _, n, k, _ in found]), strict=True) if classify(row)]
+    text = [t for t, _, _, other in kept if not other]
+    return "\n".join(text), len(found), len(kept), len(kept) - len(text)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Per row: page_id, url, text, the number of blocks and of those kept.
+    """Per row: page_id, url, text, the number of blocks, of those the tree keeps and of those of them that the markup takes away.
 
     Null and empty pages give an empty text; markup that never ends runs to the end of the page;
     repeated rows repeat; pages of any length are read whole; an empty table gives no rows.
     """
 
     small_batches(pages.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches, "html"):
-            rows = [main_text(p) if p else ("", 0, 0) for p in b.column(2).to_pylist()]
-            t, n, k = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(t, pa.string()), pa.array(n, pa.int32()), pa.array(k, pa.int32())], names=["page_id", "url", "text", "blocks", "kept"])
+            rows = [main_text(p) if p else ("", 0, 0, 0) for p in b.column(2).to_pylist()]
+            text, *counts = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), *(pa.array(c, pa.int32()) for c in counts)], names=["page_id", "url", "text", "blocks", "kept", "declared"])
 
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, SCHEMA)
