@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -353,6 +354,12 @@ def test_pieces_as_the_library(spark, small, odd, empty):
     for t, (n, ids, decoded) in zip(texts, p.encode([t.encode() for t in texts]), strict=True):
         want = [sp.bos_id(), *sp.encode(t), sp.eos_id()]
         assert np.frombuffer(ids, "<u4").tolist() == want and n == len(want) and decoded.decode() == sp.decode(want)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    unbroken = ["the" * 350_000, " " * 1_000_000, "".join(rng.choices(letters, k=1_000_000)), "x" * 65 + " " + "ab" * 40 + "\n" * 200, *("".join(rng.choices(" ethinaosr%", k=rng.randint(60, 400))).replace(" ", "q") for _ in range(100))]
+    start = time.monotonic()
+    for t, (_, ids, decoded) in zip(unbroken, p.encode([t.encode() for t in unbroken]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == [sp.bos_id(), *sp.encode(t), sp.eos_id()] and decoded.decode() == sp.decode(sp.encode(t))
+    assert time.monotonic() - start < 60
     got = {r.doc_id: r for r in pieces.encode_decode(odd, MODEL).collect()}
     for r in odd.filter("doc_id is not null").collect():
         want = [sp.bos_id(), *sp.encode(r.text or ""), sp.eos_id()]

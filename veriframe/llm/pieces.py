@@ -4,13 +4,17 @@ All words of a batch that were not met before lie in one flat array of symbols.
 up the rank of every adjacent pair, takes the smallest rank of each segment, merges all its
 leftmost occurrences at once and compacts the array; segments without a pair leave. A segment
 is a stretch that no piece can cross: it ends where two characters are adjacent in no piece.
+A round costs as much as the array is long, so segments of over ``LONG`` symbols (unbroken text,
+runs of spaces) leave it for a queue of pairs, whose work grows with n log n; ids are the same.
 Words repeat, so a bounded table keeps the ids and the decoded bytes of the words met.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +28,7 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 SPACE = "▁"
 NONE = np.int32(1 << 30)
 WORDS_KEPT = 50_000  # in each of two generations
+LONG = 64  # symbols
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 
 
@@ -102,6 +107,7 @@ class Pieces:
         self.rank = np.full(n, NONE, np.int32)
         for i, r in rank.items():
             self.rank[i] = r
+        self.pairs, self.ranks = {a << 16 | b: i for (a, b), i in pairs.items()}, self.rank.tolist()
         self.pair_keys, self.pair_ids = self._table({a * 65536 + b: i for (a, b), i in pairs.items()})
         known = {ord(c) for pair in adjacent for c in pair}
         self.adj_keys, _ = self._table({ord(a) * 0x110000 + ord(b): 1 for a, b in adjacent if ord(a) in known})
@@ -140,6 +146,41 @@ class Pieces:
     def _pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.where((a < 0) | (b < 0), np.int32(-1), self._find(self.pair_keys, self.pair_ids, a.astype(np.int64) * 65536 + b))
 
+    def _queued(self, given: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places and ids that stay of one long segment's symbols: always the pair of the least rank, the leftmost of equal ones."""
+        n, pairs, rank = len(given), self.pairs, self.ranks
+        sym, after, before = array("i", given.tolist()), array("q", range(1, n + 1)), array("q", range(-1, n - 1))
+        to = self._pairs(given[:-1], given[1:])
+        first = np.flatnonzero(to >= 0)
+        # Rank and place as one number. The pairs at hand are sorted once, those that arise wait in a heap.
+        ready = np.sort(self.rank[to[first]].astype(np.int64) << 40 | first)[::-1]
+        ready = array("q", ready.tobytes())
+        arisen: list[int] = []
+        while ready or arisen:
+            key = heapq.heappop(arisen) if not ready or (arisen and arisen[0] < ready[-1]) else ready.pop()
+            left = key & (1 << 40) - 1
+            right = after[left]
+            if sym[left] < 0 or right >= n or sym[right] < 0:
+                continue
+            new = pairs.get(sym[left] << 16 | sym[right])
+            if new is None or rank[new] != key >> 40:  # one of the two has changed since
+                continue
+            sym[left], sym[right] = new, -2
+            right = after[left] = after[right]
+            if right < n:
+                before[right] = left
+                x = pairs.get(new << 16 | sym[right]) if sym[right] >= 0 else None
+                if x is not None:
+                    heapq.heappush(arisen, rank[x] << 40 | left)
+            right = before[left]
+            if right >= 0 and sym[right] >= 0:
+                x = pairs.get(sym[right] << 16 | new)
+                if x is not None:
+                    heapq.heappush(arisen, rank[x] << 40 | right)
+        out = np.frombuffer(sym, np.int32)
+        stay = np.flatnonzero(out != -2)
+        return stay, out[stay]
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in order and the n+1 offsets of the words among them."""
         cp = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -152,6 +193,15 @@ class Pieces:
             cut[1:] |= self._find(self.adj_keys, np.zeros(len(self.adj_keys), np.int32), cp[:-1] * 0x110000 + cp[1:]) < 0
         seg = np.cumsum(cut) - 1
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        edges = np.flatnonzero(np.append(cut, True))
+        over = np.flatnonzero(np.diff(edges) > LONG)
+        if len(over):
+            short = np.ones(len(sym), bool)
+            for a, b in zip(edges[over].tolist(), edges[over + 1].tolist(), strict=True):
+                at, ids = self._queued(sym[a:b])
+                done.append((a + at, ids))
+                short[a:b] = False
+            sym, pos, seg = sym[short], pos[short], seg[short]
         while len(sym):
             n = len(sym)
             same = np.zeros(n, bool)
