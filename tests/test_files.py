@@ -169,6 +169,23 @@ def test_strokes_and_pixels():
     assert np.allclose(images.resize(np.full((4, 4), 7.0), 8, 2), 7) and np.allclose(images.blur(np.full((5, 5), 3.0), 1), 3)
 
 
+def test_heading_parts_and_weight():
+    boxes = [(0, 0, 60, 10), (0, 12, 110, 22), (0, 24, 40, 34)]
+    assert reference.parts_of([0, 1, 2], ["GOVERN", "WARNINGBODY", "BODY"], boxes, 13) == ([(0, 0, 60, 10), (0, 12, 70, 22)], [(70, 12, 110, 22), (0, 24, 40, 34)])
+    assert reference.parts_of([0, 1], ["GOVERNMENTWARNING", "BODY"], boxes, 16) == ([boxes[0]], [boxes[1]])
+    assert reference.parts_of([0, 1], ["A" * 100, "BODY"], boxes, 97) is None  # two pixels would be left
+    gray = np.full((40, 120), 200)
+    gray[2:7, 4:56] = 0
+    gray[14:16, 4:100] = gray[26:28, 4:36] = 0
+    ratio = reference.contrast(gray, ([boxes[0]], boxes[1:]))
+    assert ratio == pytest.approx((2 * 52 * 5 / (2 * 52 + 2 * 3)) / (2 * (96 * 2 + 32 * 2) / (96 * 2 + 32 * 2)))
+    assert reference.contrast(None, ([], [])) is None and reference.contrast(gray, None) is None and reference.contrast(gray, ([boxes[0]], [(0, 36, 10, 39)])) is None
+    # The mean is rounded down, so a crop of one grey and one pixel less has no ink below it.
+    flat = np.full((6, 6), 101)
+    flat[0, 0] = 100
+    assert reference.stroke_width(flat, [(0, 0, 6, 6)]) is None
+
+
 def test_heading_split(spark):
     rows = [("a", 0, "GOVERN", 0, 0, 60, 10), ("a", 1, "WARNINGBODY", 0, 12, 110, 22), ("a", 2, "BODY", 0, 24, 40, 34)]
     parts = reference.split_heading(spark.createDataFrame(rows, "label string, k int, norm string, x0 int, y0 int, x1 int, y1 int"), F.lit(13)).collect()

@@ -10,14 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.config import BAND, DEFAULT, EMPHASIS_CONTRAST, FOUND_ENOUGH, MAX_REFERENCE_RUN, SEED_GATE, WORD_GATE, Options
+from veriframe.config import BAND, DEFAULT, EMPHASIS_CONTRAST, FOUND_ENOUGH, INLINE_GATE, MAX_REFERENCE_RUN, SEED_GATE, WORD_GATE, Options
 from veriframe.functions import align
 from veriframe.functions import text as T
 from veriframe.operators.geometry import kept, order_of_reading
 
 REFERENCE_SCHEMA = (
     "label {label}, reference string, status string, reason string, distance double, agreement double, coverage double, read string, parts int, confidence double, "
-    "x0 int, y0 int, x1 int, y1 int, heading string, heading_status string, heading_reason string, members array<int>"
+    "x0 int, y0 int, x1 int, y1 int, heading string, heading_status string, heading_reason string, heading_ratio double, members array<int>"
 )
 
 
@@ -100,11 +100,64 @@ def judge_heading(read: str, ratio: float | None) -> tuple[str, str]:
     return ("VERIFIED", "") if ratio >= EMPHASIS_CONTRAST else ("REVIEW", "header_weight_uncertain")
 
 
-def _judge(label: str, name: str, passage: str, span: tuple[int, int] | None, texts: list[str], boxes: list[tuple], conf: list[float], idx: list[int], cc: int) -> tuple:
+def parts_of(members: list[int], norms: list[str], boxes: list[tuple], n: int) -> tuple[list[tuple], list[tuple]] | None:
+    """The boxes of a heading of n normalized characters at the front of a chain, and of the body.
+
+    The box that the heading ends in is cut in proportion to its characters, unless two pixels or fewer would be left.
+    """
+    head, body, got = [], [], 0
+    for m in members:
+        x0, y0, x1, y1 = boxes[m]
+        size = len(norms[m])
+        if got >= n:
+            body.append(boxes[m])
+        elif got + size <= n + 2:
+            head.append(boxes[m])
+        else:
+            cut = x0 + int((x1 - x0) * (n - got) / size)
+            if cut <= x0 + 2 or cut >= x1 - 2:
+                return None
+            head.append((x0, y0, cut, y1))
+            body.append((cut, y0, x1, y1))
+        got += size
+    return head, body
+
+
+def contrast(gray: np.ndarray | None, parts: tuple[list[tuple], list[tuple]] | None) -> float | None:
+    """The stroke width of a heading over the body's; nothing where either can't be measured."""
+    if gray is None or parts is None:
+        return None
+    head, body = (stroke_width(gray, p) for p in parts)
+    return head / body if head and body else None
+
+
+Heading = tuple[str | None, str | None, str | None, float | None]
+
+
+def _heading(want: str, best: dict, texts: list[str], norms: list[str], boxes: list[tuple], gray: np.ndarray | None, cc: int) -> Heading:
+    """A heading set apart is looked for first; else it is the front of the match, if that reads like it."""
+    members = best["members"]
+    apart = find_heading(want, members, texts, boxes, cc)
+    if apart is not None:
+        read = " ".join(texts[i].strip() for i in apart)
+        parts = [boxes[i] for i in apart], [boxes[m] for m in members]
+    else:
+        word = _norm(want)
+        _, at = T.normalize_with_offsets(best["text"])
+        start, stop = best["start"], min(best["start"] + len(word), len(best["norm"]))
+        read = best["text"][at[start] : at[stop]].strip() if start < stop < len(at) else ""
+        if not read or align.infix_distance(word, _norm(read), cc) > INLINE_GATE:
+            return "", "REVIEW", "heading not read", None
+        parts = parts_of(members, norms, boxes, len(word))
+    ratio = contrast(gray, parts) if has_capitals_only(read) else None
+    return read, *judge_heading(read, ratio), ratio
+
+
+def _judge(label: str, name: str, passage: str, span: tuple[int, int] | None, texts: list[str], boxes: list[tuple], conf: list[float], idx: list[int], gray: np.ndarray | None, cc: int) -> tuple:
     best = find_passage(passage, texts, boxes, cc)
     want_heading = passage[span[0] : span[1]] if span and 0 <= span[0] < span[1] <= len(passage) else ""
     if best is None:
-        blank = (("", "NOT_FOUND", "warning_not_read") if want_heading else (None, None, None))
+        blank = (("", "NOT_FOUND", "warning_not_read", None) if want_heading else (None, None, None, None))
         return (label, name, "NOT_FOUND", "not_found", None, None, None, None, None, None, None, None, None, None, *blank, None)
     members = best["members"]
     stretch = best["norm"][best["start"] : best["stop"]] or best["norm"]
@@ -114,44 +167,48 @@ def _judge(label: str, name: str, passage: str, span: tuple[int, int] | None, te
     read = best["text"][at[best["start"]] : at[best["stop"]]].strip() if best["start"] < best["stop"] < len(at) else best["text"]
     b = [boxes[m] for m in members]
     region = (min(x[0] for x in b), min(x[1] for x in b), max(x[2] for x in b), max(x[3] for x in b))
-    heading: tuple = (None, None, None)
+    heading: Heading = (None, None, None, None)
     if want_heading:
-        if status == "NOT_FOUND":
-            heading = ("", "NOT_FOUND", "warning_not_read")
-        else:
-            word = _norm(want_heading)
-            c, s, e = align.infix(word, best["norm"], cc)
-            if c <= 0.35 * 2 * len(word) and s < e < len(at):
-                inline = best["text"][at[s] : at[e]].strip()
-                heading = (inline, *judge_heading(inline, None))
-            elif (apart := find_heading(want_heading, members, texts, boxes, cc)) is not None:
-                joined = " ".join(texts[i].strip() for i in apart)
-                heading = (joined, *judge_heading(joined, None))
-            else:
-                heading = ("", "REVIEW", "heading not read")
+        heading = ("", "NOT_FOUND", "warning_not_read", None) if status == "NOT_FOUND" else _heading(want_heading, best, texts, [_norm(t) for t in texts], boxes, gray, cc)
     return (label, name, status, reason, best["dist"], agree, cover, read, len(members), min(conf[m] for m in members), *region, *heading, [idx[m] for m in members])
 
 
-def verify_references(detections: DataFrame, references: DataFrame, options: Options = DEFAULT) -> DataFrame:
+def verify_references(detections: DataFrame, references: DataFrame, options: Options = DEFAULT, images: DataFrame | None = None) -> DataFrame:
     """Verdicts of each label and passage.
 
     ``references``: ref_idx, text and emphasis (start, stop; null for none). Passages are few and
     are sent to every task after a check of their number; a label's detections are one group.
+    ``images`` (label, width, height, rgb binary, one row a label) gives the pixels by which a
+    heading's strokes are held against the body's; without them its weight can't be measured.
     """
     passages = [(r.ref_idx, r.text, tuple(r.emphasis) if r.emphasis else None) for r in references.select("ref_idx", "text", "emphasis").orderBy("ref_idx").limit(10_001).collect()]
     if len(passages) > 10_000:
-        raise ValueError("over 10,000 passages; join them by blocks instead")
+        raise ValueError("over 10,000 passages; give them some at a time")
     cc = options.half_cost
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
+    def judged(g: pd.DataFrame, gray: np.ndarray | None) -> pd.DataFrame:
         g = g.sort_values("det_idx", kind="stable")
         boxes = list(zip(g.x0.tolist(), g.y0.tolist(), g.x1.tolist(), g.y1.tolist(), strict=True))
-        rows = [_judge(g.label.iloc[0], "reference" if k == 0 else f"reference_{k + 1}", t, span, g.text.tolist(), boxes, g.confidence.tolist(), g.det_idx.tolist(), cc) for k, (_, t, span) in enumerate(passages)]
+        rows = [_judge(g.label.iloc[0], "reference" if k == 0 else f"reference_{k + 1}", t, span, g.text.tolist(), boxes, g.confidence.tolist(), g.det_idx.tolist(), gray, cc) for k, (_, t, span) in enumerate(passages)] if len(g) else []
         out = pd.DataFrame(rows, columns=[f.split()[0] for f in REFERENCE_SCHEMA.split(", ")], dtype=object)
-        return out.astype({c: "Int32" for c in ("parts", "x0", "y0", "x1", "y1")} | {c: "float64" for c in ("distance", "agreement", "coverage", "confidence")})
+        return out.astype({c: "Int32" for c in ("parts", "x0", "y0", "x1", "y1")} | {c: "float64" for c in ("distance", "agreement", "coverage", "confidence", "heading_ratio")})
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        return judged(g, None)
+
+    def run_with_image(g: pd.DataFrame, image: pd.DataFrame) -> pd.DataFrame:
+        if not len(g) or not len(image):
+            return judged(g, None)
+        r = image.iloc[0]
+        return judged(g, luma(np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3)))
 
+    schema = REFERENCE_SCHEMA.format(label=detections.schema["label"].dataType.simpleString())
     parts = int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number, since a few bytes of labels are many alignments
-    return kept(detections, options).repartition(parts, "label").groupBy("label").applyInPandas(run, REFERENCE_SCHEMA.format(label=detections.schema["label"].dataType.simpleString()))
+    by_label = kept(detections, options).repartition(parts, "label").groupBy("label")
+    if images is None:
+        return by_label.applyInPandas(run, schema)
+    pixels = images.select("label", "width", "height", "rgb").repartition(parts, "label").groupBy("label")
+    return by_label.cogroup(pixels).applyInPandas(run_with_image, schema)
 
 
 def held_exactly(docs: DataFrame, references: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,8 +240,8 @@ def split_heading(members: DataFrame, heading_length: Column) -> DataFrame:
     w = Window.partitionBy("label").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.length("norm")).over(w), F.lit(0))
     n = F.length("norm")
-    share = F.least(F.greatest((heading_length - before) / F.greatest(n, F.lit(1)), F.lit(0.0)), F.lit(1.0))
-    cut = F.col("x0") + F.round((F.col("x1") - F.col("x0")) * F.col("share")).cast("int")
+    share = F.when(before >= heading_length, F.lit(0.0)).when(before + n <= heading_length + 2, F.lit(1.0)).otherwise((heading_length - before) / n)
+    cut = F.col("x0") + F.floor((F.col("x1") - F.col("x0")) * F.col("share")).cast("int")
     out = members.withColumn("share", share).withColumn("cut", cut)
     part = lambda name, lo, hi, c: F.when(c, F.struct(F.lit(name).alias("part"), lo.alias("x0"), F.col("y0"), hi.alias("x1"), F.col("y1")))
     parts = F.array(part("heading", F.col("x0"), F.col("cut"), F.col("share") > 0), part("body", F.col("cut"), F.col("x1"), F.col("share") < 1))
@@ -194,22 +251,22 @@ def split_heading(members: DataFrame, heading_length: Column) -> DataFrame:
 def stroke_width(gray: np.ndarray, boxes: list[tuple]) -> float | None:
     """Mean stroke width of the ink in the boxes over their mean height; nothing where there is no ink.
 
-    Ink is the rarer side of the mean grey. Twice the area over the perimeter is the width of a long stroke.
+    Ink is the rarer side of the mean grey, rounded down. Twice the area over the number of ink
+    pixels at its edge is the width of a long stroke. Boxes of under four pixels a side count as blank.
     """
-    area = edge = heights = used = 0
+    area = edge = heights = 0
     for x0, y0, x1, y1 in boxes:
-        crop = gray[max(0, y0) : y1, max(0, x0) : x1].astype(np.int64)
-        if crop.size == 0:
+        crop = gray[max(0, y0) : max(0, y1), max(0, x0) : max(0, x1)].astype(np.int64)
+        if min(crop.shape) < 4:
             continue
-        dark = crop < crop.mean()
+        dark = crop < crop.sum() // crop.size
         ink = dark if dark.sum() * 2 <= dark.size else ~dark
         pad = np.pad(ink, 1)
-        sides = sum(int((ink & ~pad[1 + dy : 1 + dy + ink.shape[0], 1 + dx : 1 + dx + ink.shape[1]]).sum()) for dy, dx in ((0, 1), (0, -1), (1, 0), (-1, 0)))
+        within = pad[:-2, 1:-1] & pad[2:, 1:-1] & pad[1:-1, :-2] & pad[1:-1, 2:]
         area += int(ink.sum())
-        edge += sides
-        heights += y1 - y0
-        used += 1
-    return 2 * area / edge / (heights / used) if edge and heights else None
+        edge += int((ink & ~within).sum())
+        heights += crop.shape[0]
+    return 2 * area / edge / (heights / len(boxes)) if edge and heights else None
 
 
 def luma(rgb: np.ndarray) -> np.ndarray:

@@ -325,6 +325,44 @@ def reference_heading(spark, d):
     return lines(spark, d).select("label", "det_idx", reference.heading_status(F.col("text"), ratio).alias("status"), reference.heading_reason(F.col("text"), ratio).alias("reason"))
 
 
+# A passage in three boxes on each supplier's label: the heading, and two lines of the body. The
+# heading is set in capitals or not, and its strokes are 2 to 5 pixels thick, the body's 2 to 4.
+_PASSAGE = ("STORE COLD.", "Keep in a dry place", "out of the sun.")
+_STROKES = "s_suppkey AS label, CAST(2 + s_suppkey % 4 AS INT) AS th, CAST(2 + s_nationkey % 3 AS INT) AS tb, s_suppkey % 5 = 2 AS low"
+
+
+def stroked_labels(spark, d):
+    s = table(spark, d, "supplier").selectExpr(*_STROKES.split(", "))
+    head = F.when(F.col("low"), F.initcap(F.lower(F.lit(_PASSAGE[0])))).otherwise(_PASSAGE[0])
+    det = s.select("label", "th", "tb", F.posexplode(F.array(head, *map(F.lit, _PASSAGE[1:]))).alias("det_idx", "text"))
+    det = det.select("label", "det_idx", F.lit(10).alias("x0"), (13 * F.col("det_idx")).alias("y0"), (10 + 8 * F.length("text")).alias("x1"), (13 * F.col("det_idx") + 12).alias("y1"), "text", F.lit(0.9).alias("confidence"))
+    width, grey = 180, lambda n, hexes: F.repeat(F.lit(hexes), n)
+    blank = grey(F.lit(width), "FFFFFF")
+    rows = []
+    for text, thick in zip(_PASSAGE, ("th", "tb", "tb"), strict=True):
+        bar = F.concat(grey(F.lit(12), "FFFFFF"), grey(F.lit(8 * len(text) - 4), "000000"), grey(F.lit(width - 8 - 8 * len(text)), "FFFFFF"))
+        rows += [F.repeat(blank, F.lit(4)), F.repeat(bar, F.col(thick)), F.repeat(blank, 9 - F.col(thick))]
+    return det, s.select("label", F.lit(width).alias("width"), F.lit(39).alias("height"), F.unhex(F.concat(*rows)).alias("rgb"))
+
+
+_WIDTHS = (
+    f"SELECT label, low, (2 * CAST({8 * len(_PASSAGE[0]) - 4} * th AS DOUBLE) / ({2 * (8 * len(_PASSAGE[0]) - 4)} + 2 * (th - 2)) / 12) AS head, "
+    f"(2 * (CAST({8 * len(_PASSAGE[1]) - 4} * tb AS DOUBLE) + {8 * len(_PASSAGE[2]) - 4} * tb) / ({2 * (8 * len(_PASSAGE[1]) - 4)} + {2 * (8 * len(_PASSAGE[2]) - 4)} + 4 * (tb - 2)) / 12) AS body FROM (SELECT {_STROKES} FROM supplier)"
+)
+
+
+@query(
+    "SELECT label, 'VERIFIED' AS status, CASE WHEN low THEN 'MISMATCH' WHEN head / body >= 1.15 THEN 'VERIFIED' ELSE 'REVIEW' END AS heading_status, "
+    f"CASE WHEN low THEN 'header_not_capitals' WHEN head / body >= 1.15 THEN '' ELSE 'header_weight_uncertain' END AS heading_reason, CASE WHEN low THEN NULL ELSE round(head / body, 6) END AS heading_ratio FROM ({_WIDTHS})"
+)
+def reference_emphasis(spark, d):
+    """A heading's capitals and measured weight, from detections and pixels."""
+    det, images = stroked_labels(spark, d)
+    refs = spark.createDataFrame([(0, " ".join(_PASSAGE), [0, len(_PASSAGE[0])])], "ref_idx int, text string, emphasis array<int>")
+    v = reference.verify_references(det, refs, images=images)
+    return v.select("label", "status", "heading_status", "heading_reason", F.round("heading_ratio", 6).alias("heading_ratio"))
+
+
 # Evaluation.
 
 _EVAL = (
