@@ -3,7 +3,9 @@
 Each language has smoothed probabilities of hashed letter n-grams, learnt from a bounded sample.
 A document's n-grams come from a mixture of languages. Expectation-maximisation finds the
 proportions; languages are added to the set one by one while the gain in log likelihood exceeds
-a penalty that grows with the logarithm of the number of n-grams.
+a penalty that grows with the logarithm of the number of n-grams. How well the mixture explains
+the n-grams, on a scale from n-grams never met (0) to the middle one of the learnt documents (1),
+tells text of a known language from junk and from text of languages that were not learnt.
 """
 
 from __future__ import annotations
@@ -20,10 +22,10 @@ from veriframe.llm.common import byte_texts, chunks, joined, small_batches
 BITS = 16
 SAMPLE = 500  # documents of each language, at most about
 LONGEST = 20_000  # characters of a document of the sample
-MOST_LANGUAGES = 1000
 PENALTY = 3.0
 ROUNDS = 12
-SCHEMA = "doc_id long, lang_pred string, score double, languages array<string>, proportions array<double>"
+SLACK = 0.55  # by how much the fit of few n-grams may fall short by chance, times the root of their number
+SCHEMA = "doc_id long, lang_pred string, score double, fit double, languages array<string>, proportions array<double>"
 
 # Bytes that are letters or part of a letter keep their lower case; all others become a space.
 _FOLD = np.full(256, 32, np.uint8)
@@ -61,11 +63,12 @@ def fit(rows: list[tuple[str, bytes]]) -> tuple[list[str], np.ndarray]:
         counts[:, k] = np.bincount(h, minlength=1 << BITS)
     base = (counts.sum(1) + 0.1) / (counts.sum() + 0.1 * (1 << BITS))
     prob = (counts + 200.0 * base[:, None]) / (counts.sum(0) + 200.0)
-    return langs, prob.astype(np.float64)
+    return langs, prob.astype(np.float32)
 
 
-def infer(c: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, float]:
-    """Proportions (zero outside the selected set) and the confidence in the first language, of n-gram counts c with probabilities p."""
+def infer(c: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Of n-gram counts c with probabilities p: proportions (zero outside the selected set), the confidence in the first
+    language, and the mean logarithm of an n-gram's probability."""
     n, k = c.sum(), p.shape[1]
     single = c @ np.log(p)
     best = int(single.argmax())
@@ -92,63 +95,85 @@ def infer(c: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, float]:
     order = np.exp((single - single.max()) / max(1.0, n / 200.0))
     top = int(out.argmax())
     sure = order[top] / order.sum() if len(chosen) == 1 else 1.0
-    return out, float(min(1.0, max(0.0, out[top] * sure)))
+    return out, float(min(1.0, max(0.0, out[top] * sure))), float(ll / n)
+
+
+def counted(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams and their counts; text without one counts as one n-gram."""
+    return np.unique(part if len(part) else np.zeros(1, np.int64), return_counts=True)
+
+
+def ends_of_fit(rows: list[tuple[str, bytes]], prob: np.ndarray) -> tuple[float, float]:
+    """The mean logarithms that count as a fit of 0 and 1: that of n-grams that were never met, and that of half
+    the learnt documents, each third of them explained by the others."""
+    unmet = float(np.log(prob.max(1).min()))
+    means = []
+    for k in range(3):
+        rest = [r for i, r in enumerate(rows) if i % 3 != k]
+        if not rest:
+            continue
+        _, p = fit(rest)
+        for _, t in rows[k::3]:
+            h, _ = ngrams([t])
+            u, c = counted(h)
+            means.append(infer(c.astype(np.float64), p[u].astype(np.float64))[2])
+    return unmet, max(float(np.median(means)) if means else 0.0, unmet + 1.0)
 
 
 def identify(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: float | None = None) -> DataFrame:
-    """Per row: id, lang_pred, score, the selected languages and their proportions.
+    """Per row: id, lang_pred, score, fit, the selected languages and their proportions.
 
     ``train`` says which rows may be learnt from; rows without a language teach nothing. The
-    sample is drawn by a hash of the id, about ``SAMPLE`` rows of each language of at most
-    ``LONGEST`` characters. Null texts and texts without a letter give ``und`` with score 0, and so
-    does every text when nothing could be learnt. Repeated rows give repeated results.
-    With ``keep``, returns instead the rows of ``docs``, all columns, whose language is known with that score.
+    sample is drawn by a hash of id and text, about ``SAMPLE`` rows of each language of at most
+    ``LONGEST`` characters; equal rows count once. Null texts and texts without a letter give
+    ``und`` with score 0 and no fit, and so does every text when nothing could be learnt. Repeated
+    rows give repeated results. The model has ``2 ** BITS`` probabilities a language.
+    With ``keep``, returns instead the rows of ``docs``, all columns, whose language is known with that fit.
     """
     spark = docs.sparkSession
     small_batches(docs.sparkSession)
     usable = train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= LONGEST)
-    counts = {r[0]: r[1] for r in docs.filter(usable).groupBy(F.col(lang_col)).agg(F.count("*")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages")
+    counts = {r[0]: r[1] for r in docs.filter(usable).groupBy(F.col(lang_col)).agg(F.count("*")).collect()}
     rows: list[tuple[str, bytes]] = []
     if counts:
         share = F.lit(0.0)
         for lang, n in counts.items():
             share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, SAMPLE / n))).otherwise(share)
-        drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) < share * (1 << 30)
-        rows = [(r[0], r[1].encode()) for r in docs.filter(usable & drawn).select(F.col(lang_col), F.col(text_col).cast("string")).limit(4 * SAMPLE * len(counts)).collect()]
-    langs, prob = fit(sorted(rows)) if rows else ([], np.zeros((1 << BITS, 0)))
+        chance = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(11)), F.lit(1 << 30))
+        drawn = docs.filter(usable & (chance < share * (1 << 30))).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"), chance.alias("chance")).dropDuplicates()
+        rows = [(r[0], r[1].encode()) for r in drawn.orderBy("chance", "lang", "text").limit(4 * SAMPLE * len(counts)).collect()]
+    rows.sort()
+    langs, prob = fit(rows) if rows else ([], np.zeros((1 << BITS, 0), np.float32))
+    low, high = ends_of_fit(rows, prob) if rows else (0.0, 1.0)
     model = spark.sparkContext.broadcast((langs, prob))
 
-    def judge(b: pa.RecordBatch, column: str) -> list[tuple[str, float, list[str], list[float]]]:
+    def judge(b: pa.RecordBatch, column: str) -> list[tuple[str, float, float | None, list[str], list[float]]]:
         names, p = model.value
         texts = byte_texts(b, column)
         h, off = ngrams(texts)
         out = []
         for i, t in enumerate(texts):
             if not names or not any(map(str.isalpha, t.decode())):
-                out.append(("und", 0.0, [], []))
+                out.append(("und", 0.0, None, [], []))
                 continue
-            part = h[off[i] : off[i + 1]]
-            if not len(part):
-                part = np.zeros(1, np.int64)
-            u, c = np.unique(part, return_counts=True)
-            w, s = infer(c.astype(np.float64), p[u])
+            u, c = counted(h[off[i] : off[i + 1]])
+            w, s, mean = infer(c.astype(np.float64), p[u].astype(np.float64))
+            fitted = float((mean - low) / (high - low) + SLACK / np.sqrt(c.sum()))
             order = [k for k in np.argsort(-w, kind="stable").tolist() if w[k] > 0]
-            out.append((names[order[0]], s, [names[k] for k in order], [float(w[k]) for k in order]))
+            out.append((names[order[0]], s, fitted, [names[k] for k in order], [float(w[k]) for k in order]))
         return out
 
     if keep is not None:
 
         def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in chunks(batches, text_col):
-                yield b.filter(pa.array([x[0] != "und" and x[1] >= keep for x in judge(b, text_col)], pa.bool_()))
+                yield b.filter(pa.array([x[2] is not None and x[2] >= keep for x in judge(b, text_col)], pa.bool_()))
 
         return docs.mapInArrow(kept, docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in chunks(batches):
-            lang, score, chosen, share = zip(*judge(b, "text"), strict=True)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(chosen, pa.list_(pa.string())), pa.array(share, pa.list_(pa.float64()))], names=["doc_id", "lang_pred", "score", "languages", "proportions"])
+            lang, score, fitted, chosen, share = zip(*judge(b, "text"), strict=True)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(fitted, pa.float64()), pa.array(chosen, pa.list_(pa.string())), pa.array(share, pa.list_(pa.float64()))], names=["doc_id", "lang_pred", "score", "fit", "languages", "proportions"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SCHEMA)
