@@ -7,8 +7,10 @@ one within the first ``n - ceil(t n) + 1`` of each. The product is taken over th
 by shingle. A link needs ``need = ceil(t / (1 + t) (n_a + n_b))`` common shingles, so the first of
 them stands at place ``n - need`` or before in both, and the sets differ in ``n_a + n_b - 2 need``
 shingles at most, which the bits of their parities bound from below. Entries of the block that
-break a bound are discarded as they arise. The overlap counts of the pairs that stay are then
-accumulated over the whole of their rows, exactly.
+break a bound are discarded as they arise. The others are added up: a pair's overlap count within
+the block, and the shingles that follow its last common one in both, bound the whole overlap, and
+pairs below what a link needs are discarded. The counts of the pairs that stay are then completed
+over the whole of their rows, exactly.
 
 Copies and near copies never meet in pairs. Documents of equal sets are one row. Rows that share
 a minimum of a hash are held against the smallest of them first (as many pairs as rows), and the
@@ -259,7 +261,11 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broad
         y,
         (F.col("x.h") == F.col("y.h")) & (F.col("x.comp") < F.col("y.comp")) & (F.col("x.i") <= F.col("x.n") - need) & (F.col("y.i") <= F.col("y.n") - need) & (differ <= F.col("x.n") + F.col("y.n") - 2 * need),
     )
-    met = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    # Common shingles stand in one order in both, so those not counted follow the last one counted.
+    least = F.ceil(F.lit(float(NUMER)) * (F.col("na") + F.col("nb")) / (NUMER + DENOM) - 1e-9)
+    met = met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"), F.col("x.i").alias("ia"), F.col("y.i").alias("ib"))
+    met = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("overlap"), F.max("ia").alias("ia"), F.max("ib").alias("ib"))
+    met = met.filter(F.col("overlap") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1 >= least).select("a", "b")
     far = verified(docs, possible(met, facts), broadcast_ids)
     return sig.select("doc_id", "n").join(named.select("doc_id", "rep"), "doc_id", "left"), near.select("a", "b").unionByName(far)
 
