@@ -1,5 +1,6 @@
 """The training-data operators against brute force, and on odd tables."""
 
+import base64
 import hashlib
 import math
 import random
@@ -169,7 +170,7 @@ def test_mixture_names_both_languages(small):
     a, b = (next(t for x, t in rows if x == lang)[:1500] for lang in ("de", "fr"))
     h, off = langid.ngrams([a + b" " + b])
     u, c = np.unique(h, return_counts=True)
-    w, _ = langid.infer(c.astype(float), prob[u])
+    w, _, _ = langid.infer(c.astype(float), prob[u])
     assert {langs[k] for k in np.flatnonzero(w > 0.15)} == {"de", "fr"}
 
 
@@ -389,6 +390,38 @@ def test_shards(spark, small, odd, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def brute_ring(rows, shards, virtual_nodes, bounded):
+    """Every key alone: its cell by the same hash, then clockwise to the first shard with room, cells in order."""
+    spots = {}
+    for s in range(shards):
+        for v in range(virtual_nodes):
+            spots.setdefault(int(hashlib.sha256(f"{s}/{v}".encode()).hexdigest()[:8], 16) % sharding.CELLS, s)
+    room = [len(rows) // shards + (s < len(rows) % shards) if bounded else len(rows) for s in range(shards)]
+    used, out = [0] * shards, Counter()
+    for cell, *row in sorted(rows):
+        at = cell
+        while at not in spots or used[spots[at]] == room[spots[at]]:
+            at = (at + 1) % sharding.CELLS
+        out[*row, spots[at], used[spots[at]]] += 1
+        used[spots[at]] += 1
+    return out
+
+
+@pytest.mark.parametrize("law", ["rows", "key"])
+def test_shards_as_a_ring_walked_key_by_key(spark, small, law):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    cell = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(sharding.CELLS)).cast("int")
+    rows = [(r.cell, r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs.select(cell.alias("cell"), "doc_id", "text").collect()]
+    got = Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in sharding.shard(docs, 8, law=law).collect())
+    assert got == brute_ring(rows, 8, 64, law == "rows")
+
+
+def test_shards_do_not_depend_on_partitions(spark):
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, F.lit("t")).otherwise(F.concat(F.lit("u"), F.col("id") % 50)).alias("text"))
+    one, two = (Counter(tuple(r) for r in sharding.shard(df.repartition(n), 8).collect()) for n in (3, 7))
+    assert one == two
+
+
 def test_shards_of_one_hot_key(spark):
     df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.lit("t").alias("text"))
     rows = sharding.shard(df, 8).groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("s"), F.max("slot").alias("m")).collect()
@@ -534,6 +567,22 @@ def test_pipeline(spark, small):
     assert held and not held & set(out)
 
 
+def test_pipeline_drops_junk_and_keeps_known_languages(spark, small):
+    rng = random.Random(6)
+    junk = {
+        10**6: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz     ", k=500)), 10**6 + 1: "asdf jkl qwer uiop zxcv asdfgh hjkl qwerty " * 8, 10**6 + 2: base64.b64encode(rng.randbytes(500)).decode(),
+        10**6 + 3: "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+        10**6 + 4: "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.", 10**6 + 5: "12345 67890 ... ///", 10**6 + 6: None,
+    }
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    more = spark.createDataFrame([(i, t) for i, t in junk.items()], "doc_id long, text string")
+    both = docs.unionByName(more, allowMissingColumns=True)
+    kept = {r.doc_id for r in corpus_pipeline.drop_unknown_language(spark, both, small).select("doc_id").collect()}
+    assert not kept & set(junk)
+    known = {i for i, t, lang in documents(small) if t and lang and len(re.findall(r"[^\W\d_]{2,}", t)) >= 8}
+    assert len(known - kept) == 0
+
+
 def test_pipeline_stages_on_odd_tables(spark, odd, empty, labels, tmp_path):
     labels.write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, "no such passage anywhere in the documents of this table at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))

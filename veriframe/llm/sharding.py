@@ -6,7 +6,9 @@ driver (a fixed number of rows at any input size). The driver walks the cells on
 the places: a cell's keys go to the first shard clockwise that has room, and what overflows goes
 on clockwise. The outcome is a small table of ranges (cell, ranks, shard, first slot), so a key
 needs only its rank within its cell, found by a window over a thousandth of the rows or less.
-Cells that hold far more rows than others (one key repeated) are split by a stored salt.
+Cells that hold far more rows than others (one key repeated) are split by a hash of the whole row,
+and rows that are repeated whole by a stored number; those are alike, so the outcome is the same
+however the table is split.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql.window import Window
 from veriframe.llm.common import materialise
 
 CELLS = 8192
-SALTS = 512
+ROW = ["doc_id", "size", "text_crc32"]
 
 
 def ring(shards: int, virtual_nodes: int) -> tuple[list[int], list[int]]:
@@ -72,17 +74,31 @@ def shard(docs: DataFrame, shards: int = 8, virtual_nodes: int = 64, law: str =
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     cell: Column = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(CELLS)).cast("int")
     keys = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), cell.alias("cell"))
-    keys = materialise(keys.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")))
+    keys = materialise(keys.withColumn("part", F.monotonically_increasing_id()))
     found = {r["cell"]: r["n"] for r in keys.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     limit = 1000 + 8 * sum(found.values()) // CELLS
-    hot = [c for c, n in sorted(found.items()) if n > limit]
-    salt = F.when(F.col("cell").isin(hot), F.col("part")).otherwise(F.lit(0)) if hot else F.lit(0)
-    keys = keys.withColumn("salt", salt)
+    # There are at most total / limit hot cells and hot rows, fewer than CELLS / 8.
+    hot = [{"cell": c, "pieces": -(-n // limit)} for c, n in sorted(found.items()) if n > limit]
     counts = {(c, 0): n for c, n in found.items() if n <= limit}
     if hot:
-        counts |= {(r["cell"], r["salt"]): r["n"] for r in keys.filter(F.col("cell").isin(hot)).groupBy("cell", "salt").agg(F.count("*").alias("n")).collect()}
+        cells = F.broadcast(_table(spark, hot, "cell:int,pieces:int"))
+        alike = keys.join(cells, "cell").groupBy("cell", *ROW).agg(F.count("*").alias("n")).filter(F.col("n") > limit).orderBy("cell", *ROW).collect()
+        first, same = 1 << 20, []
+        for r in alike:
+            same.append(r.asDict() | {"first": first, "parts": -(-r["n"] // limit)})
+            first += same[-1]["parts"]
+        rows = F.broadcast(_table(spark, same, "cell:int,doc_id:long,size:long,text_crc32:long,n:long,first:int,parts:int")).alias("r")
+        k = keys.join(cells, "cell", "left").alias("k")
+        on = F.col("k.cell") == F.col("r.cell")
+        for c in ROW:
+            on &= F.col(f"k.{c}").eqNullSafe(F.col(f"r.{c}"))
+        salt = F.when(F.col("parts").isNotNull(), F.col("first") + F.pmod("part", "parts")).when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64(*(F.col(f"k.{c}") for c in ROW)), F.col("pieces")) + 1).otherwise(0)
+        keys = k.join(rows, on, "left").select("k.cell", *(f"k.{c}" for c in ROW), salt.cast("int").alias("salt"))
+        counts |= {(r["cell"], r["salt"]): r["n"] for r in keys.filter("salt > 0").groupBy("cell", "salt").agg(F.count("*").alias("n")).collect()}
+    else:
+        keys = keys.withColumn("salt", F.lit(0))
     plan = _table(spark, places(counts, shards, virtual_nodes, law == "rows"), "cell:int,salt:int,lo:long,hi:long,shard:int,base:long")
-    rank = F.row_number().over(Window.partitionBy("cell", "salt").orderBy("doc_id", "text_crc32", "size")).cast("long") - 1
+    rank = F.row_number().over(Window.partitionBy("cell", "salt").orderBy(*ROW)).cast("long") - 1
     ranked = keys.withColumn("rank", rank).alias("k")
     p = F.broadcast(plan).alias("p")
     on = (F.col("k.cell") == F.col("p.cell")) & (F.col("k.salt") == F.col("p.salt")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
