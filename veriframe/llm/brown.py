@@ -38,6 +38,8 @@ END_WORD = "\n"  # no word holds white space
 CLASSES, OWN = 32, 12  # at least so many classes, and so many words of their own for each
 SWEEPS = 12
 COUNTED_AT_ONCE = 250_000
+ENTRIES_AT_ONCE = 1 << 16
+NEIGHBOUR_BYTES = 4 << 20  # of text whose neighbours are added up before they are sent
 TRANSITION_PRIOR = 5.0
 STAY = 1.0  # of the logarithm of the number of classes
 UNIGRAM = 0.1  # weight of the class without its predecessor
@@ -112,12 +114,12 @@ def count_bigrams(docs: DataFrame, own: dict[bytes, int]) -> np.ndarray:
 
 
 def count_neighbours(docs: DataFrame, own: dict[bytes, int], cls: np.ndarray, classes: int) -> DataFrame:
-    """(word, code, n) for words that are no types: how often a class (code) stands before, or (code - classes) after it."""
+    """(word, codes, ns) for words that are no types: how often a class (code) stands before, or (code - classes) after it."""
     shared = docs.sparkSession.sparkContext.broadcast((own, cls))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, cls = shared.value
-        for b in chunks(batches):
+        for b in chunks(batches, limit=NEIGHBOUR_BYTES):
             local: dict[bytes, int] = {END_WORD.encode(): 0}
             ids = [0]
             for t in byte_texts(b):
@@ -130,10 +132,25 @@ def count_neighbours(docs: DataFrame, own: dict[bytes, int], cls: np.ndarray, cl
             inner = np.flatnonzero(kind[a] < ENDINGS)
             pair, n = np.unique(np.concatenate((a[inner] * (2 * classes) + c[inner - 1], a[inner] * (2 * classes) + classes + c[inner + 1])), return_counts=True)
             if len(pair):
-                word = pa.array(words, pa.binary()).take(pa.array(pair // (2 * classes))).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([word, pa.array((pair % (2 * classes)).astype(np.int32)), pa.array(n.astype(np.int64))], names=["word", "code", "n"])
+                at = pair // (2 * classes)
+                first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+                word = pa.array(words, pa.binary()).take(pa.array(at[first])).cast(pa.string())
+                off = pa.array(np.append(first, len(at)).astype(np.int32))
+                code, count = pa.array((pair % (2 * classes)).astype(np.int32)), pa.array(n.astype(np.int32))
+                yield pa.RecordBatch.from_arrays([word, pa.ListArray.from_arrays(off, code), pa.ListArray.from_arrays(off, count)], names=["word", "codes", "ns"])
+
+    return docs.mapInArrow(run, "word string, codes array<int>, ns array<int>")
+
 
-    return docs.mapInArrow(run, "word string, code int, n long")
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of neighbours in slices of about ``ENTRIES_AT_ONCE`` entries, each of which is weighed for every class."""
+    for b in batches:
+        ends = np.cumsum(pa.compute.list_value_length(b.column(1)).to_numpy())
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + ENTRIES_AT_ONCE, "right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
 
 
 def assign(neighbours: DataFrame, big: np.ndarray, cls: np.ndarray) -> DataFrame:
@@ -158,14 +175,14 @@ def assign(neighbours: DataFrame, big: np.ndarray, cls: np.ndarray) -> DataFrame
             k = total.argmax(1)
             return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(k.astype(np.int32)), pa.array(c.astype(np.int64))], names=["word", "k", "c"])
 
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in pieces(batches):
             run_ends = pa.compute.run_end_encode(b.column(0), run_end_type=pa.int32())
             words = run_ends.values.to_pylist()
             ends = run_ends.run_ends.to_numpy()
             first = np.concatenate(([0], ends[:-1]))
-            code, n = b.column(1).to_numpy(), b.column(2).to_numpy()
+            code, n = b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy().astype(np.int64)
+            # Rows of a word follow each other, and so do their entries.
+            first = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(b.column(1)).to_numpy())))[first]
             total = np.add.reduceat(gain[code] * n[:, None], first)
             c = np.add.reduceat(np.where(code < classes, n, 0), first)
             if words[0] == last:
