@@ -103,7 +103,15 @@ def geometry_covered(spark, d):
     return geometry.covered_by_any(moved, w.filter("det_idx % 2 = 0"))
 
 
-@query()
+_AREA = "(e[1].x1 - e[1].x0) * (e[1].y1 - e[1].y0)"
+
+
+@query(
+    f"WITH w AS ({S.words()}), u AS (SELECT label, list(struct_pack(det_idx := -1, x0 := x0 + 100000 * (det_idx % 2), y0 := y0, x1 := x1 + 100000 * (det_idx % 2), y1 := y1)) AS seen FROM w GROUP BY label), "
+    "t AS (SELECT label, list([struct_pack(det_idx := det_idx, x0 := x0 + 4, y0 := y0, x1 := x1 + 4, y1 := y1)] ORDER BY det_idx) AS boxes FROM w GROUP BY label), "
+    f"f AS (SELECT label, unnest(list_reduce(list_prepend(seen, boxes), lambda acc, e: CASE WHEN {_AREA} <= 0 OR len(list_filter(acc, lambda o: 2 * greatest(least(e[1].x1, o.x1) - greatest(e[1].x0, o.x0), 0) * greatest(least(e[1].y1, o.y1) - greatest(e[1].y0, o.y0), 0) > {_AREA})) > 0 "
+    "THEN acc ELSE list_concat(acc, e) END)) AS b FROM t JOIN u USING (label)) SELECT label, CAST(b.det_idx AS INT) AS det_idx, CAST(b.x0 AS INT) AS x0, CAST(b.y0 AS INT) AS y0, CAST(b.x1 AS INT) AS x1, CAST(b.y1 AS INT) AS y1 FROM f WHERE b.det_idx >= 0"
+)
 def geometry_uncovered(spark, d):
     """All words, moved a little, as turned boxes against all words, of which those of odd numbers are moved far aside."""
     w = words(spark, d)
@@ -527,13 +535,22 @@ def diagnose_reach(spark, d):
     return diagnose.reach(det, C.candidates(filed)).select("label", "claim", F.round("distance", 6).alias("distance"))
 
 
-@query()
+_PROBE = f"SELECT label, a, {S.infix_cost('a', 'b', 2)} AS h FROM (SELECT label, {S.norm('name')} AS a, {S.norm('reading')} AS b FROM ({S.NAMES}))"
+
+
+@query(
+    f"SELECT label, 'producer_1' AS claim, d AS run_distance, d AS box_distance, CAST(NULL AS DOUBLE) AS pair_distance, d AS sequence_distance FROM (SELECT label, round(h / (2.0 * length(a)), 6) AS d FROM ({_PROBE}))"
+)
 def diagnose_probes(spark, d):
     filed, det = _text_claims(spark, d)
     p = diagnose.probes(det, C.candidates(filed))
     return p.select("label", "claim", *[F.round(f"{k}_distance", 6).alias(f"{k}_distance") for k in ("run", "box", "pair", "sequence")])
 
 
-@query()
+@query(
+    f"WITH l AS (SELECT item_id AS label, i - 1 AS k, length(t) AS n, {S.norm('t')} AS a FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM benchmark)), "
+    f"p AS (SELECT label, k, n, {S.infix_cost('a', 'b', 2)} AS h, length(a) AS m FROM l, (SELECT {S.norm('text')} AS b FROM benchmark) WHERE length(a) >= 8 AND b <> '') "
+    "SELECT label, count(*) AS n, CAST(10 AS INT) AS x0, CAST(13 * min(k) AS INT) AS y0, CAST(10 + 8 * max(n) AS INT) AS x1, CAST(13 * max(k) + 12 AS INT) AS y1 FROM p WHERE h <= 0.25 * 2 * m GROUP BY label"
+)
 def diagnose_blocks(spark, d):
     return diagnose.block_boxes(lines_of_items(spark, d), table(spark, d, "benchmark").select("text")).select("label", "n", "region.*")
