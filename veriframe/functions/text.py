@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -133,30 +135,38 @@ def _trimmed(s: Column) -> Column:
     return F.when(F.contains(s, F.lit(".")), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used; nested expressions stay small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fixed(v: str | Column, places: int) -> Column:
     """A number from 0 to a few hundred thousand with so many decimals, rounding its exact binary value, half to even.
 
     Java's formatter rounds the shortest decimal form instead, and so 0.355 up.
     """
     x = col(v).cast("double")
-    out = None
-    for least, bits in ((0.0, 60), (4.0, 54), (256.0, 43)):
+
+    def rounded(bits: int) -> Column:
         wide = F.lit(1 << bits).cast("decimal(19,0)")
         scaled = (x * F.lit(float(1 << bits))).cast("long").cast("decimal(19,0)") * F.lit(10**places).cast("decimal(4,0)")
-        q = F.floor(scaled / wide).cast("decimal(19,0)")
-        rest = (scaled - q * wide) * 2
-        q = q + F.when((rest > wide) | ((rest == wide) & (q % 2 == 1)), 1).otherwise(0)
-        q = q.cast("long")
-        s = F.concat(F.floor(q / 10**places).cast("string"), F.lit("."), F.lpad((q % 10**places).cast("string"), places, "0"))
-        out = s if out is None else F.when(x >= least, s).otherwise(out)
-    return out
+
+        def up(n: Column, q: Column) -> Column:
+            return _let((n - q * wide) * 2, lambda rest: (q + F.when((rest > wide) | ((rest == wide) & (q % 2 == 1)), 1).otherwise(0)).cast("long"))
+
+        return _let(scaled, lambda n: _let(F.floor(n / wide).cast("decimal(19,0)"), lambda q: up(n, q)))
+
+    def written(q: Column) -> Column:
+        return F.concat(F.floor(q / 10**places).cast("string"), F.lit("."), F.lpad((q % 10**places).cast("string"), places, "0"))
+
+    return _let(F.when(x >= 256.0, rounded(43)).when(x >= 4.0, rounded(54)).otherwise(rounded(60)), written)
 
 
 def printings(v: str | Column) -> Column:
     """How a number may be printed: shortest, then with one and two decimals, with and without trailing zeros."""
     x = col(v).cast("double")
-    one, two = fixed(x, 1), fixed(x, 2)
-    return F.array_distinct(F.array(shortest(x), one, _trimmed(one), two, _trimmed(two)))
+    forms = F.transform(F.array(fixed(x, 1), fixed(x, 2)), lambda s: F.array(s, _trimmed(s)))
+    return F.array_distinct(F.concat(F.array(shortest(x)), F.flatten(forms)))
 
 
 def abv_text(v: str | Column) -> Column:

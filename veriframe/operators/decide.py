@@ -79,19 +79,32 @@ def matches(claims: DataFrame, candidates: DataFrame, runs: DataFrame, options:
     cc = options.half_cost
     filed = claims.select("label", "claim", radius_of(claims, options).alias("radius"))
     reach = F.greatest(F.col("radius") + options.tie_margin, 2 * F.col("radius"))
-    read = runs.select("label", "path", "box", F.col("text").alias("rtext"), F.col("norm").alias("rnorm"), "confidence", "parts", "widest", "nums", "hist")
+    read = runs.select("label", "path", "box", F.col("text").alias("rtext"), F.col("norm").alias("rnorm"), "confidence", "parts", "widest", "nums", "hist", T.class_fold("norm").alias("rfold"))
+
+    def ready(spellings: DataFrame) -> DataFrame:
+        """Spellings with their budget, and what bounds need of them."""
+        out = spellings.join(filed, ["label", "claim"]).withColumn("chist", T.histogram("norm")).withColumn("cfold", T.class_fold("norm"))
+        out = out.withColumn("reach", reach).withColumn("cbudget", F.floor(F.col("reach") * 2 * F.length("norm") + 1e-9).cast("int"))
+        # So many edits leave one of so many pieces and one as it is.
+        pieces = F.floor(F.col("cbudget") / 2).cast("int") + 1
+        start = lambda k: F.floor(k * F.length("norm") / pieces).cast("int")
+        return out.withColumn("pieces", F.transform(F.sequence(F.lit(0), pieces - 1), lambda k: F.col("cfold").substr(start(k) + 1, start(k + 1) - start(k))))
 
     def near(pairs: DataFrame) -> DataFrame:
-        out = pairs.withColumn("reach", reach).withColumn("cbudget", F.floor(F.col("reach") * 2 * F.length("norm") + 1e-9).cast("int"))
-        out = out.filter(F.length("rnorm") >= F.length("norm") * (1 - F.col("reach")))
+        out = pairs.filter(F.length("rnorm") >= F.length("norm") * (1 - F.col("reach")))
         out = out.filter(~T.beyond(F.col("chist"), F.col("hist"), F.col("cbudget")))
+        if cc == 1:  # the folded strings are as near as the others or nearer
+            longer = F.length("rnorm") > F.length("norm")
+            inside = (F.col("form") >= 0) | (longer & (F.length("rnorm") <= 3 * F.length("norm") + 24) & ((F.col("parts") == 1) | (F.length("norm") > F.col("widest"))))
+            whole = (F.col("form") < 0) & (F.levenshtein("cfold", "rfold") * 2 <= F.col("cbudget"))
+            out = out.filter(whole | (inside & F.exists("pieces", lambda p: F.contains(F.col("rfold"), p))))
         return out.select("label", "claim", "cand_idx", F.col("text").alias("ctext"), F.col("norm").alias("cnorm"), "name", "claimed", "form", "num", "radius", "reach", "cbudget", "path", "box", F.col("rtext").alias("text"), F.col("rnorm").alias("norm"), "confidence", "parts", "widest", "nums")
 
     # Spellings of the filed value meet all readings of the label; another value must be read
     # exactly, so it is found by an equi-join on the figure.
-    own = near(candidates.filter("claimed or num = ''").withColumn("chist", T.histogram("norm")).join(filed, ["label", "claim"]).join(read, "label"))
+    own = near(ready(candidates.filter("claimed or num = ''")).join(read, "label"))
     figures = read.select("*", F.explode(F.array_distinct("nums")).alias("num"))
-    other = C.other_values(claims, figures).withColumn("chist", T.histogram("norm")).join(filed, ["label", "claim"])
+    other = ready(C.other_values(claims, figures))
     pairs = own.unionByName(near(other))
     m = matcher(cc)(F.col("cnorm"), F.col("form"), F.col("text"), F.col("norm"), F.col("parts"), F.col("widest"), F.col("cbudget"))
     pairs = pairs.withColumn("m", m).withColumn("dist", F.col("m.cost") / (2.0 * F.length("cnorm"))).filter(F.col("dist") <= F.col("reach"))

@@ -301,6 +301,37 @@ def verify_near_misses(spark, d):
     return decide.near_misses(_brand_verdicts(spark, d)).agg(F.count("*").alias("boxes"))
 
 
+# Labels of some 50 boxes, a word each: what each nation files as printed, in lines among words of other text.
+_CROWDED = (
+    "SELECT n_nationkey AS label, 'spirits' AS beverage, n_name AS brand, 'Malt of ' || n_name AS class, 'House of ' || n_name AS producer, 'Lot 7, Harbour Road' AS address, '' AS origin, 40.0 + n_nationkey AS abv, 750.0 AS net_ml FROM nation"
+)
+
+
+def crowded(spark, d):
+    """(applications, detections)."""
+    table(spark, d, "nation").createOrReplaceTempView("veriframe_nation")
+    a = spark.sql(_CROWDED.replace("40.0", "40.0D").replace("750.0", "750.0D").replace("FROM nation", "FROM veriframe_nation"))
+    a = a.withColumn("producer", F.array("producer", "address")).withColumn("aliases", F.lit(None).cast("map<string,array<string>>"))
+    other = [F.translate(F.substring(F.md5(F.concat_ws("/", F.col("label").cast("string"), F.lit(str(k)))), 1, 3 + k % 6), "0123456789", "ghijklmnop") for k in range(36)]
+    line = lambda k: F.concat_ws(" ", *other[6 * k : 6 * k + 6])
+    printed = [F.col("brand"), line(0), F.col("class"), line(1), F.concat(F.lit("Bottled by "), F.get("producer", F.lit(0))), F.col("address"), line(2), T.abv_text("abv"), line(3), T.net_text("net_ml"), line(4), line(5)]
+    lines = a.select("label", F.posexplode(F.array(*printed)).alias("l", "t"))
+    words = lines.select("label", "l", F.posexplode(F.split("t", " ")).alias("k", "text"), F.transform(F.split("t", " "), F.length).alias("n"))
+    before = F.aggregate(F.slice("n", F.lit(1), F.col("k")), F.lit(0), lambda s, n: s + n + 1)
+    box = words.select("label", (100 * F.col("l") + F.col("k")).cast("int").alias("det_idx"), (10 + 8 * before).cast("int").alias("x0"), (30 * F.col("l")).cast("int").alias("y0"), (10 + 8 * (before + F.length("text"))).cast("int").alias("x1"), (30 * F.col("l") + 12).cast("int").alias("y1"), "text", F.lit(0.9).alias("confidence"))
+    return a, box
+
+
+@query(
+    f"WITH a AS ({_CROWDED}) SELECT label, claim, 'VERIFIED' AS status, CAST(0 AS DOUBLE) AS distance FROM a, (SELECT unnest(['brand', 'class', 'producer_1', 'producer_2', 'abv', 'net']) AS claim)"
+)
+def verify_crowded(spark, d):
+    """All claims on labels of many boxes, each claim printed as filed."""
+    a, det = crowded(spark, d)
+    filed = C.claims(a)
+    return decide.verify(det, filed, C.candidates(filed)).select("label", "claim", "status", F.round("evidence.distance", 6).alias("distance"))
+
+
 # Passages.
 
 
@@ -535,11 +566,11 @@ def diagnose_reach(spark, d):
     return diagnose.reach(det, C.candidates(filed)).select("label", "claim", F.round("distance", 6).alias("distance"))
 
 
-_PROBE = f"SELECT label, a, {S.infix_cost('a', 'b', 2)} AS h FROM (SELECT label, {S.norm('name')} AS a, {S.norm('reading')} AS b FROM ({S.NAMES}))"
+_PROBE = f"SELECT label, a, {S.infix_cost('a', 'b', 2)} AS h, list_sum(list_transform(list_zip({S.histogram('a')}, {S.histogram('b')}), lambda x: greatest(x[1] - x[2], 0))) AS lacking FROM (SELECT label, {S.norm('name')} AS a, {S.norm('reading')} AS b FROM ({S.NAMES}))"
 
 
 @query(
-    f"SELECT label, 'producer_1' AS claim, d AS run_distance, d AS box_distance, CAST(NULL AS DOUBLE) AS pair_distance, d AS sequence_distance FROM (SELECT label, round(h / (2.0 * length(a)), 6) AS d FROM ({_PROBE}))"
+    f"SELECT label, 'producer_1' AS claim, d AS run_distance, d AS box_distance, CAST(NULL AS DOUBLE) AS pair_distance, d AS sequence_distance FROM (SELECT label, CASE WHEN 2 * lacking <= 2 * length(a) - 1 THEN round(h / (2.0 * length(a)), 6) END AS d FROM ({_PROBE}))"
 )
 def diagnose_probes(spark, d):
     filed, det = _text_claims(spark, d)
