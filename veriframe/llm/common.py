@@ -51,9 +51,18 @@ class Recent(dict):
         self[key] = value
 
 
+_made: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one under the warehouse where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder that all executors share, in ``spark.checkpoint.dir``. Where that is unset: in the warehouse if all
+    runs in one process, else an error, since no folder is known that executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/veriframe-{uuid.uuid4().hex}"
 
 
@@ -65,10 +74,30 @@ def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFra
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
+    for made in _made[-1:]:
+        made.append(path)
     schema = df.schema
     return spark.read.schema(schema).parquet(path)
 
 
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders that are written within, in order."""
+    _made.append([])
+    try:
+        yield _made[-1]
+    finally:
+        _made.pop()
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Removes folders that nothing reads any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def release() -> None:
     """Gives freed memory back at the end of a task: the worker waits for the next one, beside a JVM that needs it."""
     pa.default_memory_pool().release_unused()
