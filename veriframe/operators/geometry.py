@@ -161,3 +161,24 @@ def turned_back(width: Column, box: Column) -> Column:
     return F.struct(box["y0"].alias("x0"), (width - box["x1"]).alias("y0"), box["y1"].alias("x1"), (width - box["x0"]).alias("y1"))
 
 
+def worth_turning(boxes: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """(label, turn): whether a turned pass is worth making: a box taller than wide or, given ``verdicts``, a claim that was not found or not decided."""
+    tall = side_on(boxes).withColumnRenamed("side_on", "turn")
+    if verdicts is None:
+        return tall
+    open_ = verdicts.groupBy("label").agg(F.bool_or(F.col("status").isin("NOT_FOUND", "REVIEW")).alias("turn"))
+    return tall.select("label").join(open_, "label", "left").select("label", F.coalesce("turn", F.lit(False)).alias("turn"))
+
+
+def with_turned(upright: DataFrame, turned: DataFrame, width: Column) -> DataFrame:
+    """The upright detections and, mapped back, those of the turned image that no other covers; numbered anew from the top, then from the left.
+
+    ``width`` is the upright image's width, an expression over ``turned``. Both have label, det_idx,
+    x0, y0, x1, y1, text and confidence; the result also has ``rotated``.
+    """
+    back = turned_back(width, F.struct("x0", "y0", "x1", "y1"))
+    columns = ["label", "det_idx", "x0", "y0", "x1", "y1", "text", "confidence"]
+    mapped = turned.withColumn("b", back).select("label", "det_idx", *(F.col(f"b.{c}").cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")), "text", "confidence")
+    both = upright.select(*columns, F.lit(False).alias("rotated")).unionByName(uncovered(mapped, upright).withColumn("rotated", F.lit(True)))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("y0", "x0", "rotated", "det_idx")) - 1
+    return both.withColumn("det_idx", place.cast("int"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veriframe import sinks
+from veriframe.functions import registered
 from veriframe.functions import text as T
 from veriframe.operators import claims as C
 from veriframe.operators import decide, diagnose, evaluate, geometry, guards, ocrpost, reference
@@ -106,12 +107,15 @@ def geometry_covered(spark, d):
 _AREA = "(e[1].x1 - e[1].x0) * (e[1].y1 - e[1].y0)"
 
 
-@query(
+_UNCOVERED = (
     f"WITH w AS ({S.words()}), u AS (SELECT label, list(struct_pack(det_idx := -1, x0 := x0 + 100000 * (det_idx % 2), y0 := y0, x1 := x1 + 100000 * (det_idx % 2), y1 := y1)) AS seen FROM w GROUP BY label), "
     "t AS (SELECT label, list([struct_pack(det_idx := det_idx, x0 := x0 + 4, y0 := y0, x1 := x1 + 4, y1 := y1)] ORDER BY det_idx) AS boxes FROM w GROUP BY label), "
     f"f AS (SELECT label, unnest(list_reduce(list_prepend(seen, boxes), lambda acc, e: CASE WHEN {_AREA} <= 0 OR len(list_filter(acc, lambda o: 2 * greatest(least(e[1].x1, o.x1) - greatest(e[1].x0, o.x0), 0) * greatest(least(e[1].y1, o.y1) - greatest(e[1].y0, o.y0), 0) > {_AREA})) > 0 "
     "THEN acc ELSE list_concat(acc, e) END)) AS b FROM t JOIN u USING (label)) SELECT label, CAST(b.det_idx AS INT) AS det_idx, CAST(b.x0 AS INT) AS x0, CAST(b.y0 AS INT) AS y0, CAST(b.x1 AS INT) AS x1, CAST(b.y1 AS INT) AS y1 FROM f WHERE b.det_idx >= 0"
 )
+
+
+@query(_UNCOVERED)
 def geometry_uncovered(spark, d):
     """All words, moved a little, as turned boxes against all words, of which those of odd numbers are moved far aside."""
     w = words(spark, d)
@@ -120,6 +124,41 @@ def geometry_uncovered(spark, d):
     return geometry.uncovered(shift, w.withColumns({c: (F.col(c) + aside).cast("int") for c in ("x0", "x1")}))
 
 
+@query(
+    f"WITH t AS ({_UNCOVERED}), b AS (SELECT label, det_idx, x0 + 100000 * (det_idx % 2) AS x0, y0, x1 + 100000 * (det_idx % 2) AS x1, y1, text, false AS rotated FROM ({S.words()}) UNION ALL SELECT t.label, t.det_idx, t.x0, t.y0, t.x1, t.y1, w.text, true FROM t JOIN ({S.words()}) w ON w.label = t.label AND w.det_idx = t.det_idx) "
+    "SELECT label, CAST(row_number() OVER (PARTITION BY label ORDER BY y0, x0, rotated, det_idx) - 1 AS INT) AS det_idx, CAST(x0 AS INT) AS x0, CAST(y0 AS INT) AS y0, CAST(x1 AS INT) AS x1, CAST(y1 AS INT) AS y1, text, rotated FROM b"
+)
+def geometry_with_turned(spark, d):
+    """The words of ``geometry_uncovered`` read on an image turned by a quarter, added to the upright ones."""
+    w = words(spark, d)
+    aside = 100_000 * (F.col("det_idx") % 2)
+    upright = w.withColumns({c: (F.col(c) + aside).cast("int") for c in ("x0", "x1")})
+    turned = w.select("label", "det_idx", (4000 - F.col("y1")).alias("x0"), (F.col("x0") + 4).alias("y0"), (4000 - F.col("y0")).alias("x1"), (F.col("x1") + 4).alias("y1"), "text", "confidence")
+    return geometry.with_turned(upright, turned, F.lit(4000)).drop("confidence")
+
+
+@query(
+    f"SELECT label, {S.norm('reading')} AS norm, round({S.half_edits('a', 'b')} / (2.0 * length(a)), 6) AS distance, round({S.infix_cost('a', 'b')} / (2.0 * length(a)), 6) AS infix FROM (SELECT label, reading, {S.norm('name')} AS a, {S.norm('reading')} AS b FROM ({S.NAMES}))"
+)
+def registered_functions(spark, d):
+    """The functions by name, in SQL."""
+    registered.register(spark)
+    names(spark, d).createOrReplaceTempView("veriframe_names")
+    return spark.sql(
+        "SELECT label, b AS norm, round(claim_distance(a, b), 6) AS distance, round(claim_infix(a, b), 6) AS infix FROM (SELECT label, claim_normalize(name) AS a, claim_normalize(reading) AS b FROM veriframe_names)"
+    )
+
+
+@query(f"WITH {_PATHS} SELECT {_PATH_COLUMNS} FROM paths".replace(", CAST(widest AS INT) AS widest", ""))
+def registered_chains(spark, d):
+    """Chains by the table function."""
+    registered.register(spark)
+    words(spark, d).createOrReplaceTempView("veriframe_words")
+    return spark.sql(
+        "SELECT CAST(label AS BIGINT) AS label, array_join(CAST(path AS ARRAY<STRING>), '-') AS path, text, x0, y0, x1, y1, parts FROM claim_chains(TABLE(SELECT * FROM veriframe_words) PARTITION BY label)"
+    )
+
+
 # Claims.
 
 _APPLICATION = (
