@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 from veriframe.config import DEFAULT, MAX_FOLLOW, MAX_RUN
 from veriframe.functions import align
@@ -14,26 +15,31 @@ from veriframe.functions import text as T
 from veriframe.operators.geometry import order_of_reading
 from veriframe.operators.reference import beside_or_under
 
+# Types, not their names, which can only be read with a session.
+CHAIN = StructType().add("label", StringType()).add("path", ArrayType(IntegerType())).add("text", StringType())
+for _name in ("x0", "y0", "x1", "y1", "parts"):
+    CHAIN = CHAIN.add(_name, IntegerType())
 
-@pandas_udf("string")
+
+@pandas_udf(StringType())
 def claim_normalize(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield s.map(lambda x: None if x is None else T.normalize_with_offsets(x)[0])
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def claim_distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
         yield pd.Series([None if x is None or y is None else align.distance(x, y, DEFAULT.half_cost) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def claim_infix(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
         yield pd.Series([None if x is None or y is None else align.infix_distance(x, y, DEFAULT.half_cost) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@udtf(returnType="label string, path array<int>, text string, x0 int, y0 int, x1 int, y1 int, parts int")
+@udtf(returnType=CHAIN)
 class ClaimChains:
     """Chains of the detections of one label: give it a table with label, det_idx, x0, y0, x1, y1 and text, partitioned by label."""
 
