@@ -93,6 +93,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from veriframe.llm import oddsketch
+
+    return oddsketch.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from veriframe.llm import search
 
@@ -103,30 +109,36 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_lm_scoring, op2_toxicity, op3_html_extraction, op4_ngram_jaccard, op5_sentencepiece, op6_language_id, op7_quality, op8_sharding, op9_decontamination, op10_fingerprints,
-        op11_source_divergence, op13_ranked_search,
+        op11_source_divergence, op12_minhash_dedup, op13_ranked_search,
     )
 }
 
 # Words of the lower-cased texts, shingles of five words, all pairs that share one, and what links reach.
-_COMPONENTS = r"""
+_LINKED = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
 ), s AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {k} THEN list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
 ), n AS (
   SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
 ), p AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
 ), l AS (
-  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {least} * (x.n + y.n - c)
 ), e AS (
   SELECT a, b FROM l UNION ALL SELECT b, a FROM l
 ), r AS (
   SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id
 )
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) m ON m.doc_id = d.doc_id
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id{more} FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) m ON m.doc_id = d.doc_id
 """
 
+
+
+def _components(k: int, least: int, more: str = "") -> str:
+    return _LINKED.replace("{k}", str(k)).replace("{least}", str(least)).replace("{more}", more)
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 # Terms that at least 30 documents of a language hold, their shares by group and by language, all pairs of groups over all terms.
@@ -177,4 +189,9 @@ WITH d AS (
 SELECT item_id, CAST(rank AS INT) AS rank, doc_id, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM z WHERE score > 0) WHERE rank <= 10
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_ngram_jaccard": _COMPONENTS, "op11_source_divergence": _DIVERGENCE, "op13_ranked_search": _SEARCH}
+ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_jaccard": _components(5, 75),
+    "op11_source_divergence": _DIVERGENCE,
+    "op12_minhash_dedup": _components(3, 85, ", m.component_id = d.doc_id AS kept"),
+    "op13_ranked_search": _SEARCH,
+}
