@@ -20,8 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.llm.common import byte_texts, chunks, materialise, mix64, small_batches
-from veriframe.llm.components import connected
-from veriframe.llm.similar import BROADCAST_IDS, SHORT, buckets, cross_blocks, labelled_rows, nodes_of, shingle_sets, signature, verified
+from veriframe.llm.similar import BROADCAST_IDS, SHORT, buckets, cross_links, labelled_rows, nodes_of, shingle_sets, signature, verified
 
 WORDS = 3
 SIMILAR = (17, 20)  # 0.85, exactly
@@ -83,10 +82,10 @@ def _rows(docs: DataFrame) -> DataFrame:
             one, two = zip(*(signature(x) for x in sets), strict=True)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, longs), pa.array(odd, longs)], names=["doc_id", "n", "s1", "s2", "bands", "odd"]
+                [b.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, longs), pa.array(odd, longs)], names=["doc_id", "n", "s1", "s2", "bands", "sketch"]
             )
 
-    return docs.mapInArrow(run, "doc_id long, n int, s1 long, s2 long, bands array<long>, odd array<long>")
+    return docs.mapInArrow(run, "doc_id long, n int, s1 long, s2 long, bands array<long>, sketch array<long>")
 
 
 def bits_apart(x: Column, y: Column) -> Column:
@@ -100,17 +99,16 @@ def sizes_allow(a: Column, b: Column) -> Column:
 
 def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The candidates that sizes and sketches leave."""
-    x, y = (nodes.select(F.col("nid").alias(k), F.col("n").alias(f"n{k}"), F.col("odd").alias(f"o{k}")) for k in "ab")
+    x, y = (nodes.select(F.col("nid").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"o{k}")) for k in "ab")
     both = pairs.join(x, "a").join(y, "b")
     return both.filter(sizes_allow(F.col("na"), F.col("nb")) & (bits_apart(F.col("oa"), F.col("ob")) <= MOST_BITS)).select("a", "b")
 
 
 def _match(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
-    na, nb = a["n"].astype(np.int64)[:, None], b["n"].astype(np.int64)[None, :]
+    na, nb = a["n"][:, None], b["n"][None, :]
     ok = SIMILAR[1] * np.minimum(na, nb) >= SIMILAR[0] * np.maximum(na, nb)
-    other = b["odd"].view(np.uint64)
-    for i, row in enumerate(a["odd"].view(np.uint64)):
-        ok[i] &= np.bitwise_count(other ^ row).sum(axis=1, dtype=np.int64) <= MOST_BITS
+    for i, row in enumerate(a["sketch"]):
+        ok[i] &= np.bitwise_count(b["sketch"] ^ row).sum(axis=1, dtype=np.int64) <= MOST_BITS
     return ok
 
 
@@ -129,7 +127,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = materialise(_rows(docs))
-    nodes = nodes_of(rows, "bands", "odd")
+    nodes = nodes_of(rows, "bands", "sketch")
     held = buckets(nodes.select("nid", F.explode("bands").alias("key")))
     low = held.filter(F.col("size") <= short).select("key", "nid")
     pairs = low.alias("x").join(low.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.nid") < F.col("y.nid"))).select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b"))
@@ -137,7 +135,6 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = long.filter("nid <> pivot").select(F.col("pivot").alias("a"), F.col("nid").alias("b"))
     near = verified(docs, nodes, likely(pairs.unionByName(stars).distinct(), nodes), SIMILAR, WORDS, broadcast_ids)
     if long.limit(1).count():
-        rest = cross_blocks(long.join(nodes.select("nid", "n", "odd"), "nid"), connected(near), _match)
-        near = near.unionByName(verified(docs, nodes, rest, SIMILAR, WORDS, broadcast_ids))
+        near = near.unionByName(cross_links(docs, nodes, long, near, _match, SIMILAR, WORDS, broadcast_ids))
     out = labelled_rows(rows.select("doc_id", "n", "s1", "s2"), nodes, near)
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "copy_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

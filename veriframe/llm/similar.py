@@ -3,8 +3,8 @@
 A node is one set of shingles; rows of equal sets are one node, rows that share an id but not the set
 are several. Candidates stand in buckets of one key. Buckets of at most ``SHORT`` nodes give all their
 pairs. In a longer bucket each node first meets the smallest one only; once the links found so far are
-joined to components, what the bucket still holds of different components is compared in blocks, inside
-the tasks, and only pairs that may be links leave them. So no bucket is squared into rows, none is cut,
+joined to components, buckets that still hold different ones are compared in blocks of whole sets, inside
+the tasks, and only links that join components leave them. So no bucket is squared into rows, none is cut,
 and no link between components is missed.
 """
 
@@ -21,7 +21,7 @@ from veriframe.llm.common import LOWER, byte_texts, chunks, joined, materialise,
 from veriframe.llm.components import connected
 
 SHORT = 16
-BLOCK = 1024  # nodes of one block of a longer bucket, on average
+BLOCK_BYTES = 2 << 20  # of the sets of a pool's block
 PARTNERS = 256  # nodes that a set is sent once for
 BROADCAST_IDS = 1_000_000
 LONGEST_SHINGLE = 16
@@ -78,66 +78,6 @@ def buckets(entries: DataFrame) -> DataFrame:
     return materialise(entries.join(sized, "key"))
 
 
-def cross_blocks(long: DataFrame, labels: DataFrame, match: Callable[[dict, dict], np.ndarray], block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components for which ``match`` holds, from ``long`` (key, nid, size, ...).
-
-    A bucket is dealt into blocks by a hash of the node, and every pair of blocks is one cell, so a
-    task holds two blocks at a time. ``match`` gets two blocks' columns as arrays and returns a mask
-    of rows of the first by rows of the second.
-    """
-    known = long.join(labels.select(F.col("node").alias("nid"), "label"), "nid", "left").withColumn("comp", F.coalesce("label", "nid")).drop("label")
-    mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = F.pmod(F.xxhash64("nid", F.lit(3)), F.col("blocks")).cast("int")
-    dealt = known.join(mixed, "key", "left_semi").withColumn("blocks", blocks).withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("blocks", "other", "size", "pivot")
-    parts = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = dealt.columns
-
-    def compare(cell: pa.Table) -> pa.RecordBatch | None:
-        cols = {k: cell.column(k).combine_chunks() for k in names}
-        cols = {k: np.array(c.to_pylist(), np.int64) if pa.types.is_list(c.type) else c.to_numpy(zero_copy_only=False) for k, c in cols.items()}
-        left = cols["own"] == cols["lo"]
-        right = cols["own"] == cols["hi"]
-        a, b = ({k: c[side] for k, c in cols.items()} for side in (left, right))
-        if not len(a["nid"]) or not len(b["nid"]) or min(a["comp"].min(), b["comp"].min()) == max(a["comp"].max(), b["comp"].max()):
-            return None
-        ok = match(a, b) & (a["comp"][:, None] != b["comp"][None, :])
-        i, j = np.nonzero(ok)
-        x, y = a["nid"][i], b["nid"][j]
-        lo, hi = np.minimum(x, y), np.maximum(x, y)
-        if not len(lo):
-            return None
-        pairs = np.unique(np.stack((lo, hi), 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        cell: tuple | None = None
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            if held and (out := compare(pa.Table.from_batches(held))) is not None:
-                yield out
-            held.clear()
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            at = [b.column(b.schema.get_field_index(k)).to_numpy() for k in ("key", "lo", "hi")]
-            new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in at], axis=0)) + 1
-            for first, last in zip([0, *new.tolist()], [*new.tolist(), b.num_rows], strict=True):
-                now = tuple(int(x[first]) for x in at)
-                if now != cell:
-                    yield from flush()
-                    cell = now
-                held.append(b.slice(first, last - first))
-        yield from flush()
-        release()
-
-    return dealt.repartition(parts, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
-
-
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -154,20 +94,24 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "s1 long, s2 long, n int, items binary")
 
 
+def sets_of(docs: DataFrame, nodes: DataFrame, ids: DataFrame, words: int, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """(nid, items) of the nodes ``ids`` (nid), from their texts, which are read again."""
+    wanted = materialise(nodes.join(ids.distinct(), "nid", "left_semi").select("nid", "s1", "s2", "n", F.col("first").alias("doc_id")))
+    small = wanted.count() <= broadcast_ids
+    keys = wanted.select("doc_id").distinct()
+    texts = docs.join(F.broadcast(keys) if small else keys, "doc_id", "left_semi").select("text")
+    return materialise(_sets(texts, words).join(wanted.select("nid", "s1", "s2", "n"), ["s1", "s2", "n"]).select("nid", "items").dropDuplicates(["nid"]))
+
+
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similar: tuple[int, int], words: int = 5, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """Those of the ``pairs`` (a, b) whose sets have a similarity of at least ``similar`` (as a fraction), counted over the whole sets.
 
-    The texts of the nodes named are read again. A node's set goes to each of its partners' tasks once for some
-    ``PARTNERS`` of them, and is held while theirs pass by.
+    A node's set goes to its partners' tasks once for some ``PARTNERS`` of them, and is held while theirs pass by.
     """
     numer, denom = similar
     pairs = materialise(pairs.select("a", "b").distinct())
-    ids = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid"))).distinct()
-    wanted = materialise(nodes.join(ids, "nid", "left_semi").select("nid", "s1", "s2", "n", F.col("first").alias("doc_id")))
-    small = wanted.count() <= broadcast_ids
-    keys = wanted.select("doc_id").distinct()
-    texts = docs.join(F.broadcast(keys) if small else keys, "doc_id", "left_semi").select("text")
-    sets = materialise(_sets(texts, words).join(wanted.select("nid", "s1", "s2", "n"), ["s1", "s2", "n"]).select("nid", "items").dropDuplicates(["nid"]))
+    ids = pairs.select(F.col("a").alias("nid")).unionByName(pairs.select(F.col("b").alias("nid")))
+    sets = sets_of(docs, nodes, ids, words, broadcast_ids)
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts"))
     left = salts.join(sets, F.col("a") == F.col("nid")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "items")
     right = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b").join(sets, F.col("b") == F.col("nid")).select("a", "salt", "b", "items")
@@ -194,15 +138,121 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similar: tuple
     return materialise(rows.mapInArrow(run, "a long, b long"))
 
 
+def forest(nid: list[int], comp: list[int], sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, may: np.ndarray, similar: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links between rows of ``left`` and of ``right`` that join components, each only once; ``may`` says which pairs are worth counting.
+
+    The overlaps of a row with all rows on the right are one row of a sparse matrix product: the
+    postings of its shingles, added up.
+    """
+    numer, denom = similar
+    root: dict[int, int] = {c: c for c in comp}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    flat = np.concatenate([sets[j] for j in right])
+    sizes = np.array([len(x) for x in sets], np.int64)
+    order = np.argsort(flat, kind="stable")
+    shingles, start = np.unique(flat[order], return_index=True)
+    start = np.append(start, len(flat))
+    holder = np.repeat(np.arange(len(right)), sizes[right])[order]
+    out = []
+    for i, row in zip(left.tolist(), may, strict=True):
+        own = find(comp[i])
+        open_ = np.flatnonzero(row)
+        if not len(open_) or all(find(comp[right[j]]) == own for j in open_.tolist()):
+            continue
+        at = np.minimum(np.searchsorted(shingles, sets[i]), len(shingles) - 1)
+        at = at[shingles[at] == sets[i]]
+        size = start[at + 1] - start[at]
+        postings = np.repeat(start[at] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum()) if len(at) else np.zeros(0, np.int64)
+        shared = np.bincount(holder[postings], minlength=len(right))[open_]
+        for j in open_[denom * shared >= numer * (sizes[i] + sizes[right[open_]] - shared)].tolist():
+            k = int(right[j])
+            x, y = find(comp[i]), find(comp[k])
+            if x != y:
+                root[x] = y
+                out.append((nid[i], nid[k]))
+    return out
+
+
+def cross_links(docs: DataFrame, nodes: DataFrame, long: DataFrame, near: DataFrame, match: Callable[[dict, dict], np.ndarray], similar: tuple[int, int], words: int, broadcast_ids: int = BROADCAST_IDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Links (a, b) that join components of ``near`` within the buckets ``long`` (key, nid, pivot), on whole sets.
+
+    Buckets that hold several components and share nodes are one pool. Its sets are dealt by a hash into blocks of about ``block_bytes``, and every
+    pair of blocks is a cell: a task holds two blocks at a time, compares what ``match`` (on arrays n and sketch of two blocks) leaves, and
+    returns no more links than join components. ``nodes`` has a list of numbers ``sketch``.
+    """
+    labels = connected(near)
+    known = long.select("key", "nid", "pivot").join(labels.select(F.col("node").alias("nid"), "label"), "nid", "left").withColumn("comp", F.coalesce("label", "nid")).drop("label")
+    mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    known = materialise(known.join(mixed, "key", "left_semi"))
+    pool = connected(known.filter("nid <> pivot").select(F.col("pivot").alias("a"), F.col("nid").alias("b"))).select(F.col("node").alias("nid"), F.col("label").alias("pool"))
+    member = known.select("nid", "comp").distinct().join(pool, "nid")
+    sets = sets_of(docs, nodes, member.select("nid"), words, broadcast_ids)
+    member = member.join(nodes.select("nid", "n", "sketch"), "nid")
+    blocks = member.groupBy("pool").agg(F.ceil(F.sum(F.col("n").cast("long") * 8) / block_bytes).cast("int").alias("blocks"))
+    dealt = member.join(blocks, "pool").join(sets, "nid").withColumn("own", F.pmod(F.xxhash64("nid", F.lit(3)), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("pool", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "nid", "comp", "n", "sketch", "items")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def compare(cell: pa.Table) -> list[tuple[int, int]]:
+        own, lo, hi, n, nid = (cell.column(k).to_numpy() for k in ("own", "lo", "hi", "n", "nid"))
+        comp = cell.column("comp").to_numpy()
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        if not len(left) or not len(right) or comp.min() == comp.max():
+            return []
+        sketch = np.array(cell.column("sketch").to_pylist(), np.int64).view(np.uint64)
+        a, b = ({"n": n[side].astype(np.int64), "sketch": sketch[side]} for side in (left, right))
+        may = match(a, b) & (comp[left][:, None] != comp[right][None, :])
+        if lo[0] == hi[0]:
+            may &= nid[left][:, None] < nid[right][None, :]
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in cell.column("items").chunks for x in chunk]
+        return forest(nid.tolist(), comp.tolist(), sets, left, right, may, similar)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        cell: tuple | None = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            pairs = compare(pa.Table.from_batches(held)) if held else []
+            held.clear()
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], names=["a", "b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at = [b.column(k).to_numpy() for k in range(3)]
+            new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in at], axis=0)) + 1
+            for first, last in zip([0, *new.tolist()], [*new.tolist(), b.num_rows], strict=True):
+                now = tuple(int(x[first]) for x in at)
+                if now != cell:
+                    yield from flush()
+                    cell = now
+                held.append(b.slice(first, last - first))
+        yield from flush()
+        release()
+
+    return materialise(dealt.repartition(parts, "pool", "lo", "hi").sortWithinPartitions("pool", "lo", "hi").mapInArrow(run, "a long, b long"))
+
+
 def labelled_rows(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``rows`` with component_id, the least id that links reach, and copy_id, the least id of an equal set.
+    """``rows`` with component_id, the least id that links reach, copy_id, the least id of an equal set, and chosen, whether
+    the row is its component's: of the least id and, of several sets with that id, of the least signature.
 
     A row without words or an id is its own. The nodes have one row a key, so a join splits a large group of copies.
     """
     label = connected(edges).withColumnRenamed("node", "nid")
     of = nodes.select("nid", "s1", "s2", "n", "first").join(label, "nid", "left")
-    least = of.filter("label is not null").groupBy("label").agg(F.min("first").alias("least"))
-    named = of.join(least, "label", "left").select("s1", "s2", "n", F.col("first").alias("copy_id"), F.coalesce("least", "first").alias("component_id"))
+    node = F.struct("first", "s1", "s2", "n")
+    least = of.filter("label is not null").groupBy("label").agg(F.min(node).alias("least"))
+    chosen = F.coalesce(F.col("least") == node, F.lit(True))
+    named = of.join(least, "label", "left").select("s1", "s2", "n", F.col("first").alias("copy_id"), F.coalesce("least.first", "first").alias("component_id"), chosen.alias("chosen"))
     out = rows.join(named, ["s1", "s2", "n"], "left")
     own = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    return out.withColumn("component_id", F.when(own, F.col("component_id")).otherwise(F.col("doc_id"))).withColumn("copy_id", F.when(own, F.col("copy_id")).otherwise(F.col("doc_id")))
+    out = out.withColumn("chosen", ~own | (F.col("chosen") & (F.col("doc_id") == F.col("copy_id"))))
+    return out.withColumns({c: F.when(own, F.col(c)).otherwise(F.col("doc_id")) for c in ("component_id", "copy_id")})
