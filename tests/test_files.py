@@ -1,6 +1,7 @@
 """Sources, sinks, streams, guards, recognition and pixels."""
 
 import json
+import random
 import struct
 import time
 import zipfile
@@ -143,10 +144,67 @@ def test_boxes_from_maps():
     assert ocrpost.network_input(np.zeros((4, 5, 3))).shape == (3, 4, 5)
 
 
-def test_order_and_cover():
+BOX = "label string, det_idx int, x0 int, y0 int, x1 int, y1 int"
+
+
+def test_reading_order_of_many_labels(spark):
+    rng = random.Random(4)
+    rows, want = [], {}
+    for label in "abcdefgh":
+        boxes = []
+        for _ in range(rng.randint(1, 40)):
+            x, y = rng.randint(0, 60), rng.randint(0, 80)
+            boxes.append((x, y, x + rng.randint(0, 20), y + rng.randint(0, 14)))
+        rows += [(label, i, *b, None, i) for i, b in enumerate(boxes)]
+        for pos, i in enumerate(geometry.order_of_reading(boxes)):
+            want[label, i] = pos
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, BOX + ", text string, `odd name` int")
+    got = geometry.reading_order(df)
+    assert got.columns == [*df.columns, "pos"]
+    assert {(r.label, r.det_idx): r.pos for r in got.collect()} == want
+    assert geometry.reading_order(df.limit(0)).count() == 0
     assert geometry.order_of_reading([(50, 0, 90, 10), (0, 2, 40, 12), (0, 20, 40, 30)]) == [1, 0, 2]
-    assert geometry.covered((0, 0, 10, 10), [(0, 0, 10, 6)]) and not geometry.covered((0, 0, 10, 10), [(0, 0, 10, 5)])
-    assert geometry.covered((0, 0, 0, 10), [])
+
+
+def test_cover_depends_on_what_was_taken(spark):
+    turned = spark.createDataFrame([("a", 0, 0, 0, 10, 10, "x"), ("a", 1, 1, 0, 11, 10, "y"), ("a", 2, 6, 0, 16, 10, "z"), ("a", 3, 5, 5, 5, 9, "no area"), ("a", 4, 50, 0, 60, 10, "under"), ("b", 0, 0, 0, 4, 4, "alone")], BOX + ", text string")
+    upright = spark.createDataFrame([("a", 0, 50, 0, 60, 6), ("a", 1, 200, 0, 210, 5)], BOX)
+    got = geometry.uncovered(turned, upright)
+    assert got.columns == turned.columns
+    assert sorted((r.label, r.text) for r in got.collect()) == [("a", "x"), ("a", "z"), ("b", "alone")]
+    half = spark.createDataFrame([("a", 0, 50, 0, 60, 5)], BOX)
+    assert {r.text for r in geometry.uncovered(turned, half).collect()} == {"x", "z", "under", "alone"}
+
+
+def brute_successors(boxes):
+    """Positions in a list of boxes; the first four that may follow each."""
+    return {(a, b) for a in range(len(boxes)) for b in [j for j in range(len(boxes)) if j != a and reference.beside_or_under(boxes[a], boxes[j])][:4]}
+
+
+def test_successors_by_grid(spark):
+    rng = random.Random(6)
+    rows, want = [], set()
+    for label, scale in (("small", 1), ("wide", 30), ("tall", 1)):
+        boxes = []
+        for i in range(60):
+            x, y = rng.randint(-100, 300) * scale, rng.randint(-50, 200)
+            tall = 150 if label == "tall" and i % 7 == 0 else 0
+            boxes.append((x, y, x + rng.randint(0, 40) * scale, y + tall + rng.randint(0, 16)))
+        rows += [(label, i, *b) for i, b in enumerate(boxes)]
+        want |= {(label, *e) for e in brute_successors(boxes)}
+    got = geometry.successors(spark.createDataFrame(rows, BOX).withColumnRenamed("det_idx", "pos"))
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_a_label_of_many_boxes(spark):
+    """10,000 boxes of one label: the pairs that meet are few, and found."""
+    n = spark.range(10_000).selectExpr("'page' AS label", "CAST(id AS INT) AS pos", "CAST(id % 100 * 50 AS INT) AS x0", "CAST(id div 100 * 20 AS INT) AS y0", "CAST(id % 100 * 50 + 45 AS INT) AS x1", "CAST(id div 100 * 20 + 12 AS INT) AS y1")
+    began = time.time()
+    got = geometry.successors(n).groupBy("b").count().filter("b < 0").count()
+    assert got == 0 and time.time() - began < 60
+    edges = {(r.a, r.b) for r in geometry.successors(n).filter("a in (0, 99, 9999)").collect()}
+    assert edges == {(0, 1), (0, 100), (99, 199)}
 
 
 def test_strokes_and_pixels():

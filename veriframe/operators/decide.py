@@ -2,69 +2,71 @@
 
 Every candidate pair is aligned once, at the widest radius that any search uses. What a pair may
 do for a claim (verify it, protect it by the margin, or contradict it) is a flag on the row, and
-one aggregate takes the best row of each role. Text candidates meet the readings of their label
-after bounds on length and class counts; numeric candidates that must be read exactly meet them
-through an equi-join on the figure.
+one aggregate takes the best row of each role. Spellings of the filed value meet the readings of their label
+through an index of pieces, of which one must be read as it is; numeric candidates that must be read
+exactly meet them through an equi-join on the figure. All alignments of a batch are done at once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from veriframe.config import DEFAULT, Options
-from veriframe.functions import align
+from veriframe.functions import align, batch
 from veriframe.functions import text as T
 from veriframe.operators import claims as C
+from veriframe.staging import staged
 
 SPAN = "struct<cost:int,start:int,stop:int>"
 
 
-FAR = 1 << 20
-
-
-@lru_cache(1 << 16)
-def _whole(claim: str, read: str, budget: int, cc: int) -> int:
-    """Half edits to the whole reading, or ``FAR`` past the budget; the table is filled only if the bound allows it."""
-    if claim == read:
-        return 0
-    if cc == 1 and (2 * abs(len(claim) - len(read)) > budget or align.least_edits(claim, read, False) > budget):
-        return FAR
-    return align.half_edits(claim, read, cc)
-
-
-@lru_cache(1 << 16)
-def _within(claim: str, read: str, budget: int, cc: int) -> tuple[int, int, int]:
-    """Half edits to the best stretch of the reading, and the stretch."""
-    if claim not in read and cc == 1 and align.least_edits(claim, read, True) > budget:
-        return FAR, 0, 0
-    return align.infix(claim, read, cc)
-
-
-def match(claim: str, form: int, text: str, norm: str, parts: int, widest: int, budget: int, cc: int) -> tuple[int, int, int]:
-    """Half edits and the stretch of the reading that one spelling was matched against; ``FAR`` past the budget."""
-    if form >= 0:  # a figure is bounded by its unit, so it may stand anywhere
-        return _within(claim, norm, budget, cc)
-    cost, start, stop = _whole(claim, norm, budget, cc), 0, len(norm)
-    if len(claim) < len(norm) <= 3 * len(claim) + 24 and (parts == 1 or len(claim) > widest):
-        c, s, e = _within(claim, norm, budget, cc)
-        if c < cost and c <= budget and align.ends_meet(claim, norm[s:e], cc):
-            n, at = T.normalize_with_offsets(text)
-            if align.delimited(text, n, at, s, e):
-                return c, s, e
+FAR = batch.FAR
+
+
+def match(claim: list[str], form: np.ndarray, text: list[str], norm: list[str], parts: np.ndarray, widest: np.ndarray, budget: np.ndarray, cc: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each pair the half edits and the stretch of the reading that the spelling was matched against; ``FAR`` past the budget.
+
+    A figure is bounded by its unit, so it may stand anywhere in the reading. Another spelling is held against the
+    whole reading or, where that is closer, against a stretch that is delimited and whose ends are the spelling's.
+    """
+    n, read = np.array([len(s) for s in claim], np.int64), np.array([len(s) for s in norm], np.int64)
+    figure = form >= 0
+    cost, start, stop = np.full(len(n), FAR, np.int64), np.zeros(len(n), np.int64), np.where(figure, 0, read)
+    folded = [s.translate(align._FOLD) for s in claim], [s.translate(align._FOLD) for s in norm]
+
+    def possible(rows: np.ndarray, anywhere: bool) -> np.ndarray:
+        own = rows.tolist()
+        least = batch.least_edits([folded[0][i] for i in own], [folded[1][i] for i in own], np.full(len(own), anywhere))
+        return rows[least <= budget[rows]]
+
+    whole = possible(np.flatnonzero(~figure & (2 * np.abs(n - read) <= budget)), anywhere=False)
+    cost[whole] = batch.half_edits([claim[i] for i in whole.tolist()], [norm[i] for i in whole.tolist()], cc)
+    within = figure | ((n < read) & (read <= 3 * n + 24) & ((parts == 1) | (n > widest)))
+    inside = possible(np.flatnonzero(within & (cost > 0)), anywhere=True)
+    c, s, e = batch.infix([claim[i] for i in inside.tolist()], [norm[i] for i in inside.tolist()], cc)
+    for k in np.flatnonzero(figure[inside] | ((c < cost[inside]) & (c <= budget[inside]))).tolist():
+        i, stretch = int(inside[k]), (int(s[k]), int(e[k]))
+        if not figure[i]:
+            if not align.ends_meet(claim[i], norm[i][slice(*stretch)], cc):
+                continue
+            if not align.delimited(text[i], *T.normalize_with_offsets(text[i]), *stretch):
+                continue
+        cost[i], (start[i], stop[i]) = c[k], stretch
     return cost, start, stop
 
 
 def matcher(cc: int):
     @pandas_udf(SPAN)
     def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for cols in batches:
-            yield pd.DataFrame([match(*row, cc) for row in zip(*cols, strict=True)], columns=["cost", "start", "stop"]).astype("int32")
+        for claim, form, text, norm, parts, widest, budget in batches:
+            found = match(claim.tolist(), form.to_numpy(), text.tolist(), norm.tolist(), parts.to_numpy(), widest.to_numpy(), budget.to_numpy(), cc)
+            yield pd.DataFrame(dict(zip(("cost", "start", "stop"), found, strict=True))).astype("int32")
 
     return run
 
@@ -74,6 +76,34 @@ def radius_of(claims: DataFrame, options: Options) -> Column:
     return F.when(F.col("radius") > 0, F.col("radius")).otherwise(base) if "radius" in claims.columns else base
 
 
+def pieces_met(spellings: DataFrame, read: DataFrame) -> DataFrame:
+    """(label, claim, cand_idx, path) of spellings and the readings that hold one of their pieces, by an equi-join on the piece.
+
+    A spelling that allows so many edits is cut into one piece more, of which one is left as it is by any
+    reading within the budget; confusable characters are folded first, so they cost no piece. Pieces of a spelling are
+    indexed by as many characters as the shortest of them has. A spelling that allows as many
+    edits as it has characters has no piece and meets all readings of its label.
+    """
+    n = F.length("cfold")
+    pieces = F.floor(F.col("cbudget") / 2).cast("int") + 1
+    own = spellings.select("label", "claim", "cand_idx", "cfold", n.alias("n"), pieces.alias("pieces"), F.floor(n / pieces).cast("int").alias("q"), "form", "reach")
+    start = lambda k: F.floor(k * F.col("n") / F.col("pieces")).cast("int") + 1
+    cut = own.filter("q > 0").withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda k: F.col("cfold").substr(start(k), F.col("q"))))))
+    cut = cut.select("label", "claim", "cand_idx", "gram", "n", "form", "reach")
+    sizes = own.filter("q > 0").groupBy("label").agg(F.collect_set("q").alias("qs"))
+    grams = lambda q: F.transform(F.sequence(F.lit(1), F.length("rfold") - q + 1), lambda i: F.col("rfold").substr(i, q))
+    every = F.flatten(F.transform("qs", lambda q: F.when(F.length("rfold") >= q, grams(q)).otherwise(F.array().cast("array<string>"))))
+    held = read.select("label", "path", "rfold", "parts", "widest").join(sizes, "label")
+    held = held.select("label", "path", F.length("rfold").alias("rn"), "parts", "widest", F.explode(F.array_distinct(every)).alias("gram"))
+    # A whole reading is about as long as the spelling; a stretch is taken only from a reading that may hold it.
+    slack = F.col("reach") * F.col("n")
+    inside = (F.col("form") >= 0) | ((F.col("n") < F.col("rn")) & (F.col("rn") <= 3 * F.col("n") + 24) & ((F.col("parts") == 1) | (F.col("n") > F.col("widest"))))
+    found = cut.join(held, ["label", "gram"]).filter((F.col("rn") >= F.col("n") - slack) & (inside | (F.col("rn") <= F.col("n") + slack)))
+    found = found.select("label", "claim", "cand_idx", "path").distinct()
+    free = own.filter("q = 0").select("label", "claim", "cand_idx").join(read.select("label", "path"), "label")
+    return found.unionByName(free)
+
+
 def matches(claims: DataFrame, candidates: DataFrame, runs: DataFrame, options: Options = DEFAULT) -> DataFrame:
     """Rows (label, claim, spelling, reading) within the widest radius, with cost, distance, stretch and the three roles."""
     cc = options.half_cost
@@ -84,25 +114,18 @@ def matches(claims: DataFrame, candidates: DataFrame, runs: DataFrame, options:
     def ready(spellings: DataFrame) -> DataFrame:
         """Spellings with their budget, and what bounds need of them."""
         out = spellings.join(filed, ["label", "claim"]).withColumn("chist", T.histogram("norm")).withColumn("cfold", T.class_fold("norm"))
-        out = out.withColumn("reach", reach).withColumn("cbudget", F.floor(F.col("reach") * 2 * F.length("norm") + 1e-9).cast("int"))
-        # So many edits leave one of so many pieces and one as it is.
-        pieces = F.floor(F.col("cbudget") / 2).cast("int") + 1
-        start = lambda k: F.floor(k * F.length("norm") / pieces).cast("int")
-        return out.withColumn("pieces", F.transform(F.sequence(F.lit(0), pieces - 1), lambda k: F.col("cfold").substr(start(k) + 1, start(k + 1) - start(k))))
+        return out.withColumn("reach", reach).withColumn("cbudget", F.floor(F.col("reach") * 2 * F.length("norm") + 1e-9).cast("int"))
 
     def near(pairs: DataFrame) -> DataFrame:
         out = pairs.filter(F.length("rnorm") >= F.length("norm") * (1 - F.col("reach")))
         out = out.filter(~T.beyond(F.col("chist"), F.col("hist"), F.col("cbudget")))
-        if cc == 1:  # the folded strings are as near as the others or nearer
-            longer = F.length("rnorm") > F.length("norm")
-            inside = (F.col("form") >= 0) | (longer & (F.length("rnorm") <= 3 * F.length("norm") + 24) & ((F.col("parts") == 1) | (F.length("norm") > F.col("widest"))))
-            whole = (F.col("form") < 0) & (F.levenshtein("cfold", "rfold") * 2 <= F.col("cbudget"))
-            out = out.filter(whole | (inside & F.exists("pieces", lambda p: F.contains(F.col("rfold"), p))))
         return out.select("label", "claim", "cand_idx", F.col("text").alias("ctext"), F.col("norm").alias("cnorm"), "name", "claimed", "form", "num", "radius", "reach", "cbudget", "path", "box", F.col("rtext").alias("text"), F.col("rnorm").alias("norm"), "confidence", "parts", "widest", "nums")
 
-    # Spellings of the filed value meet all readings of the label; another value must be read
-    # exactly, so it is found by an equi-join on the figure.
-    own = near(ready(candidates.filter("claimed or num = ''")).join(read, "label"))
+    # Spellings of the filed value meet the readings that hold one of their pieces; another value must
+    # be read exactly, so it is found by an equi-join on the figure.
+    mine = staged(ready(candidates.filter("claimed or num = ''")))
+    met = mine.join(pieces_met(mine, read), ["label", "claim", "cand_idx"]).join(read, ["label", "path"])
+    own = near(met.select(*mine.columns, *[c for c in read.columns if c != "label"]))
     figures = read.select("*", F.explode(F.array_distinct("nums")).alias("num"))
     other = ready(C.other_values(claims, figures))
     pairs = own.unionByName(near(other))
@@ -165,7 +188,7 @@ def verify(detections: DataFrame, claims: DataFrame, candidates: DataFrame, opti
     """Verdicts of all claims from raw detections; a label on which nothing was read says so."""
     from veriframe.operators import geometry
 
-    out = verdicts(claims, candidates, geometry.runs(detections, options), options)
+    out = verdicts(claims, candidates, staged(geometry.runs(detections, options)), options)
     read = detections.select("label").distinct().withColumn("any", F.lit(True))
     blank = F.col("any").isNull() & F.col("status").isin("NOT_FOUND", "SKIPPED")
     return out.join(read, "label", "left").withColumn("reason", F.when(blank, "no_text").otherwise(F.col("reason"))).drop("any")

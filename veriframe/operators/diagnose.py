@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
-from veriframe.functions import align
+from veriframe.functions import batch
 from veriframe.functions import text as T
 from veriframe.operators import geometry
 
@@ -20,8 +21,11 @@ BLOCK_GATE, LEAST_BLOCK = 0.25, 8
 
 @pandas_udf(DoubleType())
 def infix_share(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """The cost of a spelling's best stretch of a reading, all substitutions alike, as a share of the spelling; 1 for an empty one."""
     for a, b in batches:
-        yield pd.Series([align.infix_distance(x, y, 2) if x else 1.0 for x, y in zip(a, b, strict=True)], dtype="float64")
+        cost, _, _ = batch.infix(a.tolist(), b.tolist(), 2)
+        size = a.str.len().to_numpy()
+        yield pd.Series(np.where(size > 0, cost / (2.0 * np.maximum(size, 1)), 1.0))
 
 
 def _nearest(pairs: DataFrame, what: str) -> DataFrame:

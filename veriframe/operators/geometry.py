@@ -6,7 +6,6 @@ open: ``x0, y0, x1, y1``.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,7 +20,7 @@ def kept(detections: DataFrame, options: Options = DEFAULT) -> DataFrame:
 
 
 def order_of_reading(boxes: list[tuple[int, int, int, int]]) -> list[int]:
-    """Indexes in reading order: from the top, each box joins the first line whose last box it overlaps by more than half; lines run left to right."""
+    """Indexes in reading order, of one label's boxes in memory; ``reading_order`` has the rule."""
     lines: list[list[int]] = []
     for i in sorted(range(len(boxes)), key=lambda i: (boxes[i][1], boxes[i][0])):
         _, top, _, bottom = boxes[i]
@@ -39,24 +38,32 @@ def order_of_reading(boxes: list[tuple[int, int, int, int]]) -> list[int]:
 def reading_order(detections: DataFrame) -> DataFrame:
     """Adds ``pos``, the place in reading order within the label.
 
-    The rule depends on what was placed before, so a label's boxes are ordered together; a label
-    is one image and its boxes are few. A label of one box needs no ordering.
+    From the top (then from the left, then by ``det_idx``) each box joins the first line whose last box it overlaps by more
+    than half of the lower one's height; lines run from left to right. What a box joins depends on those placed before, so
+    it is a fold over a label's sorted boxes, in the JVM: the state is each line's last box, and a box adds its line's number.
+    A label's boxes are gathered once, with all their columns, and nothing is joined back.
     """
-    schema = detections.select("label", "det_idx").schema.add("pos", "integer")
+    others = [c for c in detections.columns if c not in ("label", "y0", "x0", "det_idx", "y1", "x1")]
+    box = F.struct("y0", "x0", "det_idx", "y1", "x1", F.struct(*others).alias("rest")) if others else F.struct("y0", "x0", "det_idx", "y1", "x1")
+    rows = detections.groupBy("label").agg(F.array_sort(F.collect_list(box)).alias("rows"))
+    start = F.struct(F.array().cast("array<struct<t:int,b:int>>").alias("lines"), F.array().cast("array<int>").alias("at"))
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("det_idx", kind="stable").reset_index(drop=True)
-        order = order_of_reading(list(zip(g.x0.tolist(), g.y0.tolist(), g.x1.tolist(), g.y1.tolist(), strict=True)))
-        out = g.loc[order, ["label", "det_idx"]].reset_index(drop=True)
-        out["pos"] = range(len(out))
-        return out.astype({"pos": "int32"})
+    def overlaps(line: Column, b: Column) -> Column:
+        h = F.least(line["b"] - line["t"], b["y1"] - b["y0"])
+        return (h > 0) & (F.least(line["b"], b["y1"]) - F.greatest(line["t"], b["y0"]) > F.floor(h / 2))
 
-    many = F.count("*").over(Window.partitionBy("label")) > 1
-    counted = detections.withColumn("many", many)
-    alone = counted.filter(~F.col("many")).drop("many").withColumn("pos", F.lit(0))
-    several = counted.filter("many").drop("many")
-    place = several.select("label", "det_idx", "x0", "y0", "x1", "y1").groupBy("label").applyInPandas(run, schema)
-    return alone.unionByName(several.join(place, ["label", "det_idx"]))
+    def step(acc: Column, b: Column) -> Column:
+        own = F.struct(b["y0"].cast("int").alias("t"), b["y1"].cast("int").alias("b"))
+        joined = F.array_position(F.transform(acc["lines"], lambda line: overlaps(line, b)), True).cast("int")
+        lines = F.when(joined > 0, F.transform(acc["lines"], lambda line, i: F.when(i == joined - 1, own).otherwise(line))).otherwise(F.concat(acc["lines"], F.array(own)))
+        return F.struct(lines.alias("lines"), F.concat(acc["at"], F.array(F.when(joined > 0, joined - 1).otherwise(F.size(acc["lines"])))).alias("at"))
+
+    placed = rows.withColumn("at", F.aggregate("rows", start, step, lambda acc: acc["at"]))
+    # The place before the line's own order decides between boxes that begin at one x.
+    order = F.array_sort(F.transform("at", lambda line, k: F.struct(line.alias("line"), F.col("rows")[k]["x0"].alias("x0"), k.alias("k"))))
+    out = placed.select("label", "rows", F.posexplode(order).alias("pos", "o")).select("label", "pos", F.col("rows")[F.col("o.k")].alias("b"))
+    at = {"pos": F.col("pos"), "label": F.col("label")} | {c: F.col(f"b.{c}") for c in ("y0", "x0", "det_idx", "y1", "x1")} | {c: F.col(f"b.rest.`{c}`") for c in others}
+    return out.select(*[at[c].alias(c) for c in [*detections.columns, "pos"]])
 
 
 def follows(a: str, b: str) -> Column:
@@ -73,9 +80,28 @@ def follows(a: str, b: str) -> Column:
 
 
 def successors(ordered: DataFrame, most: int = MAX_FOLLOW) -> DataFrame:
-    """(label, a, b): the first ``most`` boxes, in reading order, that may follow each."""
-    slim = ordered.select("label", "pos", "x0", "y0", "x1", "y1")
-    pairs = slim.alias("a").join(slim.alias("b"), (F.col("a.label") == F.col("b.label")) & (F.col("a.pos") != F.col("b.pos")) & follows("a", "b"))
+    """(label, a, b): the first ``most`` boxes, in reading order, that may follow each.
+
+    Boxes meet in the cells of a grid, of about a box's mean height and width on the label, that they reach: as the one
+    that follows, the cells under the box; as the one before, also those within a box's height to the right of it and below. Two boxes
+    meet in the first cell that both reach, so no pair comes twice and a label of many boxes isn't squared. Boxes
+    without a height follow nothing; ``x1 >= x0`` is taken for granted.
+    """
+    by = Window.partitionBy("label")
+    slim = ordered.select("label", "pos", "x0", "y0", "x1", "y1").filter("y1 > y0")
+    tall, wide = (F.greatest(F.ceil(F.avg(F.col(hi) - F.col(lo)).over(by)), F.lit(1)) for hi, lo in (("y1", "y0"), ("x1", "x0")))
+    slim = slim.withColumn("tall", tall).withColumn("wide", wide)
+    cell = lambda c, size: F.floor(F.col(c) / F.col(size))
+
+    def reached(side: str, more: Column) -> DataFrame:
+        ends = [(cell("x0", "wide"), F.floor((F.col("x1") + more) / F.col("wide"))), (cell("y0", "tall"), F.floor((F.col("y1") + more) / F.col("tall")))]
+        out = slim.select("label", "pos", "x0", "y0", "x1", "y1", ends[0][0].alias("fx"), ends[1][0].alias("fy"), F.explode(F.sequence(*ends[0])).alias("cx"), F.sequence(*ends[1]).alias("cys"))
+        return out.select("label", "pos", "x0", "y0", "x1", "y1", "fx", "fy", "cx", F.explode("cys").alias("cy")).alias(side)
+
+    a, b = reached("a", F.col("y1") - F.col("y0")), reached("b", F.lit(0))
+    same = (F.col("a.label") == F.col("b.label")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
+    first = (F.col("a.cx") == F.greatest("a.fx", "b.fx")) & (F.col("a.cy") == F.greatest("a.fy", "b.fy"))
+    pairs = a.join(b, same & first & (F.col("a.pos") != F.col("b.pos")) & follows("a", "b"))
     pairs = pairs.select(F.col("a.label").alias("label"), F.col("a.pos").alias("a"), F.col("b.pos").alias("b"))
     rank = F.row_number().over(Window.partitionBy("label", "a").orderBy("b"))
     return pairs.withColumn("k", rank).filter(F.col("k") <= most).drop("k")
@@ -120,15 +146,6 @@ def side_on(boxes: DataFrame) -> DataFrame:
     return boxes.groupBy("label").agg(F.coalesce(F.bool_or(F.col("y1") - F.col("y0") > F.col("x1") - F.col("x0")), F.lit(False)).alias("side_on"))
 
 
-def covered(box: tuple, others: list[tuple]) -> bool:
-    """Whether another box covers more than half of this one; a box without an area counts as covered."""
-    x0, y0, x1, y1 = box
-    area = (x1 - x0) * (y1 - y0)
-    if area <= 0:
-        return True
-    return any(2 * max(0, min(x1, b[2]) - max(x0, b[0])) * max(0, min(y1, b[3]) - max(y0, b[1])) > area for b in others)
-
-
 def covered_by_any(boxes: DataFrame, others: DataFrame) -> DataFrame:
     """(label, det_idx, covered): whether any box of ``others`` on the label covers more than half of the box."""
     slim = others.select("label", F.struct("x0", "y0", "x1", "y1").alias("o")).groupBy("label").agg(F.collect_list("o").alias("others"))
@@ -139,21 +156,29 @@ def covered_by_any(boxes: DataFrame, others: DataFrame) -> DataFrame:
 
 
 def uncovered(turned: DataFrame, upright: DataFrame) -> DataFrame:
-    """Turned boxes that neither an upright box nor an earlier accepted turned box covers, in order of ``det_idx``."""
-    schema = turned.schema
-    both = turned.groupBy("label").cogroup(upright.select("label", "x0", "y0", "x1", "y1").groupBy("label"))
-
-    def run(t: pd.DataFrame, u: pd.DataFrame) -> pd.DataFrame:
-        seen = list(u[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None))
-        take = []
-        t = t.sort_values("det_idx", kind="stable")
-        for row, b in zip(t.index, t[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None), strict=True):
-            if not covered(b, seen):
-                take.append(row)
-                seen.append(b)
-        return t.loc[take]
-
-    return both.applyInPandas(run, schema)
+    """Turned boxes that neither an upright box nor an earlier accepted turned box covers, in order of ``det_idx``.
+
+    A box is covered if another covers more than half of it, or if it has no area. What was accepted covers what follows, so it
+    is a fold over a label's sorted boxes, in the JVM; the state is the boxes that cover.
+    """
+    kind = "struct<x0:int,y0:int,x1:int,y1:int>"
+    corners = F.struct(*[F.col(c).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")])
+    seen = upright.groupBy("label").agg(F.collect_list(corners).alias("seen"))
+    columns = [c for c in turned.columns if c not in ("label", "det_idx")]
+    rows = turned.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("det_idx", *columns))).alias("rows"))
+    both = rows.join(seen, "label", "left").withColumn("seen", F.coalesce("seen", F.array().cast(f"array<{kind}>")))
+
+    def step(acc: Column, b: Column) -> Column:
+        area = (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])
+        shared = lambda o: F.greatest(F.least(b["x1"], o["x1"]) - F.greatest(b["x0"], o["x0"]), F.lit(0)) * F.greatest(F.least(b["y1"], o["y1"]) - F.greatest(b["y0"], o["y0"]), F.lit(0))
+        gone = (area <= 0) | F.exists(acc["seen"], lambda o: 2 * shared(o) > area)
+        own = F.array(F.struct(*[b[c].cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")]))
+        return F.struct(F.when(gone, acc["seen"]).otherwise(F.concat(acc["seen"], own)).alias("seen"), F.concat(acc["taken"], F.array(~gone)).alias("taken"))
+
+    start = F.struct(F.col("seen"), F.array().cast("array<boolean>").alias("taken"))
+    found = both.withColumn("taken", F.aggregate("rows", start, step, lambda acc: acc["taken"]))
+    kept_ = found.select("label", F.explode(F.filter("rows", lambda r, i: F.col("taken")[i])).alias("r"))
+    return kept_.select(*[F.col("label") if c == "label" else F.col(f"r.`{c}`") for c in turned.columns])
 
 
 def turned_back(width: Column, box: Column) -> Column:

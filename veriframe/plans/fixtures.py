@@ -31,6 +31,12 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ws.select("label", idx.alias("det_idx"), (8 * (F.col("s") - F.length("text") - 1)).cast("int").alias("x0"), top.alias("y0"), x1.alias("x1"), (top + 12).alias("y1"), "text", F.lit(0.9).alias("confidence"))
 
 
+def uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words, each a little lower or higher than its neighbours, some taller, so that lines run into each other."""
+    down, taller = F.col("det_idx") * 5 % 9, F.col("det_idx") % 4 * 3
+    return words(spark, sf_dir).withColumns({"y0": (F.col("y0") + down).cast("int"), "y1": (F.col("y1") + down + taller).cast("int")})
+
+
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of parts and what is read of them."""
     n, k = F.col("p_name"), F.col("p_partkey") % 6

@@ -10,7 +10,7 @@ from veriframe.functions import text as T
 from veriframe.operators import claims as C
 from veriframe.operators import decide, diagnose, evaluate, geometry, guards, ocrpost, reference
 from veriframe.plans import sql as S
-from veriframe.plans.fixtures import lines, names, one_box, table, words
+from veriframe.plans.fixtures import lines, names, one_box, table, uneven, words
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -35,9 +35,18 @@ def geometry_kept(spark, d):
     return geometry.kept(lines(spark, d)).select("label", "det_idx", "text", "confidence")
 
 
-@query(f"SELECT label, det_idx, CAST(row_number() OVER (PARTITION BY label ORDER BY y0, x0) - 1 AS INT) AS pos FROM ({S.words()})")
+@query(S.in_reading_order(S.uneven()))
 def geometry_reading_order(spark, d):
-    return geometry.reading_order(words(spark, d)).select("label", "det_idx", "pos")
+    return geometry.reading_order(uneven(spark, d)).select("label", "det_idx", "pos")
+
+
+@query(
+    f"WITH o AS ({S.in_reading_order(S.uneven())}), w AS (SELECT u.*, o.pos FROM ({S.uneven()}) u JOIN o ON o.label = u.label AND o.det_idx = u.det_idx) SELECT label, a, b FROM "
+    f"(SELECT a.label, a.pos AS a, b.pos AS b, row_number() OVER (PARTITION BY a.label, a.pos ORDER BY b.pos) AS k FROM w a JOIN w b ON a.label = b.label AND a.pos <> b.pos AND {S.FOLLOWS}) WHERE k <= 4"
+)
+def geometry_successors_uneven(spark, d):
+    """Successors among lines that run into each other."""
+    return geometry.successors(geometry.reading_order(uneven(spark, d)))
 
 
 _EDGES = (

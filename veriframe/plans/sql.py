@@ -46,6 +46,15 @@ def infix_cost(claim: str, read: str, cc: int = 1) -> str:
     return f"list_min({table(claim, read, '0', f'least(prev[f[1]] + {sub}, prev[f[1] + 1] + 2, cur[f[1]] + 2)')})"
 
 
+def infix_span(claim: str, read: str, cc: int = 1) -> str:
+    """Cost, start and stop of the best stretch: a cell is a cost in millions and where its path began; of equal costs the diagonal, then the claim's character skipped."""
+    sub = cost(f"substr({claim}, e[1], 1)", f"substr({read}, f[1], 1)", cc)
+    d, u, left = f"(prev[f[1]] + 1000000 * {sub})", "(prev[f[1] + 1] + 2000000)", "(cur[f[1]] + 2000000)"
+    cell = f"CASE WHEN {d} // 1000000 <= {u} // 1000000 AND {d} // 1000000 <= {left} // 1000000 THEN {d} WHEN {u} // 1000000 <= {left} // 1000000 THEN {u} ELSE {left} END"
+    row = table(claim, read, "j", cell, "2000000 * e[1]")
+    return f"list_min(list_transform({row}, lambda x, j: (x // 1000000) * 1000000000000 + (j - 1) * 1000000 + x % 1000000))"
+
+
 def common(a: str, b: str) -> str:
     sub = cost(f"substr({a}, e[1], 1)", f"substr({b}, f[1], 1)")
     return f"list_last({table(a, b, '0', f'CASE WHEN {sub} < 2 THEN prev[f[1]] + 1 ELSE greatest(prev[f[1] + 1], cur[f[1]]) END', '0')})"
@@ -76,6 +85,24 @@ def words() -> str:
     )
 
 
+def uneven() -> str:
+    """The words, each a little lower or higher than its neighbours, some taller."""
+    return f"SELECT label, det_idx, x0, CAST(y0 + det_idx * 5 % 9 AS INT) AS y0, x1, CAST(y1 + det_idx * 5 % 9 + det_idx % 4 * 3 AS INT) AS y1, text, confidence FROM ({words()})"
+
+
+def in_reading_order(boxes: str) -> str:
+    """label, det_idx and pos by a fold: what is placed so far, of which each line's last box is marked."""
+    e, h = "e[1]", "least(o.y1 - o.y0, e[1].y1 - e[1].y0)"
+    met = f"list_min(list_transform(list_filter(acc, lambda o: o.last AND {h} > 0 AND least(o.y1, {e}.y1) - greatest(o.y0, {e}.y0) > {h} // 2), lambda o: o.line))"
+    line = f"coalesce({met}, list_max(list_transform(acc, lambda o: o.line)) + 1)"
+    pack = lambda o, line, k, last: f"struct_pack(det_idx := {o}.det_idx, x0 := {o}.x0, y0 := {o}.y0, y1 := {o}.y1, line := {line}, k := {k}, last := {last})"
+    return (
+        f"SELECT label, det_idx, CAST(row_number() OVER (PARTITION BY label ORDER BY line, x0, k) - 1 AS INT) AS pos FROM (SELECT label, unnest(placed, recursive := true) FROM (SELECT label, list_reduce(boxes, "
+        f"lambda acc, e: list_append(list_transform(acc, lambda o: {pack('o', 'o.line', 'o.k', f'o.last AND o.line <> {line}')}), {pack(e, line, 'len(acc)', 'true')})) AS placed "
+        f"FROM (SELECT label, list([struct_pack(det_idx := det_idx, x0 := x0, y0 := y0, y1 := y1, line := 0::BIGINT, k := 0::BIGINT, last := true)] ORDER BY y0, x0, det_idx) AS boxes FROM ({boxes}) GROUP BY label)))"
+    )
+
+
 FOLLOWS = (
     "least(a.y1 - a.y0, b.y1 - b.y0) > 0 AND CASE WHEN least(a.y1, b.y1) - greatest(a.y0, b.y0) > least(a.y1 - a.y0, b.y1 - b.y0) // 2 THEN b.x0 >= a.x0 AND b.x0 - a.x1 <= least(a.y1 - a.y0, b.y1 - b.y0) "
     "ELSE 2 * (least(a.x1, b.x1) - greatest(a.x0, b.x0)) >= least(a.x1 - a.x0, b.x1 - b.x0) AND b.y0 - a.y1 >= -(least(a.y1 - a.y0, b.y1 - b.y0) // 2) AND b.y0 - a.y1 <= least(a.y1 - a.y0, b.y1 - b.y0) END"

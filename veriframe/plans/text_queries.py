@@ -74,10 +74,14 @@ def text_deficit(spark, d):
     return _normed(spark, d).select("label", T.deficit(T.histogram("a"), T.histogram("b")).cast("int").alias("deficit"))
 
 
-@query(f"SELECT label, CAST({S.infix_cost('a', 'b')} AS INT) AS cost, CASE WHEN contains(b, a) THEN CAST(instr(b, a) - 1 AS INT) END AS hit FROM ({_NORMED})")
+@query(
+    "SELECT label, CAST(v // 1000000000000 AS INT) AS cost, CAST(v % 1000000 AS INT) AS start, CAST(v // 1000000 % 1000000 AS INT) AS stop "
+    f"FROM (SELECT label, {S.infix_span('a', 'b')} AS v FROM ({_NORMED}))"
+)
 def text_infix(spark, d):
+    """The best stretch of each reading: what it costs, where it starts and where it stops."""
     m = _normed(spark, d).withColumn("m", distance.infix(F.col("a"), F.col("b")))
-    return m.select("label", F.col("m.cost").alias("cost"), F.when(F.col("m.cost") == 0, F.col("m.start")).alias("hit"))
+    return m.select("label", "m.cost", "m.start", "m.stop")
 
 
 @query(f"SELECT label, round({S.common('b', 'a')} / CAST(length(b) AS DOUBLE), 6) AS agreement, round({S.common('b', 'a')} / CAST(length(a) AS DOUBLE), 6) AS coverage FROM ({_NORMED})")
