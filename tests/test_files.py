@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from veriframe import sinks
 from veriframe.operators import claims as C
-from veriframe.operators import decide, evaluate, geometry, guards, images, ocrpost, reference
+from veriframe.operators import decide, evaluate, geometry, guards, ocrpost, reference
 from veriframe.sources import files
 from veriframe.streaming import online
 
@@ -214,17 +214,6 @@ def test_strokes_and_pixels():
     a, b = (reference.stroke_width(g, [(0, 0, 100, 40)]) for g in (thin, thick))
     assert b / a > 2 and reference.stroke_width(np.zeros((0, 0)), []) is None
     assert reference.judge_heading("WARNING", b / a) == ("VERIFIED", "") and reference.judge_heading("WARNING", 1.0)[0] == "REVIEW" and reference.judge_heading("Warning", 2.0)[0] == "MISMATCH"
-    ink = np.zeros((9, 9), bool)
-    ink[3:6, 3:6] = True
-    assert images.erode(images.dilate(ink)).sum() == 9 and images.ink_bounds(ink) == (3, 3, 6, 6)
-    assert images.chamfer(ink).max() == 6 and images.downsample(images.upsample(ink, 2), 2).tolist() == ink.tolist()
-    other = ink.copy()
-    other[0, 0] = True
-    assert images.reconstruct(ink, other).tolist() == ink.tolist()
-    m = images.homography([(0, 0), (1, 0), (1, 1), (0, 1)], [(0, 0), (2, 0), (2, 2), (0, 2)])
-    assert np.allclose(images.project(m, 0.5, 0.5), (1, 1))
-    assert images.quarter_turn(np.arange(6).reshape(2, 3)).shape == (3, 2)
-    assert np.allclose(images.resize(np.full((4, 4), 7.0), 8, 2), 7) and np.allclose(images.blur(np.full((5, 5), 3.0), 1), 3)
 
 
 def test_heading_parts_and_weight():

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veriframe.staging import staged
+
 
 def want(claim: Column, carried: Column, error: Column, abv: Column, net_ml: Column, class_: Column) -> Column:
     """``correct``, ``wrong`` or ``missing``: what the printed label implies for a claim.
@@ -66,12 +68,52 @@ def brand_group(claim: Column, face: Column, warning_face: Column) -> Column:
     return F.when((claim == "brand") & (first(face) != first(warning_face)), F.lit("brand (display)")).otherwise(claim)
 
 
-def quantile(values: DataFrame, value: str, p: float, *keys: str) -> DataFrame:
-    """The value at place ``min(n - 1, floor(p n))`` (from 0) of the ascending values of each group."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ranked = values.withColumn("_k", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
-    at = F.least(F.col("_n") - 1, F.floor(F.col("_n") * F.lit(p))) + 1
-    return ranked.filter(F.col("_k") == at).select(*keys, F.col(value).alias("quantile"))
+BUCKETS = 4096
+FEW = 10_000
+
+
+def quantile(values: DataFrame, value: str, p: float, *keys: str, buckets: int = BUCKETS, few: int = FEW) -> DataFrame:
+    """The value at place ``min(n - 1, floor(p n))`` (from 0) of the ascending values of each group, exactly; ``value`` is a number, nulls are left out.
+
+    Selection by histograms: the values of a group that are still in question, between a least and a largest, are counted in
+    ``buckets`` of equal width, and the bucket that holds the place is looked into next, with its own least and largest
+    value. A group is done when these are equal, or by a sort of the ``few`` values that are left. Counts are
+    pre-aggregated, so no task holds a group, and a round needs the values of open groups only. Of no rows there is no quantile.
+    """
+    group = F.struct(*keys) if keys else F.lit(0)
+    rows = values.select(group.alias("g"), F.col(value).alias("v")).filter("v is not null")
+    # NaN is the largest number; it stands in a bucket of its own.
+    is_nan = F.isnan(F.col("v").cast("double"))
+    facts = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    place = F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(p)))
+    # Whole numbers are subtracted as such, since doubles can't tell large ones apart.
+    whole = {"tinyint": 20, "smallint": 20, "int": 20, "bigint": 20}.get(rows.schema["v"].dataType.simpleString())
+    number = lambda c: c.cast(f"decimal({whole},0)") if whole else c
+    apart = lambda x, y: (number(x) - number(y)).cast("double")
+    # Of each open group: the place among the values from lo to hi, and how many these are.
+    open_ = staged(facts.select("g", place.alias("k"), "n", "lo", "hi"))
+    done: list[DataFrame] = []
+    while True:
+        done.append(open_.filter("lo <=> hi").select("g", F.col("lo").alias("quantile")))
+        left = rows.alias("r").join(open_.filter("not lo <=> hi").alias("o"), F.col("r.g").eqNullSafe(F.col("o.g"))).filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))).select("o.*", "v")
+        small = left.filter(F.col("n") <= few).groupBy("g", "k").agg(F.array_sort(F.collect_list("v")).alias("vs"))
+        done.append(small.select("g", F.col("vs")[F.col("k").cast("int")].alias("quantile")))
+        left = left.filter(F.col("n") > few)
+        # Every step of the arithmetic keeps the order of values, so buckets are in order too. An infinite width leaves ends apart.
+        width = apart(F.col("hi"), F.col("lo"))
+        share = F.try_divide(apart(F.col("v"), F.col("lo")), width)
+        plain = F.when(F.isnan(width) | (width > 1.7e308), F.when(F.col("v") <= F.col("lo"), 0).when(F.col("v") < 0, 1).when(F.col("v") < F.col("hi"), 2).otherwise(3))
+        bucket = F.when(is_nan, buckets).when(plain.isNotNull(), plain).when(F.col("v") == F.col("hi"), buckets - 1).otherwise(F.least(F.floor(share * (buckets - 1)), F.lit(buckets - 2))).cast("int")
+        counted = left.withColumn("b", bucket).groupBy("g", "k", "b").agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        before = F.coalesce(F.sum("c").over(Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counted = counted.withColumn("before", before).filter((F.col("before") <= F.col("k")) & (F.col("k") < F.col("before") + F.col("c")))
+        open_ = staged(counted.select("g", (F.col("k") - F.col("before")).alias("k"), F.col("c").alias("n"), "lo", "hi"))
+        if not open_.limit(1).count():
+            break
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out.select(*[F.col(f"g.`{c}`").alias(c) for c in keys], "quantile")
 
 
 def median_of_three(runs_: DataFrame, value: str, *keys: str) -> DataFrame:

@@ -505,6 +505,12 @@ def evaluate_quantile(spark, d):
     return evaluate.quantile(table(spark, d, "lineitem"), "l_extendedprice", 0.95, "l_returnflag")
 
 
+@query("SELECT l_extendedprice AS quantile FROM (SELECT *, row_number() OVER (ORDER BY l_extendedprice) AS k, count(*) OVER () AS n FROM lineitem) WHERE k = least(n - 1, CAST(floor(n * 0.5) AS BIGINT)) + 1")
+def evaluate_median(spark, d):
+    """The median of all rows, without a group."""
+    return evaluate.quantile(table(spark, d, "lineitem"), "l_extendedprice", 0.5)
+
+
 @query("SELECT l_orderkey, list_sort(list(l_quantity))[2] AS median FROM lineitem WHERE l_linenumber <= 3 GROUP BY l_orderkey HAVING count(*) = 3")
 def evaluate_median_of_three(spark, d):
     three = table(spark, d, "lineitem").filter("l_linenumber <= 3")
@@ -549,7 +555,8 @@ def guard_token_bucket(spark, d):
 
 
 @query(
-    f"WITH RECURSIVE l AS (SELECT *, CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, request) AS k FROM ({_LOG})), w AS (SELECT day, k, request, cost AS spent, true AS admitted FROM l WHERE k = 1 UNION ALL SELECT l.day, l.k, l.request, CASE WHEN w.spent < 60.0 THEN w.spent + l.cost ELSE w.spent END, w.spent < 60.0 FROM w JOIN l ON l.day = w.day AND l.k = w.k + 1) SELECT CAST(day AS VARCHAR) AS key, request, admitted FROM w"
+    "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS key, request, coalesce(sum(CAST(round(cost * 1000000000) AS BIGINT)) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, request ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 60000000000 AS admitted "
+    f"FROM ({_LOG})"
 )
 def guard_daily_budget(spark, d):
     return guards.daily_budget(request_log(spark, d), limit=60.0).withColumn("key", F.col("key").cast("string"))

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriframe.functions.text import basename
 from veriframe.operators.claims import APPLICATION
 from veriframe.operators.evaluate import half
+from veriframe.sources.archives import image_sizes, zip_archive
 
 # The wire form of an application: what a file holds, without its label.
 FILED = "beverage string, brand string, class string, producer array<string>, origin string, abv double, net_ml double, aliases map<string,array<string>>"
@@ -94,25 +89,11 @@ def claims_csv(spark: SparkSession, path: str, max_rows: int = 450) -> DataFrame
 
 
 def zip_entries(spark: SparkSession, path: str, max_bytes: int = 2 << 30) -> DataFrame:
-    """(key, entry, size, ordinal) of an archive: one row for each lower-cased base name, the last entry of that name.
+    """(key, archive, entry, size, ordinal) of an archive: one row for each lower-cased base name, the last entry of that name.
 
     Only the archive's directory is read; declared sizes over ``max_bytes`` in all and archives without a file are refused.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in batches:
-            rows = []
-            for archive, content in zip(g.path, g.content, strict=True):
-                infos = [i for i in zipfile.ZipFile(io.BytesIO(content)).infolist() if not i.is_dir()]
-                if not infos:
-                    raise ValueError(f"no files in {archive}")
-                if sum(i.file_size for i in infos) > max_bytes:
-                    raise ValueError(f"{archive} declares over {max_bytes} bytes")
-                rows += [(archive, i.filename, i.file_size, k) for k, i in enumerate(infos)]
-            yield pd.DataFrame(rows, columns=["archive", "entry", "size", "ordinal"])
-
-    entries = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, entry string, size long, ordinal long")
-    return entries.groupBy(basename("entry").alias("key")).agg(F.max_by(F.struct("archive", "entry", "size", "ordinal"), "ordinal").alias("e")).select("key", "e.*")
+    return zip_archive(spark, path, content=False, max_bytes=max_bytes).filter("latest").select("key", "archive", "entry", "size", "ordinal")
 
 
 def join_images(rows: DataFrame, entries: DataFrame) -> DataFrame:
@@ -122,13 +103,8 @@ def join_images(rows: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def png_sizes(spark: SparkSession, path: str, max_pixels: int = 50_000_000) -> DataFrame:
-    """(path, width, height, error) from the headers of PNG files, before anything is decoded."""
-    head = spark.read.format("binaryFile").load(path).select("path", F.hex(F.substring("content", 1, 24)).alias("h"))
-    at = lambda k: F.conv(F.substring("h", 2 * k + 1, 8), 16, 10).cast("long")
-    png = F.col("h").startswith("89504E470D0A1A0A")
-    sized = head.select("path", F.when(png, at(16)).alias("width"), F.when(png, at(20)).alias("height"))
-    error = F.when(F.col("width").isNull(), "not an image").when(F.col("width") * F.col("height") > max_pixels, "too many pixels")
-    return sized.withColumn("error", error)
+    """(path, width, height, error) from the headers of PNG and JPEG files, before anything is decoded."""
+    return image_sizes(spark.read.format("binaryFile").load(path).select("path", "content"), max_pixels=max_pixels).drop("content")
 
 
 def diagnostic(spark: SparkSession, path: str, fingerprint: str, not_before: float = 0.0) -> DataFrame:
