@@ -1,5 +1,7 @@
 """The passages query against brute force, and the bound that skips alignments."""
 
+import random
+
 import duckdb
 
 from veriframe.functions import align
@@ -26,9 +28,63 @@ def test_every_item_is_judged_on_every_label(spark, small):
     assert held == {k for k, v in got.items() if v == "VERIFIED"}
 
 
-def test_the_bound_of_likely_starts_changes_nothing(small, monkeypatch):
-    items = items_of(small)
-    pairs = [(a.split("\n"), b) for _, a in items[:10] for _, b in items[:8]]
-    got = [reference.find_passage(b, a, boxes(a), 1) for a, b in pairs]
-    monkeypatch.setattr(align, "least_edits", lambda *_: 0)
-    assert got == [reference.find_passage(b, a, boxes(a), 1) for a, b in pairs] and any(got) and not all(got)
+def plain_passage(passage, texts, boxes, cc=1):
+    """The rule one alignment at a time."""
+    want, norms = reference._norm(passage), [reference._norm(t) for t in texts]
+    order, best = reference.order_of_reading(boxes), None
+    for seed in order:
+        if not norms[seed] or align.infix_distance(norms[seed], want, cc) > 0.5:
+            continue
+        members, text = [seed], texts[seed]
+        while len(members) < 14 and len(reference._norm(text)) < len(want):
+            options = [(align.prefix_distance(reference._norm(f"{text} {texts[j]}"), want, cc), k, j) for k, j in enumerate(order) if j not in members and reference.beside_or_under(boxes[members[-1]], boxes[j])]
+            if not options or min(options)[0] >= 2.0:
+                break
+            j = min(options)[2]
+            members.append(j)
+            text = f"{text} {texts[j]}"
+        cost, start, stop = align.infix(want, reference._norm(text), cc)
+        if best is None or cost < best[0]:
+            best = (cost, members, text, start, stop, *align.agreement(reference._norm(text)[start:stop] or reference._norm(text), want))
+    return best
+
+
+def test_passages_at_once_are_the_plain_ones(small):
+    items = [t for _, t in items_of(small)][:6]
+    words = [" ".join(w) for t in items[:3] for w in [t.split()[:9]]]
+    damaged = [t.replace("o", "0").replace("e", "", 3) for t in items[:2]]
+    for source in (*items[:3], *damaged):
+        lines = [" ".join(source.split()[k : k + 4]) for k in range(0, 28, 4)]
+        place = [(10 + 3 * (i % 2), 13 * (i // 2), 100 + 8 * len(t), 13 * (i // 2) + 12) for i, t in enumerate(lines)]
+        got = reference.find_passages([*items, *words, ""], lines, place, 1)
+        for passage, best in zip([*items, *words, ""], got, strict=True):
+            want = plain_passage(passage, lines, place) if passage else None
+            assert (None if best is None else (best["cost"], best["members"], best["text"], best["start"], best["stop"], best["agreement"], best["coverage"])) == want
+    assert reference.find_passages(items, [], [], 1) == [None] * 6
+
+
+def test_passages_held_by_documents(spark):
+    rng = random.Random(8)
+    text = lambda n: " ".join("".join(rng.choice("abcdeo.,-1") for _ in range(rng.randint(1, 7))) for _ in range(n))
+    docs = [(i, text(60)) for i in range(30)]
+    refs = []
+    for i in range(40):
+        t = docs[rng.randrange(30)][1]
+        at = rng.randrange(len(t) - 5)
+        refs.append((i, t[at : at + rng.choice((1, 3, 8, 20, 60, 150))].upper()))
+    refs += [(40, "zzz"), (41, ""), (42, None), (43, docs[3][1])]
+    docs += [(30, None), (31, ""), (3, docs[3][1])]
+    norm = lambda t: reference._norm(t or "")
+    want = {(d, k) for d, t in docs for k, r in refs if norm(r) and norm(r) in norm(t)}
+    found = reference.held_exactly(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(refs, "ref_idx long, text string"))
+    rows = [tuple(r) for r in found.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+
+
+def test_many_passages_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(reference, "PASSAGES", 3)
+    det = spark.createDataFrame([("a", 0, 0, 0, 80, 12, "KEEP IN A DRY PLACE", 0.9)], "label string, det_idx int, x0 int, y0 int, x1 int, y1 int, text string, confidence double")
+    refs = spark.createDataFrame([(k, "Keep in a dry place" if k == 7 else f"Other words {k} of no label", None) for k in range(10)], "ref_idx int, text string, emphasis array<int>")
+    got = {r.reference: r.status for r in reference.verify_references(det, refs).collect()}
+    assert len(got) == 10 and got["reference_8"] == "VERIFIED" and sum(v == "VERIFIED" for v in got.values()) == 1
+    assert reference.verify_references(det, refs.limit(0)).count() == 0

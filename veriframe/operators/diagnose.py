@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from veriframe.functions import batch
 from veriframe.functions import text as T
 from veriframe.operators import geometry
+from veriframe.staging import staged
 
 BLOCK_GATE, LEAST_BLOCK = 0.25, 8
 
@@ -65,8 +66,23 @@ def probes(detections: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def block_boxes(detections: DataFrame, references: DataFrame) -> DataFrame:
-    """(label, n, region): the boxes whose text lies within a passage, and their union. Passages are broadcast: they are few."""
+    """(label, n, region): the boxes whose text lies within a passage, and their union; a box counts once for each passage.
+
+    Of a box's text, cut into one piece more than the edits allowed, one piece stands in the passage as it is: boxes and
+    passages meet by an equi-join of pieces and of the passages' stretches of that length, and only pairs that meet are aligned.
+    """
     det = detections.withColumn("norm", T.normalize("text")).filter(F.length("norm") >= LEAST_BLOCK)
-    want = references.select(T.normalize("text").alias("want")).filter("want <> ''")
-    pairs = det.join(F.broadcast(want)).withColumn("d", infix_share("norm", "want")).filter(F.col("d") <= BLOCK_GATE)
-    return pairs.groupBy("label").agg(F.count("*").alias("n"), F.struct(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).alias("region"))
+    n = F.length("norm")
+    det = det.withColumn("pieces", F.floor(n * BLOCK_GATE + 1e-9).cast("int") + 1).withColumn("q", F.floor(n / F.col("pieces")).cast("int"))
+    start = lambda k: F.floor(k * F.length("norm") / F.col("pieces")).cast("int") + 1
+    cut = F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda k: F.col("norm").substr(start(k), F.col("q"))))
+    det = staged(det.select("label", "det_idx", "x0", "y0", "x1", "y1", "norm", "q", cut.alias("cut")))
+    want = staged(references.select(T.normalize("text").alias("want")).filter("want <> ''").withColumn("ref", F.monotonically_increasing_id()))
+    sizes = det.select("q").distinct()  # a handful: pieces have a length of 2 to 4
+    long = want.crossJoin(F.broadcast(sizes)).filter(F.length("want") >= F.col("q"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("want") - F.col("q") + 1), lambda i: F.col("want").substr(i, F.col("q"))))
+    held = long.select("ref", F.explode(grams).alias("gram"))
+    met = det.select("label", "det_idx", F.explode("cut").alias("gram")).join(held, "gram").select("label", "det_idx", "ref").distinct()
+    pairs = met.join(det.drop("cut", "q"), ["label", "det_idx"]).join(want, "ref")
+    near = pairs.withColumn("d", infix_share("norm", "want")).filter(F.col("d") <= BLOCK_GATE)
+    return near.groupBy("label").agg(F.count("*").alias("n"), F.struct(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")).alias("region"))

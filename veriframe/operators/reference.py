@@ -11,9 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.config import BAND, DEFAULT, EMPHASIS_CONTRAST, FOUND_ENOUGH, INLINE_GATE, MAX_REFERENCE_RUN, SEED_GATE, WORD_GATE, Options
-from veriframe.functions import align
+from veriframe.functions import align, batch
 from veriframe.functions import text as T
 from veriframe.operators.geometry import kept, order_of_reading
+from veriframe.staging import staged
 
 REFERENCE_SCHEMA = (
     "label {label}, reference string, status string, reason string, distance double, agreement double, coverage double, read string, parts int, confidence double, "
@@ -21,6 +22,9 @@ REFERENCE_SCHEMA = (
 )
 
 
+PASSAGES, PASSAGE_BYTES, PASSAGES_AT_ONCE, SHORT_AT_ONCE = 10_000, 4 << 20, 256, 100
+
+
 @lru_cache(1 << 14)
 def _norm(s: str) -> str:
     return T.normalize_with_offsets(s)[0]
@@ -37,34 +41,58 @@ def beside_or_under(a: tuple, b: tuple) -> bool:
     return 2 * across >= min(a[2] - a[0], b[2] - b[0]) and -(h // 2) <= b[1] - a[3] <= h
 
 
-def find_passage(want_text: str, texts: list[str], boxes: list[tuple], cc: int) -> dict | None:
-    """The chain of detections that reads most like the passage, grown greedily from each likely start."""
-    want = _norm(want_text)
-    if not want or not texts:
-        return None
+def find_passages(passages: list[str], texts: list[str], boxes: list[tuple], cc: int) -> list[dict | None]:
+    """For each passage the chain of detections that reads most like it, grown greedily from each likely start.
+
+    All starts of all passages are bounded and aligned at once, all chains grow in step, and the continuations of a step are aligned at once.
+    """
+    wants = [_norm(p) for p in passages]
+    if not texts:
+        return [None] * len(passages)
     order = order_of_reading(boxes)
     norms = [_norm(t) for t in texts]
-    best = None
-    for seed in order:
-        if align.least_edits(norms[seed], want, True) > SEED_GATE * 2 * len(norms[seed]) or align.infix_distance(norms[seed], want, cc) > SEED_GATE:
-            continue
-        members, text, norm, used = [seed], texts[seed], norms[seed], {seed}
-        while len(members) < MAX_REFERENCE_RUN and len(norm) < len(want):
-            options = []
-            for k, j in enumerate(order):
-                if j not in used and beside_or_under(boxes[members[-1]], boxes[j]):
-                    longer = f"{text} {texts[j]}"
-                    n = _norm(longer)
-                    options.append((align.prefix_distance(n, want, cc), k, j, longer, n))
-            if not options or min(options)[0] >= 2.0:
-                break
-            _, _, j, text, norm = min(options)
-            members.append(j)
-            used.add(j)
-        cost, start, stop = align.infix(want, norm, cc)
-        if best is None or cost < best["cost"]:
-            best = {"members": members, "text": text, "norm": norm, "cost": cost, "start": start, "stop": stop, "dist": cost / (2 * len(want)), "want": want}
-    return best
+    follows = [[(k, j) for k, j in enumerate(order) if j != i and beside_or_under(boxes[i], boxes[j])] for i in range(len(boxes))]
+    pairs = [(p, i) for p, want in enumerate(wants) if want for i in order]
+    gate = np.array([SEED_GATE * 2 * len(norms[i]) for _, i in pairs])
+    reads, shorts = ([wants[p] for p, _ in pairs], [norms[i] for _, i in pairs])
+    least = batch.least_edits([x.translate(align._FOLD) for x in shorts], [x.translate(align._FOLD) for x in reads], np.ones(len(pairs), bool))
+    likely = np.flatnonzero((least <= gate) & (gate > 0)).tolist()
+    cost, _, _ = batch.infix([shorts[k] for k in likely], [reads[k] for k in likely], cc)
+    starts = [pairs[k] for k, c in zip(likely, cost.tolist(), strict=True) if c <= gate[k]]
+    chains = [{"passage": p, "members": [i], "text": texts[i], "norm": norms[i], "want": wants[p]} for p, i in starts]
+    growing = chains
+    for _ in range(MAX_REFERENCE_RUN - 1):
+        growing = [c for c in growing if len(c["norm"]) < len(c["want"])]
+        options = [(c, k, j, longer, _norm(longer)) for c in growing for k, j in follows[c["members"][-1]] if j not in c["members"] for longer in [f"{c['text']} {texts[j]}"]]
+        if not options:
+            break
+        cuts = [n[: len(c["want"])] for c, *_, n in options]
+        costs = batch.half_edits(cuts, [c["want"][: len(cut) + 8] for (c, *_), cut in zip(options, cuts, strict=True)], cc)
+        best: dict[int, tuple] = {}
+        for (c, k, j, longer, n), cut, x in zip(options, cuts, costs.tolist(), strict=True):
+            near = (x / (2 * len(cut)) if cut else 1.0, k)
+            if near[0] < 2.0 and (id(c) not in best or near < best[id(c)][0]):
+                best[id(c)] = (near, c, j, longer, n)
+        growing = []
+        for _, c, j, longer, n in best.values():
+            c["members"].append(j)
+            c["text"], c["norm"] = longer, n
+            growing.append(c)
+    found: list[dict | None] = [None] * len(passages)
+    whole = batch.infix([c["want"] for c in chains], [c["norm"] for c in chains], cc)
+    for c, x, start, stop in zip(chains, *(v.tolist() for v in whole), strict=True):
+        now = found[c["passage"]]
+        if now is None or x < now["cost"]:
+            found[c["passage"]] = c | {"cost": x, "start": start, "stop": stop, "dist": x / (2 * len(c["want"]))}
+    some = [c for c in found if c is not None]
+    stretches = [c["norm"][c["start"] : c["stop"]] or c["norm"] for c in some]
+    for c, stretch, n in zip(some, stretches, batch.common(stretches, [c["want"] for c in some]).tolist(), strict=True):
+        c["agreement"], c["coverage"] = (n / len(stretch) if stretch else 0.0), n / len(c["want"])
+    return found
+
+
+def find_passage(passage: str, texts: list[str], boxes: list[tuple], cc: int) -> dict | None:
+    return find_passages([passage], texts, boxes, cc)[0]
 
 
 def find_heading(want: str, members: list[int], texts: list[str], boxes: list[tuple], cc: int) -> list[int] | None:
@@ -153,15 +181,13 @@ def _heading(want: str, best: dict, texts: list[str], norms: list[str], boxes: l
     return read, *judge_heading(read, ratio), ratio
 
 
-def _judge(label: str, name: str, passage: str, span: tuple[int, int] | None, texts: list[str], boxes: list[tuple], conf: list[float], idx: list[int], gray: np.ndarray | None, cc: int) -> tuple:
-    best = find_passage(passage, texts, boxes, cc)
+def _judge(label: str, name: str, passage: str, span: tuple[int, int] | None, best: dict | None, texts: list[str], boxes: list[tuple], conf: list[float], idx: list[int], gray: np.ndarray | None, cc: int) -> tuple:
     want_heading = passage[span[0] : span[1]] if span and 0 <= span[0] < span[1] <= len(passage) else ""
     if best is None:
         blank = (("", "NOT_FOUND", "warning_not_read", None) if want_heading else (None, None, None, None))
         return (label, name, "NOT_FOUND", "not_found", None, None, None, None, None, None, None, None, None, None, *blank, None)
     members = best["members"]
-    stretch = best["norm"][best["start"] : best["stop"]] or best["norm"]
-    agree, cover = align.agreement(stretch, best["want"])
+    agree, cover = best["agreement"], best["coverage"]
     status, reason = ("VERIFIED", "") if best["cost"] == 0 else ("NOT_FOUND", "warning_not_read") if cover < FOUND_ENOUGH else ("REVIEW", "warning_read_imperfectly")
     _, at = T.normalize_with_offsets(best["text"])
     read = best["text"][at[best["start"]] : at[best["stop"]]].strip() if best["start"] < best["stop"] < len(at) else best["text"]
@@ -176,46 +202,90 @@ def _judge(label: str, name: str, passage: str, span: tuple[int, int] | None, te
 def verify_references(detections: DataFrame, references: DataFrame, options: Options = DEFAULT, images: DataFrame | None = None) -> DataFrame:
     """Verdicts of each label and passage.
 
-    ``references``: ref_idx, text and emphasis (start, stop; null for none). Passages are few and
-    are sent to every task after a check of their number; a label's detections are one group.
+    ``references``: ref_idx, text and emphasis (start, stop; null for none). Passages are sent to every task in blocks of at most
+    ``PASSAGES`` of them and ``PASSAGE_BYTES``; a label's detections are one group.
     ``images`` (label, width, height, rgb binary, one row a label) gives the pixels by which a
     heading's strokes are held against the body's; without them its weight can't be measured.
     """
-    passages = [(r.ref_idx, r.text, tuple(r.emphasis) if r.emphasis else None) for r in references.select("ref_idx", "text", "emphasis").orderBy("ref_idx").limit(10_001).collect()]
-    if len(passages) > 10_000:
-        raise ValueError("over 10,000 passages; give them some at a time")
     cc = options.half_cost
+    schema = REFERENCE_SCHEMA.format(label=detections.schema["label"].dataType.simpleString())
+    parts = int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number, since a few bytes of labels are many alignments
 
-    def judged(g: pd.DataFrame, gray: np.ndarray | None) -> pd.DataFrame:
-        g = g.sort_values("det_idx", kind="stable")
-        boxes = list(zip(g.x0.tolist(), g.y0.tolist(), g.x1.tolist(), g.y1.tolist(), strict=True))
-        rows = [_judge(g.label.iloc[0], "reference" if k == 0 else f"reference_{k + 1}", t, span, g.text.tolist(), boxes, g.confidence.tolist(), g.det_idx.tolist(), gray, cc) for k, (_, t, span) in enumerate(passages)] if len(g) else []
-        out = pd.DataFrame(rows, columns=[f.split()[0] for f in REFERENCE_SCHEMA.split(", ")], dtype=object)
-        return out.astype({c: "Int32" for c in ("parts", "x0", "y0", "x1", "y1")} | {c: "float64" for c in ("distance", "agreement", "coverage", "confidence", "heading_ratio")})
+    def of(block: list[tuple]) -> DataFrame:
+        def judged(g: pd.DataFrame, gray: np.ndarray | None) -> pd.DataFrame:
+            g = g.sort_values("det_idx", kind="stable")
+            boxes, rows = list(zip(g.x0.tolist(), g.y0.tolist(), g.x1.tolist(), g.y1.tolist(), strict=True)), []
+            for first in range(0, len(block) if len(g) else 0, PASSAGES_AT_ONCE):
+                some = block[first : first + PASSAGES_AT_ONCE]
+                for (k, text, span), best in zip(some, find_passages([t for _, t, _ in some], g.text.tolist(), boxes, cc), strict=True):
+                    rows.append(_judge(g.label.iloc[0], "reference" if k == 0 else f"reference_{k + 1}", text, span, best, g.text.tolist(), boxes, g.confidence.tolist(), g.det_idx.tolist(), gray, cc))
+            out = pd.DataFrame(rows, columns=[f.split()[0] for f in REFERENCE_SCHEMA.split(", ")], dtype=object)
+            return out.astype({c: "Int32" for c in ("parts", "x0", "y0", "x1", "y1")} | {c: "float64" for c in ("distance", "agreement", "coverage", "confidence", "heading_ratio")})
+
+        def run(g: pd.DataFrame) -> pd.DataFrame:
+            return judged(g, None)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        return judged(g, None)
+        def run_with_image(g: pd.DataFrame, image: pd.DataFrame) -> pd.DataFrame:
+            if not len(g) or not len(image):
+                return judged(g, None)
+            r = image.iloc[0]
+            return judged(g, luma(np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3)))
 
-    def run_with_image(g: pd.DataFrame, image: pd.DataFrame) -> pd.DataFrame:
-        if not len(g) or not len(image):
-            return judged(g, None)
-        r = image.iloc[0]
-        return judged(g, luma(np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3)))
+        by_label = kept(detections, options).repartition(parts, "label").groupBy("label")
+        if images is None:
+            return by_label.applyInPandas(run, schema)
+        pixels = images.select("label", "width", "height", "rgb").repartition(parts, "label").groupBy("label")
+        return by_label.cogroup(pixels).applyInPandas(run_with_image, schema)
+
+    out = detections.sparkSession.createDataFrame([], schema)
+    block, size = [], 0
+    for k, r in enumerate(references.select("ref_idx", "text", "emphasis").orderBy("ref_idx").toLocalIterator()):
+        if block and (len(block) >= PASSAGES or size + len(r.text or "") > PASSAGE_BYTES):
+            out = out.unionByName(of(block))
+            block, size = [], 0
+        block.append((k, r.text or "", tuple(r.emphasis) if r.emphasis else None))
+        size += len(r.text or "")
+    return out.unionByName(of(block)) if block else out
+
+
+BOUNDARY = "AEO"  # characters after which a passage may be cut
+ANCHOR_PIECES = 3
 
-    schema = REFERENCE_SCHEMA.format(label=detections.schema["label"].dataType.simpleString())
-    parts = int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number, since a few bytes of labels are many alignments
-    by_label = kept(detections, options).repartition(parts, "label").groupBy("label")
-    if images is None:
-        return by_label.applyInPandas(run, schema)
-    pixels = images.select("label", "width", "height", "rgb").repartition(parts, "label").groupBy("label")
-    return by_label.cogroup(pixels).applyInPandas(run_with_image, schema)
+
+def anchors(norm: Column) -> Column:
+    """All stretches of ``ANCHOR_PIECES`` pieces in a row of a normalized text that is cut after each ``BOUNDARY``, but for the first and the last piece.
+
+    Where a text holds another, it holds the other's stretches: what a cut depends on stands next to it.
+    """
+    pieces = F.split(norm, f"(?<=[{BOUNDARY}])")
+    last = F.size(pieces) - 1  # the first and last piece of a passage may go on in the text that holds it
+    return F.when(last > ANCHOR_PIECES, F.transform(F.sequence(F.lit(2), last - ANCHOR_PIECES + 1), lambda k: F.array_join(F.slice(pieces, k, ANCHOR_PIECES), ""))).otherwise(F.array().cast("array<string>"))
 
 
 def held_exactly(docs: DataFrame, references: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, ref_idx): documents that hold a passage word for word after normalization. References are broadcast; the scan is one pass."""
+    """(doc, ref_idx): documents that hold a passage, word for word after normalization; each pair once.
+
+    A passage's longest anchor is joined to the documents' anchors, and the passages so met are looked for. Passages too
+    short for an anchor are looked for in every document, ``SHORT_AT_ONCE`` in one pass.
+    """
     left = docs.select(F.col(id_col), T.normalize(text_col).alias("norm"))
-    right = references.select("ref_idx", T.normalize("text").alias("want")).filter("want <> ''")
-    return left.join(F.broadcast(right), F.contains("norm", F.col("want"))).select(id_col, "ref_idx")
+    right = staged(references.select("ref_idx", T.normalize("text").alias("want")).filter("want <> ''"))
+    longest = F.array_max(F.transform(anchors(F.col("want")), lambda a: F.struct(F.length(a).alias("n"), a.alias("a"))))["a"]
+    keyed = staged(right.withColumn("anchor", longest))
+    held = left.select(id_col, "norm", F.explode(F.array_distinct(anchors(F.col("norm")))).alias("anchor"))
+    found = held.join(keyed.filter("anchor is not null"), "anchor").filter(F.contains("norm", F.col("want"))).select(id_col, "ref_idx")
+    short = keyed.filter("anchor is null").select("ref_idx", "want")
+    block: list[tuple] = []
+
+    def look(block: list[tuple]) -> DataFrame:
+        hits = F.array(*[F.when(F.contains("norm", F.lit(want)), F.lit(k)) for k, want in block])
+        return left.select(id_col, F.explode(F.array_compact(hits)).alias("ref_idx"))
+
+    for r in short.toLocalIterator():
+        block.append((r.ref_idx, r.want))
+        if len(block) == SHORT_AT_ONCE:
+            found, block = found.unionByName(look(block)), []
+    return (found.unionByName(look(block)) if block else found).distinct()
 
 
 def heading_status(read: Column, ratio: Column | None = None) -> Column:
