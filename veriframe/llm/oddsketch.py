@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veriframe.llm.common import byte_texts, chunks, materialise, mix64, small_batches
-from veriframe.llm.similar import BROADCAST_IDS, SHORT, buckets, cross_links, labelled_rows, nodes_of, shingle_sets, signature, verified
+from veriframe.llm.similar import BROADCAST_IDS, SHORT, buckets, components_of, cross_links, labelled_rows, mixed_only, nodes_of, shingle_sets, signature, stars, verified
 
 WORDS = 3
 SIMILAR = (17, 20)  # 0.85, exactly
@@ -132,9 +132,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     low = held.filter(F.col("size") <= short).select("key", "nid")
     pairs = low.alias("x").join(low.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.nid") < F.col("y.nid"))).select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b"))
     long = held.filter(F.col("size") > short)
-    stars = long.filter("nid <> pivot").select(F.col("pivot").alias("a"), F.col("nid").alias("b"))
-    near = verified(docs, nodes, likely(pairs.unionByName(stars).distinct(), nodes), SIMILAR, WORDS, broadcast_ids)
+    near = verified(docs, nodes, likely(pairs.unionByName(stars(long)).distinct(), nodes), SIMILAR, WORDS, broadcast_ids)
     if long.limit(1).count():
-        near = near.unionByName(cross_links(docs, nodes, long, near, _match, SIMILAR, WORDS, broadcast_ids))
+        labels = components_of(near)
+        near = near.unionByName(cross_links(docs, nodes, stars(mixed_only(long, labels, "key")), labels, _match, SIMILAR, WORDS, broadcast_ids))
     out = labelled_rows(rows.select("doc_id", "n", "s1", "s2"), nodes, near)
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", "copy_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -3,9 +3,9 @@
 A node is one set of shingles; rows of equal sets are one node, rows that share an id but not the set
 are several. Candidates stand in buckets of one key. Buckets of at most ``SHORT`` nodes give all their
 pairs. In a longer bucket each node first meets the smallest one only; once the links found so far are
-joined to components, buckets that still hold different ones are compared in blocks of whole sets, inside
-the tasks, and only links that join components leave them. So no bucket is squared into rows, none is cut,
-and no link between components is missed.
+joined to components, the nodes of buckets that still hold different ones are pooled, and pools are compared in
+blocks of whole sets, inside the tasks; only links that join components leave them. So no bucket is squared into
+rows, none is cut, and no link between components is missed.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from veriframe.llm.common import LOWER, byte_texts, chunks, joined, materialise,
 from veriframe.llm.components import connected
 
 SHORT = 16
+BLOCK, COMPARED_AT_ONCE = 16_384, 128  # entries of a bucket's block, on average, and rows of it that are compared with another at a time
 BLOCK_BYTES = 2 << 20  # of the sets of a pool's block
 PARTNERS = 256  # nodes that a set is sent once for
 BROADCAST_IDS = 1_000_000
@@ -178,40 +179,21 @@ def forest(nid: list[int], comp: list[int], sets: list[np.ndarray], left: np.nda
     return out
 
 
-def cross_links(docs: DataFrame, nodes: DataFrame, long: DataFrame, near: DataFrame, match: Callable[[dict, dict], np.ndarray], similar: tuple[int, int], words: int, broadcast_ids: int = BROADCAST_IDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Links (a, b) that join components of ``near`` within the buckets ``long`` (key, nid, pivot), on whole sets.
+def mixed_only(long: DataFrame, labels: DataFrame, *keys: str) -> DataFrame:
+    """Of entries (``keys``, nid, ...) those whose bucket holds several components of ``labels`` (nid, label), with their component (comp)."""
+    known = long.join(labels, "nid", "left").withColumn("comp", F.coalesce("label", "nid")).drop("label")
+    mixed = known.groupBy(*keys).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select(*keys)
+    return materialise(known.join(mixed, list(keys), "left_semi"))
 
-    Buckets that hold several components and share nodes are one pool. Its sets are dealt by a hash into blocks of about ``block_bytes``, and every
-    pair of blocks is a cell: a task holds two blocks at a time, compares what ``match`` (on arrays n and sketch of two blocks) leaves, and
-    returns no more links than join components. ``nodes`` has a list of numbers ``sketch``.
-    """
-    labels = connected(near)
-    known = long.select("key", "nid", "pivot").join(labels.select(F.col("node").alias("nid"), "label"), "nid", "left").withColumn("comp", F.coalesce("label", "nid")).drop("label")
-    mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    known = materialise(known.join(mixed, "key", "left_semi"))
-    pool = connected(known.filter("nid <> pivot").select(F.col("pivot").alias("a"), F.col("nid").alias("b"))).select(F.col("node").alias("nid"), F.col("label").alias("pool"))
-    member = known.select("nid", "comp").distinct().join(pool, "nid")
-    sets = sets_of(docs, nodes, member.select("nid"), words, broadcast_ids)
-    member = member.join(nodes.select("nid", "n", "sketch"), "nid")
-    blocks = member.groupBy("pool").agg(F.ceil(F.sum(F.col("n").cast("long") * 8) / block_bytes).cast("int").alias("blocks"))
-    dealt = member.join(blocks, "pool").join(sets, "nid").withColumn("own", F.pmod(F.xxhash64("nid", F.lit(3)), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("pool", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "nid", "comp", "n", "sketch", "items")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def compare(cell: pa.Table) -> list[tuple[int, int]]:
-        own, lo, hi, n, nid = (cell.column(k).to_numpy() for k in ("own", "lo", "hi", "n", "nid"))
-        comp = cell.column("comp").to_numpy()
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        if not len(left) or not len(right) or comp.min() == comp.max():
-            return []
-        sketch = np.array(cell.column("sketch").to_pylist(), np.int64).view(np.uint64)
-        a, b = ({"n": n[side].astype(np.int64), "sketch": sketch[side]} for side in (left, right))
-        may = match(a, b) & (comp[left][:, None] != comp[right][None, :])
-        if lo[0] == hi[0]:
-            may &= nid[left][:, None] < nid[right][None, :]
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in cell.column("items").chunks for x in chunk]
-        return forest(nid.tolist(), comp.tolist(), sets, left, right, may, similar)
+def stars(entries: DataFrame) -> DataFrame:
+    """(a, b): the least node of each bucket and each other one; ``entries``: key, nid, pivot."""
+    return entries.filter("nid <> pivot").select(F.col("pivot").alias("a"), F.col("nid").alias("b"))
+
+
+def cells(dealt: DataFrame, keys: list[str], compare: Callable[[pa.Table], list[tuple[int, int]]]) -> DataFrame:
+    """(a, b) that ``compare`` returns for the rows of each cell, one at a time; ``keys`` are the first columns, whole numbers."""
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -226,7 +208,7 @@ def cross_links(docs: DataFrame, nodes: DataFrame, long: DataFrame, near: DataFr
         for b in batches:
             if not b.num_rows:
                 continue
-            at = [b.column(k).to_numpy() for k in range(3)]
+            at = [b.column(k).to_numpy() for k in range(len(keys))]
             new = np.flatnonzero(np.any([x[1:] != x[:-1] for x in at], axis=0)) + 1
             for first, last in zip([0, *new.tolist()], [*new.tolist(), b.num_rows], strict=True):
                 now = tuple(int(x[first]) for x in at)
@@ -237,7 +219,91 @@ def cross_links(docs: DataFrame, nodes: DataFrame, long: DataFrame, near: DataFr
         yield from flush()
         release()
 
-    return materialise(dealt.repartition(parts, "pool", "lo", "hi").sortWithinPartitions("pool", "lo", "hi").mapInArrow(run, "a long, b long"))
+    return materialise(dealt.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long"))
+
+
+def in_blocks(entries: DataFrame, *keys: str) -> DataFrame:
+    """``entries`` with ``blocks`` of their bucket dealt to the cells of pairs of blocks: own (the entry's block), lo and hi (the cell's)."""
+    own = F.pmod(F.xxhash64("nid", F.lit(3)), F.col("blocks")).cast("int")
+    dealt = entries.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select(*keys, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), *[c for c in dealt.columns if c not in (*keys, "other", "blocks")])
+
+
+def sketches(cell: pa.Table) -> np.ndarray:
+    """The column ``sketch``: rows of 64-bit numbers, or byte strings as they are."""
+    column = cell.column("sketch")
+    if pa.types.is_list(column.type):
+        return np.array(column.to_pylist(), np.int64).view(np.uint64)
+    out = np.empty(len(column), object)
+    out[:] = column.to_pylist()
+    return out
+
+
+def likely_edges(entries: DataFrame, match: Callable[[dict, dict], np.ndarray], keys: list[str], names: list[str], block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) that connect, within each bucket, the nodes of different components of which ``match`` says that they may be linked.
+
+    ``entries``: keys, nid, comp, the numbers ``names`` and, where ``match`` uses it, sketch. Of a cell come fewer edges than nodes.
+    """
+    sized = entries.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = in_blocks(entries.join(sized, keys), *keys)
+
+    def compare(cell: pa.Table) -> list[tuple[int, int]]:
+        own, lo, hi, nid, comp = (cell.column(k).to_numpy() for k in ("own", "lo", "hi", "nid", "comp"))
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        if not len(left) or not len(right) or comp.min() == comp.max():
+            return []
+        cols = {k: cell.column(k).to_numpy().astype(np.int64) for k in names}
+        if "sketch" in cell.column_names:
+            cols["sketch"] = sketches(cell)
+        group, out, theirs = np.arange(len(nid)), [], {k: c[right] for k, c in cols.items()}
+        for first in range(0, len(left), COMPARED_AT_ONCE):
+            rows = left[first : first + COMPARED_AT_ONCE]
+            may = match({k: c[rows] for k, c in cols.items()}, theirs) & (comp[rows][:, None] != comp[right][None, :])
+            for i in np.flatnonzero(may.any(axis=1)).tolist():
+                x = rows[i]
+                for y in right[may[i]]:
+                    if group[x] != group[y]:
+                        group[group == group[y]] = group[x]
+                        out.append((int(nid[x]), int(nid[y])))
+        return out
+
+    return cells(dealt, [*keys, "lo", "hi"], compare)
+
+
+def components_of(links: DataFrame) -> DataFrame:
+    """(nid, label) of the nodes of ``links``."""
+    return connected(links).select(F.col("node").alias("nid"), "label")
+
+
+def cross_links(docs: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFrame, match: Callable[[dict, dict], np.ndarray], similar: tuple[int, int], words: int, broadcast_ids: int = BROADCAST_IDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Links (a, b) that join components of ``labels`` among nodes that ``edges`` connect, on whole sets.
+
+    Nodes that edges connect are one pool. Its sets are dealt by a hash into blocks of about ``block_bytes``, and every
+    pair of blocks is a cell: a task holds two blocks at a time, compares what ``match`` (on arrays n and sketch of two blocks) leaves, and
+    returns no more links than join components. ``nodes`` has a column ``sketch``.
+    """
+    pool = connected(edges).select(F.col("node").alias("nid"), F.col("label").alias("pool"))
+    member = materialise(pool.join(labels, "nid", "left").select("nid", "pool", F.coalesce("label", "nid").alias("comp")))
+    sets = sets_of(docs, nodes, member.select("nid"), words, broadcast_ids)
+    member = member.join(nodes.select("nid", "n", "sketch"), "nid")
+    blocks = member.groupBy("pool").agg(F.ceil(F.sum(F.col("n").cast("long") * 8) / block_bytes).cast("int").alias("blocks"))
+    dealt = in_blocks(member.join(blocks, "pool").join(sets, "nid"), "pool")
+
+    def compare(cell: pa.Table) -> list[tuple[int, int]]:
+        own, lo, hi, n, nid = (cell.column(k).to_numpy() for k in ("own", "lo", "hi", "n", "nid"))
+        comp = cell.column("comp").to_numpy()
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        if not len(left) or not len(right) or comp.min() == comp.max():
+            return []
+        sketch = sketches(cell)
+        a, b = ({"n": n[side].astype(np.int64), "sketch": sketch[side]} for side in (left, right))
+        may = match(a, b) & (comp[left][:, None] != comp[right][None, :])
+        if lo[0] == hi[0]:
+            may &= nid[left][:, None] < nid[right][None, :]
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for chunk in cell.column("items").chunks for x in chunk]
+        return forest(nid.tolist(), comp.tolist(), sets, left, right, may, similar)
+
+    return cells(dealt, ["pool", "lo", "hi"], compare)
 
 
 def labelled_rows(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
