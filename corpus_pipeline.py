@@ -17,7 +17,6 @@ from veriframe.llm.common import fold, materialise, recorded, remove
 # Of 6,000 documents of sf0.1 that weren't learnt the least has 0.78 and one in a hundred less than
 # 0.97; random letters, key mashing, base64 and languages that weren't learnt have 0.17 to 0.53.
 LEAST_LANGUAGE_FIT = 0.55
-BROADCAST_IDS = 1_000_000
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,21 +34,8 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component; documents without an id or a word stay.
-
-    Of rows that repeat an id one stays. The ids that go are broadcast if they are few enough,
-    else they are joined by a shuffle.
-    """
-    found = materialise(jaccard.components(docs).filter("doc_id is not null"))
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    few = gone.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = materialise(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
-    n = repeated.count()
-    if n:
-        ids = F.broadcast(repeated) if n <= BROADCAST_IDS else repeated
-        kept = kept.join(ids, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(ids, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
-    return kept
+    """One document of each component of near copies; documents without an id or a word stay, and so do different documents under one id."""
+    return jaccard.deduplicated(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
