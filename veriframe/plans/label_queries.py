@@ -102,15 +102,16 @@ def geometry_turned_back(spark, d):
 
 
 @query(
-    f"WITH w AS ({S.words()}), t AS (SELECT label, det_idx, x0 + 9 AS x0, y0 + det_idx % 8 AS y0, x1 + 9 AS x1, y1 + det_idx % 8 AS y1 FROM w) SELECT label, det_idx, (x1 - x0) * (y1 - y0) <= 0 OR EXISTS (SELECT 1 FROM w o WHERE o.label = t.label AND o.det_idx % 2 = 0 AND "
+    f"WITH w AS ({S.words()}), t AS (SELECT label, det_idx, x0 + 9 AS x0, y0 + det_idx % 8 AS y0, x1 + 9 AS x1, y1 + det_idx % 8 AS y1 FROM w), o AS (SELECT label, x0 + 100000 * (det_idx % 2) AS x0, y0, x1 + 100000 * (det_idx % 2) AS x1, y1 FROM w) SELECT label, det_idx, (x1 - x0) * (y1 - y0) <= 0 OR EXISTS (SELECT 1 FROM o WHERE o.label = t.label AND "
     "2 * greatest(least(t.x1, o.x1) - greatest(t.x0, o.x0), 0) * greatest(least(t.y1, o.y1) - greatest(t.y0, o.y0), 0) > (t.x1 - t.x0) * (t.y1 - t.y0)) AS covered FROM t"
 )
 def geometry_covered(spark, d):
-    """Words moved a little, against the words of even numbers."""
+    """Words moved a little, against all words, of which those of odd numbers are moved far aside."""
     w = words(spark, d)
     down = F.col("det_idx") % 8
     moved = w.select("label", "det_idx", (F.col("x0") + 9).alias("x0"), (F.col("y0") + down).alias("y0"), (F.col("x1") + 9).alias("x1"), (F.col("y1") + down).alias("y1"))
-    return geometry.covered_by_any(moved, w.filter("det_idx % 2 = 0"))
+    aside = 100_000 * (F.col("det_idx") % 2)
+    return geometry.covered_by_any(moved, w.withColumns({c: (F.col(c) + aside).cast("int") for c in ("x0", "x1")}))
 
 
 _AREA = "(e[1].x1 - e[1].x0) * (e[1].y1 - e[1].y0)"
