@@ -37,7 +37,7 @@ NUMER, DENOM = 3, 4  # the similarity 0.75, exactly
 HEAVY_HERE, HEAVY = 3, 6  # documents of one chunk, and of all chunks, from which a shingle counts as frequent
 HEAVY_KEPT = 1 << 17  # frequent shingles that are ordered by their count; others by their hash alone
 PARITY = 512  # the least number of parity bits
-TAG = 1 << 15
+TAG = 1 << 7  # of a set in its entries; two sets of one id that share a tag only meet more candidates
 
 
 def parities(x: np.ndarray) -> np.ndarray:
