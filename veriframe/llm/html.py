@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,8 @@ from veriframe.llm.common import chunks, small_batches
 
 SCHEMA = "page_id long, url string, text string, blocks int, kept int, declared int"
 
-_TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+_TOKEN = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_STOP = re.compile(r"""=\s*(["'])|>""")
 _ATTR = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
@@ -46,11 +48,33 @@ _ARTICLE = frozenset("article main story post entry content articlebody maincont
 Block = tuple[str, int, int, bool]
 
 
+def _end_of_tag(page: str, at: int, quotes: bool) -> int:
+    """Behind the ``>`` that ends the tag; with ``quotes``, not one within a quoted value. -1 if there is none."""
+    first = page.find(">", at) + 1
+    if not quotes or not first or page.find("=", at, first) < 0:
+        return first or -1
+    while True:
+        m = _STOP.search(page, at)
+        if m is None:
+            return -1
+        if m[1] is None:
+            return m.end()
+        at = page.find(m[1], m.end()) + 1
+        if not at:
+            return -1
+
+
 def blocks(page: str) -> list[Block]:
-    """Of each text block: text, words, linked words, and whether it stands in a part that names itself as none of the article."""
+    """Of each text block: text, words, linked words, and whether it stands in a part that names itself as none of the article.
+
+    One pass: a tag ends at the first ``>`` outside quoted values. If one never ends that way,
+    quotes count for nothing from there on, so no part of the page is read more than twice.
+    """
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []
+    open_of: Counter[str] = Counter()  # elements of each name in the stack
     art = boil = 0
+    quotes = True
     text: list[str] = []
     linked: list[str] = []
     link = 0
@@ -69,27 +93,44 @@ def blocks(page: str) -> list[Block]:
                 out.append((t, words, min(words, in_links), boil > 0))
             text, linked = [], []
 
+    def push(name: str, a: bool, b: bool) -> None:
+        nonlocal art, boil
+        stack.append((name, a, b))
+        open_of[name] += 1
+        art, boil = art + a, boil + b
+
+    def pop() -> None:
+        nonlocal art, boil
+        name, a, b = stack.pop()
+        open_of[name] -= 1
+        art, boil = art - a, boil - b
+
     while at < n:
         m = _TOKEN.search(page, at)
-        if m is None:
-            rest = page[at:]
-            cut = re.search(r"<[a-zA-Z/!?]", rest)
-            text.append(rest[: cut.start()] if cut else rest)
+        end = n
+        if m is not None and m[2] is None and page.startswith("<!--", m.start()):
+            end = page.find("-->", m.start() + 2) + 3
+            end = n if end < 3 else end
+        elif m is not None:
+            end = _end_of_tag(page, m.end(), quotes and m[2] is not None)
+            if end < 0 and quotes:
+                quotes, end = False, _end_of_tag(page, m.end(), False)
+        if m is None or end < 0:  # no tag ends from here on
+            text.append(page[at : m.start() if m else n])
             break
         if m.start() > at:
             piece = page[at : m.start()]
             text.append(piece)
             if link:
                 linked.append(piece)
-        at = m.end()
-        name = m[2]
-        if name is None:
+        at = end
+        if m[2] is None:
             continue
-        name = name.lower()
+        name, raw = m[2].lower(), page[m.end() : end - 1]
         if not m[1]:
-            if name in _SKIPPED and not m[3].endswith("/"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+            if name in _SKIPPED and not raw.endswith("/"):
+                close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                at = close.end() if close else n
                 continue
             if name in _INLINE:
                 if name == "a":
@@ -99,9 +140,8 @@ def blocks(page: str) -> list[Block]:
                 continue
             flush()
             link = 0
-            if name in _VOID or m[3].endswith("/"):
+            if name in _VOID or raw.endswith("/"):
                 continue
-            raw = m[3]
             is_boiler = name in _OTHER and not (name in ("header", "address") and art)
             is_article = name in ("article", "main")
             if raw and not raw.isspace():
@@ -119,28 +159,22 @@ def blocks(page: str) -> list[Block]:
             if name in _LOOSE:
                 if is_boiler:
                     while stack and stack[-1][0] == name:  # an unclosed paragraph ends where the next begins
-                        _, a, b = stack.pop()
-                        art, boil = art - a, boil - b
-                    stack.append((name, False, True))
-                    boil += 1
+                        pop()
+                    push(name, False, True)
                 elif stack and stack[-1][0] == name and name in ("p", "li"):
-                    _, a, b = stack.pop()
-                    art, boil = art - a, boil - b
+                    pop()
                 continue
-            stack.append((name, is_article, is_boiler))
-            art, boil = art + is_article, boil + is_boiler
+            push(name, is_article, is_boiler)
         else:
             if name in _INLINE:
                 if name == "a":
                     link = 0
                 continue
             flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    for _, a, b in stack[k:]:
-                        art, boil = art - a, boil - b
-                    del stack[k:]
-                    break
+            if open_of[name]:
+                while stack[-1][0] != name:
+                    pop()
+                pop()
     flush()
     return out
 
@@ -235,8 +269,8 @@ def main_text(page: str) -> tuple[str, int, int, int]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: page_id, url, text, the number of blocks, of those the tree keeps and of those of them that the markup takes away.
 
-    Null and empty pages give an empty text; markup that never ends runs to the end of the page;
-    repeated rows repeat; pages of any length are read whole; an empty table gives no rows.
+    Null and empty pages give an empty text; a comment, script or tag that never ends runs to the end of the page;
+    repeated rows repeat; pages of any length are read whole, in time that grows with the length; an empty table gives no rows.
     """
 
     small_batches(pages.sparkSession)
