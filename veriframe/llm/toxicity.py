@@ -2,15 +2,16 @@
 
 Two zstandard dictionaries are trained by the library's trainer, one on ordinary text, one on
 toxic text. A toxic document is ordinary text for the most part, so the toxic dictionary's
-samples are the stretches of toxic documents with 5-byte sequences that the ordinary documents
-lack (a parse of the one text by the other), with some bytes round them. Every document is cut
-into windows of eight words, which are compressed twice: with the ordinary dictionary, and with
-the toxic one set behind it. In the first case a filler that matches nothing stands in the toxic
-one's place, so all else costs the same. The bytes saved are the window's evidence: each number
-of saved bytes has a weight, the logarithm of how much more often windows of toxic documents save
-that much. A document's score grows with the sum of its windows' weights; windows that save nothing
-weigh a little against it, so length alone doesn't make a document toxic. Weights and the
-threshold of the sum are calibrated on labelled documents that neither dictionary has seen.
+samples are weighted against ordinary text: the stretches of toxic documents whose byte sequences
+stand in significantly more toxic than ordinary documents. Every document is cut into windows of
+eight words, which are compressed twice: with the ordinary dictionary, and with the toxic one set
+behind it. In the first case a filler that matches nothing stands in the toxic one's place, so
+all else costs the same. The bytes saved are the window's evidence: each number of saved bytes
+has a weight, the logarithm of how much more often windows of toxic documents save that much. A
+document's score grows with the sum of its windows' weights; windows that save nothing weigh a
+little against it, so length alone doesn't make a document toxic. Weights and the threshold of
+the sum are calibrated by cross-fitting: every labelled document is compressed with dictionaries
+of the other folds, and the dictionaries that score are those of all of them.
 """
 
 from __future__ import annotations
@@ -33,9 +34,11 @@ WORDS = 8  # of a window
 PIECE = 48  # bytes; longer words count as several
 ORDINARY, TOXIC = 1 << 17, 1 << 12  # bytes of the dictionaries
 ORDINARY_SAMPLES = 40_000  # windows
-GRAM = 5
-KNOWN = 2  # ordinary documents from which a sequence counts as ordinary
-ROUND = 3  # bytes on each side of a stretch
+GRAM = 7  # bytes of a sequence, up to 8
+SIGNIFICANT = 4.5  # standard errors between the shares of toxic and ordinary documents that hold a sequence
+TIMES = 4  # how many times larger the toxic share has to be
+ROUND = 1  # bytes on each side of a stretch
+FOLDS = 3
 MOST = 12  # saved bytes that are told apart
 CLEAN = 6.0  # what an ordinary document found toxic costs, against a toxic one found
 FILLER = b"\0"
@@ -120,14 +123,29 @@ def _flat(text: bytes) -> bytes:
     return b" %b " % b" ".join(_words(text))
 
 
-def novel(text: bytes, known: np.ndarray) -> list[bytes]:
-    """The stretches of the text whose sequences of ``GRAM`` bytes aren't in the sorted ``known``, with ``ROUND`` bytes on each side."""
+def typical(ordinary: list[bytes], toxic: list[bytes]) -> np.ndarray:
+    """The sequences, sorted, that a significantly larger share of the toxic texts holds than of the ordinary ones."""
+    grams, hits = np.unique(np.concatenate([np.unique(_grams(_flat(t))) for t in toxic]), return_counts=True)
+    grams, hits = grams[hits > 1], hits[hits > 1]
+    others = np.zeros(len(grams) + 1, np.int64)
+    for t in ordinary:
+        g = np.unique(_grams(_flat(t)))
+        at = np.searchsorted(grams, g)
+        others[np.where(np.append(grams, 0)[at] == g, at, len(grams))] += 1
+    others = others[:-1]
+    share = (others + hits) / (len(ordinary) + len(toxic))
+    error = np.sqrt(share * (1 - share) * (1 / len(ordinary) + 1 / len(toxic)))
+    more = hits / len(toxic) > TIMES * others / len(ordinary)
+    return grams[more & (hits / len(toxic) - others / len(ordinary) > SIGNIFICANT * error)]
+
+
+def stretches(text: bytes, wanted: np.ndarray) -> list[bytes]:
+    """The stretches of the text that sorted sequences ``wanted`` cover, with ``ROUND`` bytes on each side."""
     t = _flat(text)
     g = _grams(t)
-    if not len(g):
+    if not len(g) or not len(wanted):
         return []
-    at = np.minimum(np.searchsorted(known, g), max(0, len(known) - 1))
-    new = np.flatnonzero(known[at] != g) if len(known) else np.arange(len(g))
+    new = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, g), len(wanted) - 1)] == g)
     edge = np.zeros(len(t) + 1, np.int64)
     np.add.at(edge, new, 1)
     np.add.at(edge, new + GRAM, -1)
@@ -162,25 +180,34 @@ def rising_odds(ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(p[2]), math.log(odds(p)) - base) for p in pools])
 
 
+def dictionaries(rows: list[tuple[int, bytes]], rng: np.random.Generator) -> Model:
+    """Both dictionaries of (label, text) rows, not yet calibrated."""
+    ordinary, toxic = [t for y, t in rows if y == 0], [t for y, t in rows if y]
+    flat = [w for t in ordinary for w in windows(t) if len(w) >= 8]
+    flat = [flat[i] for i in np.sort(rng.permutation(len(flat))[:ORDINARY_SAMPLES]).tolist()]
+    wanted = typical(ordinary, toxic)
+    return Model(_trained(flat, ORDINARY, 64), _trained([s for t in toxic for s in stretches(t, wanted)], TOXIC, 16))
+
+
 def fit(rows: list[tuple[int, bytes]], seed: int = 3) -> Model | None:
-    """The model of (label, text) rows: dictionaries of two thirds, calibrated on the rest; None without both labels in both parts."""
+    """The model of (label, text) rows; None with fewer than ``FOLDS`` different texts of either label."""
     rows = _unlike(sorted(set(rows)))  # a copy tells nothing new
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(rows)).tolist()
-    held = [rows[i] for k, i in enumerate(order) if k % 3 == 0]
-    learn = [rows[i] for k, i in enumerate(order) if k % 3]
-    if len({y for y, _ in learn}) < 2 or len({y for y, _ in held}) < 2:
+    by_label = [[r for r in rows if (r[0] != 0) == label] for label in (False, True)]
+    if min(map(len, by_label)) < FOLDS:
         return None
-    ordinary = [t for y, t in learn if y == 0]
-    grams, n = np.unique(np.concatenate([np.unique(_grams(_flat(t))) for t in ordinary]), return_counts=True)
-    known = grams[n >= KNOWN]
-    flat = [w for t in ordinary for w in windows(t) if len(w) >= 8]
-    flat = [flat[i] for i in np.sort(rng.permutation(len(flat))[:ORDINARY_SAMPLES]).tolist()]
-    model = Model(_trained(flat, ORDINARY, 64), _trained([s for y, t in learn if y for s in novel(t, known)], TOXIC, 12))
-    # Calibration: the weights of saved bytes, then the threshold of their sum.
-    y = np.array([y for y, _ in held])
-    saved = [np.clip(model.saved(windows(t)), -1, MOST) + 1 for _, t in held]
+    folds: list[list[tuple[int, bytes]]] = [[] for _ in range(FOLDS)]
+    for group in by_label:
+        for k, i in enumerate(rng.permutation(len(group)).tolist()):
+            folds[k % FOLDS].append(group[i])
+    # Calibration: the weights of saved bytes, then the threshold of their sum, of documents that the dictionaries haven't seen.
+    saved: list[np.ndarray] = []
+    for f, fold in enumerate(folds):
+        part = dictionaries([r for g in range(FOLDS) if g != f for r in folds[g]], rng)
+        saved += [np.clip(part.saved(windows(t)), -1, MOST) + 1 for _, t in fold]
+    y = np.array([y for fold in folds for y, _ in fold])
     counts = [np.bincount(np.concatenate([s for s, z in zip(saved, y, strict=True) if z == label]), minlength=MOST + 2) for label in (0, 1)]
+    model = dictionaries(rows, rng)
     model.weights = rising_odds(*counts)
     total = np.array([model.weights[s].sum() for s in saved])
     cuts = np.arange(0.25, 8.1, 0.25)
