@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from decimal import ROUND_HALF_UP, Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veriframe.config import ABV_MOST, ABV_STEP, ABV_TOLERANCE, BEER_STEP, ML_PER_FL_OZ, NET_TOLERANCE
 from veriframe.functions import text as T
+from veriframe.staging import shuffled, staged
 
 # Printed forms of an alcohol content, {n} the figure; the last five at twice the percentage.
 ABV_FORMS = (
@@ -44,12 +48,14 @@ def _doubles(values) -> Column:
 
 
 def _formats(rows: list[tuple[str, float]]) -> Column:
-    return F.array(*[F.struct(F.lit(t).alias("template"), F.lit(s).alias("scale")) for t, s in rows])
+    return F.from_json(F.lit(json.dumps([{"template": t, "scale": s} for t, s in rows])), "array<struct<template:string,scale:double>>")
 
 
 def abv_grid(step: float) -> Column:
+    """The grid as one literal; a sequence and a rounding would be computed anew for each row."""
     n = int(ABV_MOST / step + 1e-6)
-    return F.transform(F.sequence(F.lit(1), F.lit(n)), lambda k: F.round(k * F.lit(step), 2))
+    places = [Decimal(repr(k * step)).quantize(Decimal("0.01"), ROUND_HALF_UP) for k in range(1, n + 1)]
+    return F.split(F.lit(",".join(map(str, places))), ",").cast("array<double>")
 
 
 def admit(valid: Column, want: Column, tolerance: Column) -> Column:
@@ -75,31 +81,35 @@ def claims(applications: DataFrame) -> DataFrame:
     """
     none = F.lit(None).cast("struct<formats:array<struct<template:string,scale:double>>,valid:array<double>,tolerance:double>")
     texts = "array<string>"
+    empty = F.array().cast(texts)
+
+    def filed(name: str, there: Column, expected: Column, required: Column) -> Column:
+        return F.when(there, F.struct(F.lit(name).alias("claim"), expected.alias("expected"), required.alias("required")))
 
-    def text_claim(name: str, value: Column, required: bool, more: Column | None = None) -> Column:
-        extra = F.coalesce(F.col("aliases")[name], F.array().cast(texts)) if name else F.array().cast(texts)
-        spelt = F.concat(F.array(value), extra, T.other_spellings(value), more if more is not None else F.array().cast(texts))
-        return F.when(F.coalesce(value, F.lit("")) != "", F.struct(F.lit(name).alias("claim"), value.alias("expected"), F.lit(required).alias("required"), spelt.alias("texts"), none.alias("numeric")))
+    def spelt(name: str, value: Column, more: Column = empty) -> Column:
+        return F.concat(F.array(value), F.coalesce(F.col("aliases")[name], empty), T.other_spellings(value), more)
 
-    def number_claim(name: str, value: Column, required: Column, formats: list, valid: Column, tolerance: float) -> Column:
-        num = F.struct(_formats(formats).alias("formats"), admit(valid, value, F.lit(tolerance)).alias("valid"), F.lit(tolerance).alias("tolerance"))
-        return F.when(value > 0, F.struct(F.lit(name).alias("claim"), T.shortest(value).alias("expected"), required.alias("required"), F.array().cast(texts).alias("texts"), num.alias("numeric")))
+    def number(value: Column, formats: list, valid: Column, tolerance: float) -> Column:
+        return F.struct(_formats(formats).alias("formats"), admit(valid, value, F.lit(tolerance)).alias("valid"), F.lit(tolerance).alias("tolerance"))
 
     beer = F.coalesce(F.col("beverage") == "beer", F.lit(False))
     producer = lambda k: F.get("producer", F.lit(k))
     forms = responsibility_forms(producer(0), producer(1))
-    alias_forms = F.flatten(F.transform(F.coalesce(F.col("aliases")["producer_1"], F.array().cast(texts)), lambda a: responsibility_forms(a, producer(1))))
-    rows = [
-        text_claim("brand", F.col("brand"), True),
-        text_claim("class", F.col("class"), True),
-        text_claim("producer_1", producer(0), True, F.concat(forms, alias_forms)),
-        text_claim("producer_2", producer(1), True),
-        text_claim("origin", F.col("origin"), False),
-        number_claim("abv", F.col("abv"), ~beer, ABV_FORMATS, F.when(beer, abv_grid(BEER_STEP)).otherwise(abv_grid(ABV_STEP)), ABV_TOLERANCE),
-        number_claim("net", F.col("net_ml"), F.lit(True), NET_FORMATS, F.when(beer, _doubles(BEER_FILLS)).otherwise(_doubles(FILLS)), NET_TOLERANCE),
-    ]
-    filed = F.filter(F.array(*rows), lambda c: c.isNotNull())
-    return applications.select("label", F.posexplode(filed).alias("claim_pos", "c")).select("label", "claim_pos", "c.*")
+    alias_forms = F.flatten(F.transform(F.coalesce(F.col("aliases")["producer_1"], empty), lambda a: responsibility_forms(a, producer(1))))
+    values = {"brand": F.col("brand"), "class": F.col("class"), "producer_1": producer(0), "producer_2": producer(1), "origin": F.col("origin")}
+    numbers = {"abv": (F.col("abv"), ~beer), "net": (F.col("net_ml"), F.lit(True))}
+    rows = [filed(k, F.coalesce(v, F.lit("")) != "", v, F.lit(k != "origin")) for k, v in values.items()]
+    rows += [filed(k, v > 0, T.shortest(v), required) for k, (v, required) in numbers.items()]
+    listed = F.filter(F.array(*rows), lambda c: c.isNotNull())
+    # What is long is made after the rows are, and only where it is read.
+    each = applications.select("*", F.posexplode(listed).alias("claim_pos", "c"))
+    accepted, numeric = F.lit(None).cast(texts), none
+    for k, v in values.items():
+        accepted = F.when(F.col("c.claim") == k, spelt(k, v, F.concat(forms, alias_forms) if k == "producer_1" else empty)).otherwise(accepted)
+    abv = number(F.col("abv"), ABV_FORMATS, F.when(beer, abv_grid(BEER_STEP)).otherwise(abv_grid(ABV_STEP)), ABV_TOLERANCE)
+    net = number(F.col("net_ml"), NET_FORMATS, F.when(beer, _doubles(BEER_FILLS)).otherwise(_doubles(FILLS)), NET_TOLERANCE)
+    numeric = F.when(F.col("c.claim") == "abv", abv).when(F.col("c.claim") == "net", net).otherwise(none)
+    return each.select("label", "claim_pos", "c.*", F.coalesce(accepted, empty).alias("texts"), numeric.alias("numeric"))
 
 
 def why_not_verifiable(beverage: Column, filed: Column) -> Column:
@@ -119,7 +129,7 @@ def candidates(filed: DataFrame) -> DataFrame:
     first = F.row_number().over(Window.partitionBy("label", "claim", "norm").orderBy("cand_idx"))
     text = text.withColumn("k", first).filter("k = 1").select("label", "claim", "cand_idx", "text", "norm", F.lit(0.0).alias("value"), F.col("expected").alias("name"), F.lit(True).alias("claimed"), F.lit(-1).alias("form"), F.lit("").alias("num"))
 
-    specs, words = _numeric(filed)
+    specs, words = numeric(filed)
     # Values within the tolerance, by an equi-join on stretches of twice the tolerance.
     stretch = lambda v: F.floor(v / (2 * F.col("tolerance")))
     around = F.array_distinct(F.array(stretch(F.col("want") - F.col("tolerance")), stretch(F.col("want") + F.col("tolerance"))))
@@ -128,22 +138,30 @@ def candidates(filed: DataFrame) -> DataFrame:
     return text.unionByName(number.select("label", "claim", "cand_idx", "text", "norm", "value", "name", F.lit(True).alias("claimed"), "form", "num"))
 
 
-def _numeric(filed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The numeric claims with the key of their vocabulary, and the spellings of each distinct vocabulary."""
-    numeric = filed.filter("numeric is not null").withColumn("vocabulary", F.sha2(F.to_json("numeric"), 256))
-    one = numeric.select("vocabulary", "numeric.formats", "numeric.valid", "numeric.tolerance").dropDuplicates(["vocabulary"])
-    words = vocabulary(one).join(one.select("vocabulary", "tolerance"), "vocabulary")
-    return numeric.select("label", "claim", F.col("expected").cast("double").alias("want"), "numeric.tolerance", "vocabulary"), words
+def numeric(filed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The numeric claims with the key of their vocabulary, and the spellings of each distinct vocabulary; both as tables.
+
+    A vocabulary is long and shared by many claims, so only its key, 128 bits of a hash, goes along with a claim; its values
+    are read again from one claim that has it.
+    """
+    key = F.concat_ws("-", F.xxhash64("numeric").cast("string"), F.xxhash64(F.lit(1), "numeric").cast("string"))
+    full = filed.filter("numeric is not null")
+    specs = staged(full.select("label", "claim", F.col("expected").cast("double").alias("want"), "numeric.tolerance", key.alias("vocabulary")))
+    first = specs.groupBy("vocabulary", "claim").agg(F.min("label").alias("label")).groupBy("vocabulary").agg(F.min(F.struct("label", "claim")).alias("r"))
+    first = staged(first.select("vocabulary", "r.*"))
+    one = full.join(first, ["label", "claim"]).filter(key == F.col("vocabulary")).select("vocabulary", "numeric.formats", "numeric.valid", "numeric.tolerance")
+    one = staged(one.dropDuplicates(["vocabulary"]))
+    return specs, staged(vocabulary(one).join(one.select("vocabulary", "tolerance"), "vocabulary"))
 
 
-def other_values(filed: DataFrame, figures: DataFrame) -> DataFrame:
-    """Spellings of values that are not claimed, where a reading of the label holds the very figure.
+def other_values(numbers: tuple[DataFrame, DataFrame], figures: DataFrame) -> DataFrame:
+    """Spellings of values that are not claimed, where a reading of the label holds the very figure; ``numbers`` as ``numeric`` gives them.
 
     ``figures`` has columns label and num, and any others, which are kept. A vocabulary of
     thousands of spellings is thus never expanded for each label.
     """
-    specs, words = _numeric(filed)
-    found = figures.join(specs, "label").join(words.drop("tolerance"), ["vocabulary", "num"])
+    specs, words = numbers
+    found = figures.join(shuffled(specs), "label").join(words.drop("tolerance"), ["vocabulary", "num"])
     return found.filter(F.abs(F.col("value") - F.col("want")) > F.col("tolerance")).withColumn("claimed", F.lit(False)).drop("vocabulary", "want", "tolerance")
 
 

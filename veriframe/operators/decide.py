@@ -21,7 +21,7 @@ from veriframe.config import DEFAULT, Options
 from veriframe.functions import align, batch
 from veriframe.functions import text as T
 from veriframe.operators import claims as C
-from veriframe.staging import staged
+from veriframe.staging import shuffled, staged
 
 SPAN = "struct<cost:int,start:int,stop:int>"
 
@@ -93,18 +93,18 @@ def pieces_met(spellings: DataFrame, read: DataFrame) -> DataFrame:
     sizes = own.filter("q > 0").groupBy("label").agg(F.collect_set("q").alias("qs"))
     grams = lambda q: F.transform(F.sequence(F.lit(1), F.length("rfold") - q + 1), lambda i: F.col("rfold").substr(i, q))
     every = F.flatten(F.transform("qs", lambda q: F.when(F.length("rfold") >= q, grams(q)).otherwise(F.array().cast("array<string>"))))
-    held = read.select("label", "path", "rfold", "parts", "widest").join(sizes, "label")
+    held = read.select("label", "path", "rfold", "parts", "widest").join(shuffled(sizes), "label")
     held = held.select("label", "path", F.length("rfold").alias("rn"), "parts", "widest", F.explode(F.array_distinct(every)).alias("gram"))
     # A whole reading is about as long as the spelling; a stretch is taken only from a reading that may hold it.
     slack = F.col("reach") * F.col("n")
     inside = (F.col("form") >= 0) | ((F.col("n") < F.col("rn")) & (F.col("rn") <= 3 * F.col("n") + 24) & ((F.col("parts") == 1) | (F.col("n") > F.col("widest"))))
-    found = cut.join(held, ["label", "gram"]).filter((F.col("rn") >= F.col("n") - slack) & (inside | (F.col("rn") <= F.col("n") + slack)))
+    found = cut.join(shuffled(held), ["label", "gram"]).filter((F.col("rn") >= F.col("n") - slack) & (inside | (F.col("rn") <= F.col("n") + slack)))
     found = found.select("label", "claim", "cand_idx", "path").distinct()
-    free = own.filter("q = 0").select("label", "claim", "cand_idx").join(read.select("label", "path"), "label")
+    free = own.filter("q = 0").select("label", "claim", "cand_idx").join(shuffled(read.select("label", "path")), "label")
     return found.unionByName(free)
 
 
-def matches(claims: DataFrame, candidates: DataFrame, runs: DataFrame, options: Options = DEFAULT) -> DataFrame:
+def matches(claims: DataFrame, numbers: tuple[DataFrame, DataFrame], candidates: DataFrame, runs: DataFrame, options: Options = DEFAULT) -> DataFrame:
     """Rows (label, claim, spelling, reading) within the widest radius, with cost, distance, stretch and the three roles."""
     cc = options.half_cost
     filed = claims.select("label", "claim", radius_of(claims, options).alias("radius"))
@@ -113,7 +113,7 @@ def matches(claims: DataFrame, candidates: DataFrame, runs: DataFrame, options:
 
     def ready(spellings: DataFrame) -> DataFrame:
         """Spellings with their budget, and what bounds need of them."""
-        out = spellings.join(filed, ["label", "claim"]).withColumn("chist", T.histogram("norm")).withColumn("cfold", T.class_fold("norm"))
+        out = spellings.join(shuffled(filed), ["label", "claim"]).withColumn("chist", T.histogram("norm")).withColumn("cfold", T.class_fold("norm"))
         return out.withColumn("reach", reach).withColumn("cbudget", F.floor(F.col("reach") * 2 * F.length("norm") + 1e-9).cast("int"))
 
     def near(pairs: DataFrame) -> DataFrame:
@@ -124,10 +124,10 @@ def matches(claims: DataFrame, candidates: DataFrame, runs: DataFrame, options:
     # Spellings of the filed value meet the readings that hold one of their pieces; another value must
     # be read exactly, so it is found by an equi-join on the figure.
     mine = staged(ready(candidates.filter("claimed or num = ''")))
-    met = mine.join(pieces_met(mine, read), ["label", "claim", "cand_idx"]).join(read, ["label", "path"])
+    met = mine.join(shuffled(pieces_met(mine, read)), ["label", "claim", "cand_idx"]).join(shuffled(read), ["label", "path"])
     own = near(met.select(*mine.columns, *[c for c in read.columns if c != "label"]))
     figures = read.select("*", F.explode(F.array_distinct("nums")).alias("num"))
-    other = ready(C.other_values(claims, figures))
+    other = ready(C.other_values(numbers, figures))
     pairs = own.unionByName(near(other))
     m = matcher(cc)(F.col("cnorm"), F.col("form"), F.col("text"), F.col("norm"), F.col("parts"), F.col("widest"), F.col("cbudget"))
     pairs = pairs.withColumn("m", m).withColumn("dist", F.col("m.cost") / (2.0 * F.length("cnorm"))).filter(F.col("dist") <= F.col("reach"))
@@ -146,13 +146,14 @@ def _best(role: str) -> Column:
     return F.min(F.when(F.col(role), row))
 
 
-def verdicts(claims: DataFrame, candidates: DataFrame, runs: DataFrame, options: Options = DEFAULT) -> DataFrame:
-    """One row for each claim: status, reason, expected, observed and evidence."""
-    found = matches(claims, candidates, runs, options)
+def verdicts(claims: DataFrame, numbers: tuple[DataFrame, DataFrame], candidates: DataFrame, runs: DataFrame, options: Options = DEFAULT) -> DataFrame:
+    """One row for each claim: status, reason, expected, observed and evidence; ``numbers`` as ``claims.numeric`` gives them."""
+    found = matches(claims, numbers, candidates, runs, options)
     best = found.groupBy("label", "claim").agg(_best("is_exact").alias("e"), _best("is_own").alias("o"), _best("is_near").alias("n"), _best("is_other").alias("x"))
+    best = staged(best)
     shape = candidates.filter("claimed").groupBy("label", "claim").agg(F.collect_set(F.struct("form", F.length("norm").alias("len"), "num")).alias("own_forms"))
     filed = claims.withColumn("r", radius_of(claims, options))
-    v = filed.join(best, ["label", "claim"], "left").join(shape, ["label", "claim"], "left")
+    v = filed.join(shuffled(best), ["label", "claim"], "left").join(shuffled(shape), ["label", "claim"], "left")
     e, o, n, x = (F.col(k) for k in "eonx")
     tie = options.tie_margin
     verified = e.isNotNull() & (x.isNull() | (e["dist"] <= x["dist"] + tie))
@@ -188,10 +189,13 @@ def verify(detections: DataFrame, claims: DataFrame, candidates: DataFrame, opti
     """Verdicts of all claims from raw detections; a label on which nothing was read says so."""
     from veriframe.operators import geometry
 
-    out = verdicts(claims, candidates, staged(geometry.runs(detections, options)), options)
+    # Each input is read many times below: as a table it is computed once, and plans stay small.
+    kept = [c for c in claims.columns if c not in ("texts", "numeric", "claim_pos")]
+    slim = staged(claims.select(*kept, F.when(F.col("numeric").isNotNull(), F.lit(True)).alias("numeric")))
+    out = verdicts(slim, C.numeric(claims), staged(candidates), staged(geometry.runs(detections, options)), options)
     read = detections.select("label").distinct().withColumn("any", F.lit(True))
     blank = F.col("any").isNull() & F.col("status").isin("NOT_FOUND", "SKIPPED")
-    return out.join(read, "label", "left").withColumn("reason", F.when(blank, "no_text").otherwise(F.col("reason"))).drop("any")
+    return out.join(shuffled(read), "label", "left").withColumn("reason", F.when(blank, "no_text").otherwise(F.col("reason"))).drop("any")
 
 
 def near_misses(verdicts_: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from veriframe.config import DEFAULT, MAX_FOLLOW, MAX_RUN, Options
 from veriframe.functions import text as T
+from veriframe.staging import shuffled, staged
 
 
 def kept(detections: DataFrame, options: Options = DEFAULT) -> DataFrame:
@@ -101,7 +102,7 @@ def successors(ordered: DataFrame, most: int = MAX_FOLLOW) -> DataFrame:
     a, b = reached("a", F.col("y1") - F.col("y0")), reached("b", F.lit(0))
     same = (F.col("a.label") == F.col("b.label")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy"))
     first = (F.col("a.cx") == F.greatest("a.fx", "b.fx")) & (F.col("a.cy") == F.greatest("a.fy", "b.fy"))
-    pairs = a.join(b, same & first & (F.col("a.pos") != F.col("b.pos")) & follows("a", "b"))
+    pairs = a.join(shuffled(b), same & first & (F.col("a.pos") != F.col("b.pos")) & follows("a", "b"))
     pairs = pairs.select(F.col("a.label").alias("label"), F.col("a.pos").alias("a"), F.col("b.pos").alias("b"))
     rank = F.row_number().over(Window.partitionBy("label", "a").orderBy("b"))
     return pairs.withColumn("k", rank).filter(F.col("k") <= most).drop("k")
@@ -117,9 +118,10 @@ def chains(ordered: DataFrame, edges: DataFrame, most: int = MAX_RUN) -> DataFra
     level = node.select("label", F.array("b").alias("path"), F.col("nb").alias("box"), F.col("nt").alias("text"), F.col("nc").alias("confidence"), F.lit(1).alias("parts"), F.col("nw").alias("widest"))
     out = level
     for _ in range(most - 1):
-        step = level.withColumn("a", F.element_at("path", -1)).join(edges, ["label", "a"]).join(node, ["label", "b"])
+        step = level.withColumn("a", F.element_at("path", -1)).join(shuffled(edges), ["label", "a"]).join(shuffled(node), ["label", "b"])
         box = F.struct(F.least("box.x0", "nb.x0").alias("x0"), F.least("box.y0", "nb.y0").alias("y0"), F.greatest("box.x1", "nb.x1").alias("x1"), F.greatest("box.y1", "nb.y1").alias("y1"))
         level = step.select("label", F.concat("path", F.array("b")).alias("path"), box.alias("box"), F.concat_ws(" ", "text", "nt").alias("text"), F.least("confidence", "nc").alias("confidence"), (F.col("parts") + 1).alias("parts"), F.greatest("widest", "nw").alias("widest"))
+        level = staged(level)  # the next level and the result both read it
         out = out.unionByName(level)
     return out
 
@@ -133,8 +135,8 @@ def one_for_each_reading(paths: DataFrame) -> DataFrame:
 
 def runs(detections: DataFrame, options: Options = DEFAULT) -> DataFrame:
     """The readings of each label that claims are compared to, with their numbers and class counts."""
-    ordered = reading_order(kept(detections, options))
-    found = one_for_each_reading(chains(ordered, successors(ordered)))
+    ordered = staged(reading_order(kept(detections, options)))
+    found = one_for_each_reading(chains(ordered, staged(successors(ordered))))
     return found.withColumn("nums", T.numbers("norm")).withColumn("hist", T.histogram("norm"))
 
 
