@@ -127,6 +127,24 @@ def test_rows_that_share_an_id(spark, broadcast_ids):
         assert sorted(((r.doc_id, r.text) for r in stage.collect()), key=str) == want
 
 
+def test_documents_that_share_only_a_passage_are_not_pooled(spark, monkeypatch):
+    """Rows of a long bucket are held against each other there; they don't all become one pool that is compared pair by pair."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    passage = [word() for _ in range(12)]
+    texts = [" ".join([word() for _ in range(12)] + passage) for _ in range(24)]
+    texts += [f"{t} {word()}" for t in texts[:3]]
+    rows = list(enumerate(texts))
+    found = []
+    kept = jaccard.likely_edges
+    monkeypatch.setattr(jaccard, "likely_edges", lambda *a, **k: found.append(kept(*a, **k)) or found[-1])
+    # Few documents a task, so that the passage's shingles don't count as frequent.
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(27)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(docs, short=2).collect()]
+    assert sorted(got) == sorted(brute(rows, 5, 3, 4))
+    assert found and all(x.count() == 0 for x in found)
+
+
 def test_odd_sketches_on_odd_tables(spark, odd, empty):
     rows = oddsketch.components(odd).collect()
     assert len(rows) == odd.count() and oddsketch.components(empty).count() == 0

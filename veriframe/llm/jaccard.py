@@ -15,7 +15,7 @@ over the whole of their rows, exactly.
 The product takes all pairs of a shingle that at most ``SHORT`` rows of the block hold. A shingle
 that more of them hold (one of a large group of near copies, or of a passage that many documents
 share) is a longer bucket (``similar.py``): its rows meet the smallest of them and, where different
-components are left, those of like size meet in blocks, under the bounds of places and then of parities; the product of
+components are left, those of like size meet in blocks, under the bounds of places and of parities at once; the product of
 the whole rows of what these leave is taken in blocks too.
 """
 
@@ -188,20 +188,41 @@ def _match(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
     return ok
 
 
-def _bands(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
+def _match_bands(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
     """Two rows from the band above are compared there."""
-    return ~((a["above"][:, None] == 1) & (b["above"][None, :] == 1))
+    return _match(a, b) & ~((a["above"][:, None] == 1) & (b["above"][None, :] == 1))
 
 
-def _match_bands(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
-    return _match(a, b) & _bands(a, b)
+PAIRS_AT_ONCE = 1 << 16  # pairs of entries whose parities are held against each other at a time
 
 
-def _match_places(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
-    """Whether sizes and places of entries of one shingle allow a link."""
+def _match_entries(a: dict[str, np.ndarray], b: dict[str, np.ndarray]) -> np.ndarray:
+    """Whether sizes, places and parities of entries of one shingle allow a link of different components; two rows from the band above are compared there."""
     na, nb = a["n"][:, None], b["n"][None, :]
     need = -(-NUMER * (na + nb) // (NUMER + DENOM))
-    return (need <= np.minimum(na, nb)) & (a["i"][:, None] <= na - need) & (b["i"][None, :] <= nb - need) & _bands(a, b)
+    ok = (need <= np.minimum(na, nb)) & (a["i"][:, None] <= na - need) & (b["i"][None, :] <= nb - need)
+    ok &= ~((a["above"][:, None] == 1) & (b["above"][None, :] == 1)) & (a["comp"][:, None] != b["comp"][None, :])
+    rows, cols = np.nonzero(ok)
+    if not len(rows):
+        return ok
+    size = min(len(x) for side in (a, b) for x in side["sketch"])
+    ours, theirs = (np.frombuffer(b"".join(folded(np.frombuffer(x, np.uint8), size).tobytes() for x in side["sketch"]), np.uint64).reshape(len(side["n"]), -1) for side in (a, b))
+    for first in range(0, len(rows), PAIRS_AT_ONCE):
+        i, j = rows[first : first + PAIRS_AT_ONCE], cols[first : first + PAIRS_AT_ONCE]
+        apart = np.bitwise_count(ours[i] ^ theirs[j]).sum(axis=1, dtype=np.int64)
+        ok[i, j] = apart <= a["n"][i] + b["n"][j] - 2 * need[i, j]
+    return ok
+
+
+def halved(nodes: DataFrame) -> DataFrame:
+    """(nid, sketch): the parities in half their length, which bound as well and go along with every entry of a long bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            short = [folded(x := np.frombuffer(o, np.uint8), len(x) // 2).tobytes() for o in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(short, pa.binary())], names=["nid", "sketch"])
+
+    return nodes.select("nid", "odd").mapInArrow(run, "nid long, sketch binary")
 
 
 def by_size(long: DataFrame) -> DataFrame:
@@ -249,10 +270,12 @@ def links(docs: DataFrame, broadcast_ids: int = BROADCAST_IDS, short: int = SHOR
     long = held.filter(F.col("size") > short)
     near = verified(docs, nodes, possible(found.unionByName(stars(long)).distinct(), nodes), (NUMER, DENOM), SHINGLE, broadcast_ids)
     if long.limit(1).count():
-        # First by sizes and places within a shingle's rows; then by sizes and parities among the rows that these connect; then by whole rows.
+        # First by sizes, places and short parities within a shingle's rows, so that rows which only share a passage never meet
+        # outside its buckets; then by whole parities among the rows that these connect; then by whole rows.
         labels, sketched = components_of(near), nodes.withColumnRenamed("odd", "sketch")
         placed = mixed_only(by_size(long).select("key", "band", "above", "nid", "n", "i"), labels, "key", "band")
-        pools = components_of(likely_edges(placed, _match_places, ["key", "band"], ["n", "i", "above"])).withColumnRenamed("label", "key")
+        near_places = likely_edges(placed.join(halved(nodes), "nid"), _match_entries, ["key", "band"], ["n", "i", "above", "comp"])
+        pools = components_of(near_places).withColumnRenamed("label", "key")
         pooled = mixed_only(by_size(pools.join(nodes.select("nid", "n"), "nid")).select("key", "band", "above", "nid", "n"), labels, "key", "band")
         edges = likely_edges(pooled.join(sketched.select("nid", "sketch"), "nid"), _match_bands, ["key", "band"], ["n", "above"])
         near = near.unionByName(cross_links(docs, sketched, edges, labels, _match, (NUMER, DENOM), SHINGLE, broadcast_ids))
