@@ -150,3 +150,21 @@ def test_maps_of_points(spark):
     box = df.select(I.box_of(F.struct(F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.lit(4).alias("x1"), F.lit(2).alias("y1")), lambda x, y: I.rotate(x, y, F.lit(0.0), F.lit(0.0), 30)).alias("b")).first().b
     assert tuple(box) == (-1, 0, 4, 4)
     assert df.select(I.levels(F.lit(200), 2.0, -10.0).alias("v")).first().v == 255 and df.select(I.glare(F.lit(100), F.lit(5), F.lit(5), 5.0, 5.0, 10.0, 1.0).alias("v")).first().v == 255
+
+
+def test_stacks_are_worked_on_as_single_images_in_many_tasks(spark):
+    """Images of one size go through the morphology as one array, with each image's own result; bars are dealt to as many tasks as shuffles have."""
+    rng = np.random.default_rng(4)
+    inks = [(rng.random((h, w)) < p).astype(np.uint8) for h, w in ((9, 12), (5, 7), (1, 1)) for p in (0.0, 0.6, 0.9, 1.0)]
+    for stack in (np.stack(inks[k : k + 4]) for k in (0, 4, 8)):
+        for inside in (True, False):
+            assert (I.chamfer(stack, inside) == np.stack([I.chamfer(x, inside) for x in stack])).all()
+        assert (I.thicker(stack, 1.5) == np.stack([I.thicker(x, 1.5) for x in stack])).all()
+    rows = [(k, x.shape[1], x.shape[0], bytearray(x.tobytes())) for k, x in enumerate(inks)] + [(99, None, None, None)]
+    images = spark.createDataFrame(rows, "label int, width int, height int, pix binary").coalesce(1)
+    assert {r.label: r.stroke_width for r in I.with_stroke_width(images).collect()} == {k: I.stroke_of(x) for k, x in enumerate(inks)} | {99: None}
+    grown = {r.label: r.pix for r in I.dilated(images, 1.5).collect()}
+    assert all(bytes(grown[k]) == I.thicker(x, 1.5).astype(np.uint8).tobytes() for k, x in enumerate(inks)) and grown[99] is None
+    from veriframe.plans import image_queries
+
+    assert image_queries.bars(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))

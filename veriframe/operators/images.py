@@ -20,17 +20,51 @@ from pyspark.sql import functions as F
 FAR = np.float32(1e9)
 FINER = 4  # strokes are a few pixels wide, so they are changed at so many times the resolution
 TINY = 1e-12
+STACKED = 1 << 20  # pixels of images of one size that are worked on at once
 IMAGE = ("width", "height", "pix")
 
 Result = dict[str, object]
 
 
+def dealt(images: DataFrame) -> DataFrame:
+    """``images`` over as many tasks as shuffles have: a small file of rows is many pixels, and would be one task."""
+    return images.repartition(int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def on_images(images: DataFrame, kernel: Callable[..., Result], adds: str = "", others: tuple[str, ...] = ()) -> DataFrame:
     """``images`` with what ``kernel`` returns for each.
 
     The kernel gets an image as an array (null pixels: None) and the values of the columns ``others``. It returns values of
     the columns ``adds`` (a schema) and, under ``pix``, an array that replaces the image.
     """
+    return _on_rows(images, lambda pixels, rows: [kernel(p, *r) for p, r in zip(pixels, rows, strict=True)], adds, others)
+
+
+def on_stacks(images: DataFrame, kernel: Callable[[np.ndarray], dict[str, object]], adds: str = "") -> DataFrame:
+    """``images`` with what ``kernel`` returns for all those of one size in a batch, given as one array (images, rows, columns).
+
+    It returns for each of ``adds`` and for ``pix`` a sequence with an entry for each image. A null image has null results.
+    """
+
+    def stacked(pixels: list[np.ndarray | None], _: list[tuple]) -> list[Result]:
+        sizes: dict[tuple[int, int], list[int]] = {}
+        for i, p in enumerate(pixels):
+            if p is not None:
+                sizes.setdefault(p.shape, []).append(i)
+        out: list[Result] = [{} if adds else {"pix": None} for _ in pixels]
+        for (h, w), found in sizes.items():
+            step = max(1, STACKED // max(1, h * w))
+            for first in range(0, len(found), step):
+                some = found[first : first + step]
+                made = kernel(np.stack([pixels[i] for i in some]))
+                for k, i in enumerate(some):
+                    out[i] = {n: v[k] for n, v in made.items()}
+        return out
+
+    return _on_rows(images, stacked, adds, ())
+
+
+def _on_rows(images: DataFrame, kernel: Callable[[list, list[tuple]], list[Result]], adds: str, others: tuple[str, ...]) -> DataFrame:
     from pyspark.sql.types import StructType
 
     new = StructType.fromDDL(adds) if adds else StructType()
@@ -39,13 +73,11 @@ def on_images(images: DataFrame, kernel: Callable[..., Result], adds: str = "",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = {n: b.column(k).to_pylist() for k, n in enumerate(names)}
+            cols = {n: b.column(names.index(n)).to_pylist() for n in {*IMAGE, *others}}
             changed = {n: list(cols[n]) for n in IMAGE}
             made: dict[str, list] = {n: [] for n in new.names}
-            for i in range(b.num_rows):
-                w, h, data = (cols[n][i] for n in IMAGE)
-                image = None if data is None or w is None or h is None else np.frombuffer(data, np.uint8).reshape(h, w)
-                out = kernel(image, *(cols[o][i] for o in others))
+            pixels = [None if data is None or w is None or h is None else np.frombuffer(data, np.uint8).reshape(h, w) for w, h, data in zip(*(cols[n] for n in IMAGE), strict=True)]
+            for i, out in enumerate(kernel(pixels, [tuple(cols[o][i] for o in others) for i in range(b.num_rows)])):
                 if "pix" in out:
                     pix = out["pix"]
                     values = (None, None, None) if pix is None else (pix.shape[1], pix.shape[0], np.ascontiguousarray(pix, np.uint8).tobytes())
@@ -96,40 +128,46 @@ def with_ink(images: DataFrame) -> DataFrame:
 def chamfer(ink: np.ndarray, inside: bool) -> np.ndarray:
     """Pixels from each inked pixel to the nearest blank one (``inside``; beyond the edge all is blank), or from each blank pixel to the nearest inked one.
 
-    Two passes with steps of 3 and 4 thirds, a row at a time: what comes from the row before is a shifted minimum, what
-    comes along the row a running minimum of the values less their place.
+    ``ink`` is an image, or images of one size along the first axes. Two passes with steps of 3 and 4 thirds, a row of all
+    images at a time: what comes from the row before is a shifted minimum, what comes along the row a running minimum of the values less their place.
     """
-    h, w = ink.shape
+    *many, h, w = ink.shape
     beyond = np.float32(0) if inside else FAR
     d = np.where((ink != 0) == inside, FAR, np.float32(0)).astype(np.float32)
     if not d.size:
         return d
     steps = 3 * np.arange(w + 1, dtype=np.float64)
+    edge = np.full((*many, 1), beyond, np.float64)
 
     def along(row: np.ndarray) -> np.ndarray:
-        return (np.minimum.accumulate(np.concatenate(([beyond], row)) - steps) + steps)[1:]
+        return (np.minimum.accumulate(np.concatenate((edge, row), axis=-1) - steps, axis=-1) + steps)[..., 1:]
 
     for order, flip in ((range(h), 1), (range(h - 1, -1, -1), -1)):
-        above = np.full(w + 2, beyond, np.float64)
+        above = np.full((*many, w + 2), beyond, np.float64)
         for y in order:
-            row = d[y, ::flip].astype(np.float64)
-            near = np.minimum(above[1:-1] + 3, np.minimum(above[:-2], above[2:]) + 4)
+            row = d[..., y, ::flip].astype(np.float64)
+            near = np.minimum(above[..., 1:-1] + 3, np.minimum(above[..., :-2], above[..., 2:]) + 4)
             row = np.minimum(row, np.where(row == 0, 0, near))
             row = np.where(row == 0, 0, along(row))
-            d[y, ::flip] = row
-            above[1:-1] = row
+            d[..., y, ::flip] = row
+            above[..., 1:-1] = row
     return np.where(d >= FAR, 0, d / np.float32(3)).astype(np.float32)
 
 
 def stroke_of(ink: np.ndarray) -> float:
     """Across a stroke of width w the distances run 1, 2, ... w/2 and back, with the mean w/4 + 1/2."""
-    on = ink != 0
-    return max(1.0, 4 * float(chamfer(ink, True)[on].astype(np.float64).sum()) / int(on.sum()) - 2) if on.any() else 0.0
+    return strokes_of(ink[None])[0]
+
+
+def strokes_of(inks: np.ndarray) -> list[float]:
+    """``stroke_of`` images of one size."""
+    far = chamfer(inks, True)
+    return [max(1.0, 4 * float(d[on].astype(np.float64).sum()) / int(on.sum()) - 2) if on.any() else 0.0 for d, on in zip(far, inks != 0, strict=True)]
 
 
 def with_stroke_width(images: DataFrame) -> DataFrame:
     """Adds stroke_width, of the mean distance within the ink; 0 where there is none."""
-    return on_images(images, lambda b: {} if b is None else {"stroke_width": stroke_of(b)}, "stroke_width double")
+    return on_stacks(images, lambda b: {"stroke_width": strokes_of(b)}, "stroke_width double")
 
 
 def thinner(ink: np.ndarray, r: float) -> np.ndarray:
@@ -139,15 +177,15 @@ def thinner(ink: np.ndarray, r: float) -> np.ndarray:
 
 def thicker(ink: np.ndarray, r: float) -> np.ndarray:
     """With the blank pixels whose centre lies within r pixels of the ink's edge; without ink there is nothing to grow."""
-    return (ink != 0) | (chamfer(ink, False) - 0.5 <= r) & (ink != 0).any() if r > 0 else ink != 0
+    return (ink != 0) | (chamfer(ink, False) - 0.5 <= r) & (ink != 0).any(axis=(-2, -1), keepdims=True) if r > 0 else ink != 0
 
 
 def eroded(images: DataFrame, r: float) -> DataFrame:
-    return on_images(images, lambda b: {"pix": None if b is None else thinner(b, r)})
+    return on_stacks(images, lambda b: {"pix": thinner(b, r)})
 
 
 def dilated(images: DataFrame, r: float) -> DataFrame:
-    return on_images(images, lambda b: {"pix": None if b is None else thicker(b, r)})
+    return on_stacks(images, lambda b: {"pix": thicker(b, r)})
 
 
 def larger(x: np.ndarray, k: int) -> np.ndarray:

@@ -30,7 +30,7 @@ _INSIDE = f"WITH b AS ({_BARS}), p AS (SELECT label, wide, {_PIXELS}), d AS (SEL
 
 def bars(spark, d):
     """Ink images: label, wide, tall and the image's width, height and pix."""
-    b = table(spark, d, "part").selectExpr("p_partkey AS label", f"{_WIDE} AS wide", f"{_TALL} AS tall")
+    b = I.dealt(table(spark, d, "part").select("p_partkey", "p_size")).selectExpr("p_partkey AS label", f"{_WIDE} AS wide", f"{_TALL} AS tall")
     line = F.concat(F.lit("00000000"), F.repeat(F.lit("01"), F.col("wide")), F.lit("00000000"))
     blank = F.repeat(F.lit("00"), F.col("wide") + 8)
     pixels = F.concat(F.repeat(blank, F.lit(6)), F.repeat(line, F.col("tall")), F.repeat(blank, F.lit(6)))
