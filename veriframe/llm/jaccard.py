@@ -15,8 +15,8 @@ over the whole of their rows, exactly.
 The product takes all pairs of a shingle that at most ``SHORT`` rows of the block hold. A shingle
 that more of them hold (one of a large group of near copies, or of a passage that many documents
 share) is a longer bucket (``similar.py``): its rows meet the smallest of them and, where different
-components are left, those of like size meet in blocks, under the bounds of places and of parities at once; the product of
-the whole rows of what these leave is taken in blocks too.
+components are left, those of like size meet in blocks, under the bounds of places and of parities at once, and then of whole
+parities among those that these connect; the product of the whole rows of what these leave is taken in blocks too.
 """
 
 from __future__ import annotations
