@@ -255,25 +255,34 @@ ANCHOR_PIECES = 3
 def anchors(norm: Column) -> Column:
     """All stretches of ``ANCHOR_PIECES`` pieces in a row of a normalized text that is cut after each ``BOUNDARY``, but for the first and the last piece.
 
-    Where a text holds another, it holds the other's stretches: what a cut depends on stands next to it.
+    Where a text holds another, it holds the other's stretches: what a cut depends on stands next to it. The text is cut
+    once, not once for each stretch.
     """
-    pieces = F.split(norm, f"(?<=[{BOUNDARY}])")
-    last = F.size(pieces) - 1  # the first and last piece of a passage may go on in the text that holds it
-    return F.when(last > ANCHOR_PIECES, F.transform(F.sequence(F.lit(2), last - ANCHOR_PIECES + 1), lambda k: F.array_join(F.slice(pieces, k, ANCHOR_PIECES), ""))).otherwise(F.array().cast("array<string>"))
+
+    def stretches(pieces: Column) -> Column:
+        last = F.size(pieces) - 1  # the first and last piece of a passage may go on in the text that holds it
+        joined = lambda k: F.concat(*[F.get(pieces, k + i) for i in range(ANCHOR_PIECES)])
+        return F.when(last > ANCHOR_PIECES, F.transform(F.sequence(F.lit(1), last - ANCHOR_PIECES), joined)).otherwise(F.array().cast("array<string>"))
+
+    return T.let(F.split(norm, f"(?<=[{BOUNDARY}])"), stretches)
 
 
 def held_exactly(docs: DataFrame, references: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, ref_idx): documents that hold a passage, word for word after normalization; each pair once.
 
-    A passage's longest anchor is joined to the documents' anchors, and the passages so met are looked for. Passages too
-    short for an anchor are looked for in every document, ``SHORT_AT_ONCE`` in one pass.
+    A passage's longest anchor is joined to the documents' anchors, both by their hashes and without the texts, and the
+    passages so met are looked for in the document. Passages too short for an anchor are looked for in every document,
+    ``SHORT_AT_ONCE`` in one pass.
     """
-    left = docs.select(F.col(id_col), T.normalize(text_col).alias("norm"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number, since a few files may hold many texts
+    left = staged(docs.select(F.col(id_col), F.col(text_col).alias("norm")).repartition(parts).select(id_col, T.normalize("norm").alias("norm"), F.monotonically_increasing_id().alias("row")))
     right = staged(references.select("ref_idx", T.normalize("text").alias("want")).filter("want <> ''"))
     longest = F.array_max(F.transform(anchors(F.col("want")), lambda a: F.struct(F.length(a).alias("n"), a.alias("a"))))["a"]
     keyed = staged(right.withColumn("anchor", longest))
-    held = left.select(id_col, "norm", F.explode(F.array_distinct(anchors(F.col("norm")))).alias("anchor"))
-    found = held.join(keyed.filter("anchor is not null"), "anchor").filter(F.contains("norm", F.col("want"))).select(id_col, "ref_idx")
+    held = left.select("row", F.explode(F.array_distinct(F.transform(anchors(F.col("norm")), lambda a: F.xxhash64(a)))).alias("anchor"))
+    long = keyed.filter("anchor is not null").select("ref_idx", "want", F.xxhash64("anchor").alias("anchor"))
+    met = staged(held.join(long.drop("want"), "anchor").select("row", "ref_idx").distinct())
+    found = left.join(met.join(long.drop("anchor"), "ref_idx"), "row").filter(F.contains("norm", F.col("want"))).select(id_col, "ref_idx")
     short = keyed.filter("anchor is null").select("ref_idx", "want")
     block: list[tuple] = []
 
