@@ -46,6 +46,23 @@ def test_bounds_of_blocks():
             assert g <= (align.infix(a, b)[0] if anywhere else align.half_edits(a, b))
 
 
+@pytest.mark.parametrize("words", [1 << 21, 300])
+def test_edits_of_long_claims(monkeypatch, words):
+    monkeypatch.setattr(batch, "WORDS_AT_ONCE", words)
+    rng = random.Random(5)
+    claims, reads = pairs(11, 300)
+    for m in (63, 64, 65, 127, 128, 129, 200):
+        for alphabet in ("AB", "AÄ中BC", "ABCDEFGH"):
+            b = [rng.choice(alphabet) for _ in range(rng.choice((30, m + 20)))]
+            a = [rng.choice((x, x, x, "Z", "")) for x in (b * m)[3 : 3 + m]]
+            claims.append("".join(a))
+            reads.append("".join(b))
+    claims += ["A" * 64, "", "", "A" * 70]
+    reads += ["A" * 64, "", "AB", ""]
+    assert (2 * batch.infix_edits(claims, reads)).tolist() == [align.infix(a, b, 2)[0] for a, b in zip(claims, reads, strict=True)]
+    assert batch.infix_edits([], []).tolist() == []
+
+
 def test_empty_blocks():
     assert batch.half_edits([], []).tolist() == [] and [x.tolist() for x in batch.infix([""], ["abc"])] == [[0], [0], [0]]
     assert batch.half_edits(["", "ab", ""], ["abc", "", ""]).tolist() == [6, 4, 0]

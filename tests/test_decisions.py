@@ -1,5 +1,7 @@
 """Cases of the decision rules; every refusal stands beside an acceptance on like input."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +173,24 @@ def test_options():
     assert DEFAULT.tuned({"radius": 0.2, "tie_margin": 0}).radius == 0.2 and DEFAULT.tuned({"tie_margin": 0}).tie_margin == DEFAULT.tie_margin
     with pytest.raises(ValueError):
         DEFAULT.tuned({"nonsense": 1})
+
+
+def test_boxes_and_passages_that_repeat(spark):
+    # Before, each copy of a box was aligned with each copy of a passage.
+    from veriframe.operators import diagnose
+
+    words = "according to the surgeon general women should not drink alcoholic beverages during pregnancy because of the risk of birth defects consumption impairs".split()
+    line = lambda k: " ".join(words[(k * 7 + i * (k + 1)) % len(words)] for i in range(14))
+    passages = [" ".join(line(3 * j + k) for k in range(3)) for j in range(4)]
+    boxes = [(label, k, 10 * k, 13 * k, 10 * k + 50, 13 * k + 12, line(k).upper()) for label in range(300) for k in range(4)]
+    boxes += [(label, 9, 0, 200, 50, 212, "zq" * 30) for label in range(300)] + [(7, 0, 5, 0, 60, 12, line(0))]
+    det = spark.createDataFrame(boxes, "label int, det_idx int, x0 int, y0 int, x1 int, y1 int, text string")
+    refs = spark.createDataFrame([(p,) for p in passages * 300], "text string")
+    began = time.time()
+    got = {r.label: (r.n, tuple(r.region)) for r in diagnose.block_boxes(det, refs).collect()}
+    seconds = time.time() - began
+    norm = lambda s: T.normalize_with_offsets(s)[0]
+    near = [sum(4 * align.infix(norm(line(k)), norm(p), 2)[0] <= 2 * len(norm(line(k))) for p in passages) for k in range(4)]
+    assert near[0] and near[3]
+    assert got == {label: (300 * (sum(near) + near[0] * (label == 7)), (0, 0, 80, 51)) for label in range(300)}
+    assert seconds < 40
