@@ -77,3 +77,21 @@ def test_toxicity_beats_the_majority_on_held_out_rows(sf, least_auc):
     assert np.mean([g[1] == z for g, z in zip(got, y, strict=True)]) > max(y.mean(), 1 - y.mean())
     s1, s0 = (np.array([g[0] for g, z in zip(got, y, strict=True) if z == k]) for k in (1, 0))
     assert (np.sign(s1[:, None] - s0[None]) / 2 + 0.5).mean() > least_auc
+
+
+def test_neighbours_are_added_up_over_batches(spark):
+    # Before, each Arrow batch sent rows of its own for every word.
+    import numpy as np
+
+    from veriframe.llm import brown
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10")
+    try:
+        docs = spark.createDataFrame([(f"alpha beta word{k % 7}",) for k in range(200)], "text string").coalesce(1)
+        rows = brown.count_neighbours(docs, {b"alpha": brown.END + 1}, np.arange(brown.END + 2) % 3, 3).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(r.word for r in rows) == ["beta", *[f"word{k}" for k in range(7)]]
+    assert {r.word: sum(r.ns) for r in rows}["beta"] == 400

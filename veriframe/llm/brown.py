@@ -39,7 +39,9 @@ CLASSES, OWN = 32, 12  # at least so many classes, and so many words of their ow
 SWEEPS = 12
 COUNTED_AT_ONCE = 250_000
 ENTRIES_AT_ONCE = 1 << 16
-NEIGHBOUR_BYTES = 4 << 20  # of text whose neighbours are added up before they are sent
+NEIGHBOUR_BYTES = 8 << 20  # of text whose neighbours are added up before they are sent
+NEIGHBOUR_ROWS = 1 << 16  # of a batch of these
+BIGRAMS_AT_ONCE = 1 << 21
 TRANSITION_PRIOR = 5.0
 STAY = 1.0  # of the logarithm of the number of classes
 UNIGRAM = 0.1  # weight of the class without its predecessor
@@ -90,6 +92,13 @@ def count_bigrams(docs: DataFrame, own: dict[bytes, int]) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = dict(shared.value)
         total = np.zeros(types * types, np.int64)
+        codes: list[np.ndarray] = []
+
+        def add() -> None:
+            if codes:  # the table is large, so it is not passed over for each batch
+                np.add(total, np.bincount(np.concatenate(codes), minlength=types * types), out=total)
+                codes.clear()
+
         for b in chunks(batches):
             ids = [END]
             for t in byte_texts(b):
@@ -102,7 +111,10 @@ def count_bigrams(docs: DataFrame, own: dict[bytes, int]) -> np.ndarray:
                     ids.append(x)
                 ids.append(END)
             a = np.array(ids, np.int64)
-            total += np.bincount(a[:-1] * types + a[1:], minlength=types * types)
+            codes.append(a[:-1] * types + a[1:])
+            if sum(map(len, codes)) >= BIGRAMS_AT_ONCE:
+                add()
+        add()
         at = np.flatnonzero(total)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["pair", "n"])
@@ -119,12 +131,10 @@ def count_neighbours(docs: DataFrame, own: dict[bytes, int], cls: np.ndarray, cl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, cls = shared.value
-        for b in chunks(batches, limit=NEIGHBOUR_BYTES):
-            local: dict[bytes, int] = {END_WORD.encode(): 0}
-            ids = [0]
-            for t in byte_texts(b):
-                ids.extend([local.setdefault(w, len(local)) for w in t.lower().split()])
-                ids.append(0)
+        local: dict[bytes, int] = {END_WORD.encode(): 0}
+        ids, size = [0], 0
+
+        def added_up() -> Iterator[pa.RecordBatch]:
             words = list(local)
             kind = np.array([END] + [own[w] if w in own else ending(w) for w in words[1:]], np.int64)
             a = np.array(ids, np.int64)
@@ -137,7 +147,21 @@ def count_neighbours(docs: DataFrame, own: dict[bytes, int], cls: np.ndarray, cl
                 word = pa.array(words, pa.binary()).take(pa.array(at[first])).cast(pa.string())
                 off = pa.array(np.append(first, len(at)).astype(np.int32))
                 code, count = pa.array((pair % (2 * classes)).astype(np.int32)), pa.array(n.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([word, pa.ListArray.from_arrays(off, code), pa.ListArray.from_arrays(off, count)], names=["word", "codes", "ns"])
+                out = pa.RecordBatch.from_arrays([word, pa.ListArray.from_arrays(off, code), pa.ListArray.from_arrays(off, count)], names=["word", "codes", "ns"])
+                for lo in range(0, out.num_rows, NEIGHBOUR_ROWS):
+                    yield out.slice(lo, NEIGHBOUR_ROWS)
+
+        for b in chunks(batches):
+            for t in byte_texts(b):
+                ids.extend([local.setdefault(w, len(local)) for w in t.lower().split()])
+                ids.append(0)
+                size += len(t)
+            if size >= NEIGHBOUR_BYTES:
+                yield from added_up()
+                local.clear()
+                local[END_WORD.encode()] = 0
+                ids, size = [0], 0
+        yield from added_up()
 
     return docs.mapInArrow(run, "word string, codes array<int>, ns array<int>")
 
@@ -307,46 +331,43 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         get = table.get
         key = TaskContext.get().partitionId() << 36
         end = get(END_WORD.encode(), -1)
+        names = ["key", "doc_id", "learn", "word", "m", "n_tokens", "n_known", "s", "before", "path"]
         for b in chunks(batches):
-            keys, ids, learn, word, m, n_tokens, known, s, before, path = ([] for _ in range(10))
-            for i, t, learns in zip(b.column(0).to_pylist(), byte_texts(b), b.column(2).to_pylist(), strict=True):
+            ids, learn = b.column(0), [bool(x) for x in b.column(2).to_pylist()]
+            n_tokens, known, s, path, tails, tail_words, tail_before, tail_n = ([] for _ in range(8))
+            for t in byte_texts(b):
                 w = t.lower().split()
                 at = np.array([get(x, -1) for x in w], np.int64)
                 out = np.flatnonzero(at < 0)
                 k = class_of[at] if len(class_of) else np.zeros(len(at), np.int64)
-                tail: Counter = Counter()
+                tails.append(0)
                 if len(out):
                     unknown = [w[j] for j in out.tolist()]
                     k[out] = by_ending[[ending(x) for x in unknown]]
-                    tail.update(zip(unknown, np.concatenate(([by_ending[END]], k))[out].tolist(), strict=True))
+                    tail = Counter(zip(unknown, np.concatenate(([by_ending[END]], k))[out].tolist(), strict=True))
+                    tails[-1] = len(tail)
+                    tail_words += [x for x, _ in tail]
+                    tail_before += [h for _, h in tail]
+                    tail_n += tail.values()
                 seen = log_c[at[at >= 0]].sum() + (log_c[end] if end >= 0 else np.log10(0.5))
                 k[out] -= 1 << 15
-                keys.append(key)
-                ids.append(i)
-                learn.append(bool(learns))
-                word.append(f" {key}".encode())
-                m.append(0)
                 n_tokens.append(len(w) + 1)
                 known.append(len(w) - len(out) + (end >= 0))
                 s.append(float(seen))
-                before.append(-1)
                 path.append(np.concatenate((k, [by_ending[END]])).astype(np.int16).tobytes())
-                for (x, h), n in tail.items():
-                    keys.append(key)
-                    ids.append(None)
-                    learn.append(bool(learns))
-                    word.append(x)
-                    m.append(n)
-                    n_tokens.append(0)
-                    known.append(0)
-                    s.append(0.0)
-                    before.append(h)
-                    path.append(None)
-                key += 1
+            n, keys = len(path), key + np.arange(len(path))
+            none = lambda value, kind, size: pa.array(np.full(size, value), kind)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(learn, pa.bool_()), pa.array(word, pa.binary()).cast(pa.string()), pa.array(m, pa.int32()), pa.array(n_tokens, pa.int32()), pa.array(known, pa.int32()), pa.array(s, pa.float64()), pa.array(before, pa.int32()), pa.array(path, pa.binary())],
-                names=["key", "doc_id", "learn", "word", "m", "n_tokens", "n_known", "s", "before", "path"],
+                [pa.array(keys, pa.int64()), ids, pa.array(learn, pa.bool_()), pa.array([f" {x}" for x in keys.tolist()], pa.string()), none(0, pa.int32(), n), pa.array(n_tokens, pa.int32()), pa.array(known, pa.int32()), pa.array(s, pa.float64()), none(-1, pa.int32(), n), pa.array(path, pa.binary())],
+                names=names,
             )
+            more = len(tail_n)
+            if more:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(keys, tails), pa.int64()), pa.nulls(more, pa.int64()), pa.array(np.repeat(np.array(learn), tails)), pa.array(tail_words, pa.binary()).cast(pa.string()), pa.array(tail_n, pa.int32()), none(0, pa.int32(), more), none(0, pa.int32(), more), none(0.0, pa.float64(), more), pa.array(tail_before, pa.int32()), pa.nulls(more, pa.binary())],
+                    names=names,
+                )
+            key += n
 
     parts = materialise(given.select("doc_id", "text", "t").mapInArrow(paths, "key long, doc_id long, learn boolean, word string, m int, n_tokens int, n_known int, s double, before int, path binary"))
     whole_texts = parts.filter("m = 0")
