@@ -20,6 +20,7 @@ BROKEN = {
     "spaces": "<a x =" + " " * 900_000 + ">",
     "attributes": "<div " + "a " * 450_000 + ">",
 }
+from pyspark.sql import functions as F
 
 
 @pytest.mark.parametrize("name", sorted(BROKEN))
@@ -95,3 +96,21 @@ def test_neighbours_are_added_up_over_batches(spark):
         spark.conf.set(key, before)
     assert sorted(r.word for r in rows) == ["beta", *[f"word{k}" for k in range(7)]]
     assert {r.word: sum(r.ns) for r in rows}["beta"] == 400
+
+
+def test_quality_learns_from_all_labelled_documents(spark, monkeypatch):
+    # Before, a sample of documents of at most 20,000 characters was learnt from: without them no score but 0.5.
+    from veriframe.llm import quality
+
+    monkeypatch.setattr(quality, "FEW", 3)
+    long = lambda k: "a fair line of words " * (1100 + k) if k % 2 else "@# $$ !! || 99 " * (1500 + k)
+    docs = spark.createDataFrame([(k, long(k)) for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    rows = quality.rank(docs, labels, F.col("doc_id") >= 0).collect()
+    assert len(rows) == 40 and all(r.predicted == r.doc_id % 2 for r in rows)
+    values = [float(x) for x in (5, 1, 1, 1, 9, 2, 2, 7)]
+    scores = spark.createDataFrame([(x,) for x in values], "s double")
+    assert [quality.between(scores, n) for n in range(1, 8)] == [(a + b) / 2 for a, b in zip(sorted(values), sorted(values)[1:])]
+    rare = spark.createDataFrame([(k, k, int(k < 2), [float(k)]) for k in range(1000)], "doc_id long, h long, y int, f array<double>")
+    dealt = quality.buckets(rare, {0: 998, 1: 2}).collect()
+    assert sorted(x for r in dealt for x in r.bad) == list(range(2, 1000)) and all(sorted(r.good) == [0, 1] for r in dealt) and len(dealt) > 10
