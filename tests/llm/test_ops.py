@@ -85,6 +85,16 @@ def test_classes_reach_rare_words_and_grow(spark, monkeypatch, head):
     assert brown.classes_of(1000) == 32 < brown.classes_of(400_000) < brown.classes_of(20_000_000)
 
 
+def test_ends_outside_the_table_are_known(spark, monkeypatch):
+    """Few long texts: an end is rarer than the words that fill the table of frequent ones."""
+    monkeypatch.setattr(brown, "HEAD", 30)
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(30)) + " " + " ".join(f"w{k}" for k in range(30))) for i in range(3)], "doc_id long, text string")
+    rows = brown.score(docs, F.lit(True)).collect()
+    base = 60 * math.log10((6 + 0.5) / (183 + 0.5 * 32)) + math.log10((3 + 0.5) / (183 + 0.5 * 32))
+    assert [(r.n_tokens, r.n_known, r.train_tokens) for r in rows] == [(61, 61, 183)] * 3
+    assert all(r.base_score == pytest.approx(base, rel=1e-9) for r in rows)
+
+
 def test_language_model_on_odd_tables(spark, odd, empty):
     rows = brown.score(odd, F.lit(True)).collect()
     assert len(rows) == odd.count() and all(r.score <= 0 for r in rows)
@@ -342,6 +352,7 @@ def test_components_of_a_path(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+
 # 5
 
 

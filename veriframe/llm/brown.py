@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import byte_texts, chunks, materialise, small_batches
+from veriframe.llm.common import byte_texts, chunks, materialise, release, small_batches
 
 HEAD = 1 << 18
 LEVELS = 64  # of frequency in each doubling
@@ -38,8 +38,8 @@ END_WORD = "\n"  # no word holds white space
 CLASSES, OWN = 32, 12  # at least so many classes, and so many words of their own for each
 SWEEPS = 12
 COUNTED_AT_ONCE = 250_000
-ENTRIES_AT_ONCE = 1 << 16
-NEIGHBOUR_BYTES = 8 << 20  # of text whose neighbours are added up before they are sent
+ENTRIES_AT_ONCE = 1 << 11  # so that their gains stay in the cache
+NEIGHBOUR_WORDS = 3 << 19  # of texts whose neighbours are added up before they are sent
 NEIGHBOUR_ROWS = 1 << 16  # of a batch of these
 BIGRAMS_AT_ONCE = 1 << 21
 TRANSITION_PRIOR = 5.0
@@ -84,13 +84,62 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "word string, kind int, c long").groupBy("word", "kind").agg(F.sum("c").alias("c"))
 
 
-def count_bigrams(docs: DataFrame, own: dict[bytes, int]) -> np.ndarray:
-    """Adjacent types of all training texts; a text begins after an end."""
-    types = ENDINGS + 1 + len(own)
-    shared = docs.sparkSession.sparkContext.broadcast(own)
+class Encoder(dict):
+    """Words to ids: those of the table, and -1 - ending for others, of which some are kept."""
+
+    def __init__(self, table: dict[bytes, int]):
+        super().__init__(table)
+        self.table, self.most = table, len(table) + COUNTED_AT_ONCE
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > self.most:
+            self.clear()
+            self.update(self.table)
+        self[word] = x = -1 - ending(word)
+        return x
+
+
+def encode(given: DataFrame, words: list[bytes]) -> DataFrame:
+    """(key, doc_id, t, ids, outside) of each text: its words as places in ``words``, -1 - ending for others, and these others, a space between.
+
+    The passes that follow read ids, so texts are cut into words twice: for the counts and here.
+    """
+    shared = given.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = dict(shared.value)
+        known = Encoder({w: k for k, w in enumerate(shared.value)})
+        key = TaskContext.get().partitionId() << 36
+        for b in chunks(batches):
+            ids, outside = [], []
+            for t in byte_texts(b):
+                w = t.lower().split()
+                at = np.fromiter(map(known.__getitem__, w), np.int32, len(w))
+                ids.append(at.tobytes())
+                outside.append(b" ".join([w[j] for j in np.flatnonzero(at < 0).tolist()]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(key, key + len(ids))), b.column(0), b.column(2), pa.array(ids, pa.binary()), pa.array(outside, pa.binary())], names=["key", "doc_id", "t", "ids", "outside"])
+            key += len(ids)
+
+    return materialise(given.select("doc_id", "text", "t").mapInArrow(run, "key long, doc_id long, t boolean, ids binary, outside binary"))
+
+
+def by_id(head: np.ndarray, endings: np.ndarray, end: int) -> np.ndarray:
+    """A table that ids of words, their number for an end, and negative ids of endings are places of."""
+    return np.concatenate((head, [end], endings[::-1]))
+
+
+def texts_of(column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts of a column, an ``end`` after each, and how many words each has."""
+    rows = column.to_pylist()
+    one = np.array([end], np.int32).tobytes()
+    return np.frombuffer(one.join([*rows, b""]), np.int32), np.array([len(x) // 4 for x in rows], np.int64)
+
+
+def count_bigrams(texts: DataFrame, kinds: np.ndarray, types: int, end: int) -> np.ndarray:
+    """Adjacent types (``kinds`` of the ids) of all encoded texts; a text begins after an end."""
+    shared = texts.sparkSession.sparkContext.broadcast(kinds.astype(np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = shared.value
         total = np.zeros(types * types, np.int64)
         codes: list[np.ndarray] = []
 
@@ -99,71 +148,67 @@ def count_bigrams(docs: DataFrame, own: dict[bytes, int]) -> np.ndarray:
                 np.add(total, np.bincount(np.concatenate(codes), minlength=types * types), out=total)
                 codes.clear()
 
-        for b in chunks(batches):
-            ids = [END]
-            for t in byte_texts(b):
-                for w in t.lower().split():
-                    x = known.get(w)
-                    if x is None:
-                        if len(known) > COUNTED_AT_ONCE:
-                            known = dict(shared.value)
-                        x = known[w] = ending(w)
-                    ids.append(x)
-                ids.append(END)
-            a = np.array(ids, np.int64)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            a = np.concatenate(([END], kinds[texts_of(b.column(0), end)[0]]))
             codes.append(a[:-1] * types + a[1:])
             if sum(map(len, codes)) >= BIGRAMS_AT_ONCE:
                 add()
         add()
+        release()
         at = np.flatnonzero(total)
         if len(at):
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["pair", "n"])
 
-    found = docs.mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    found = texts.select("ids").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(types * types, np.int64)
     out[found["pair"].to_numpy()] = found["n"].to_numpy()
     return out.reshape(types, types)
 
 
-def count_neighbours(docs: DataFrame, own: dict[bytes, int], cls: np.ndarray, classes: int) -> DataFrame:
+def count_neighbours(texts: DataFrame, words: list[bytes], kinds: np.ndarray, cls: np.ndarray, classes: int) -> DataFrame:
     """(word, codes, ns) for words that are no types: how often a class (code) stands before, or (code - classes) after it."""
-    shared = docs.sparkSession.sparkContext.broadcast((own, cls))
+    shared = texts.sparkSession.sparkContext.broadcast((words, kinds < ENDINGS, cls[kinds].astype(np.int64), int(cls[END])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, cls = shared.value
-        local: dict[bytes, int] = {END_WORD.encode(): 0}
-        ids, size = [0], 0
+        words, loose, class_of, end_class = shared.value
+        end = len(words)
+        head = pa.array(words, pa.binary())
+        local: dict[bytes, int] = {}
+        held: list[tuple[np.ndarray, list[int]]] = []
 
         def added_up() -> Iterator[pa.RecordBatch]:
-            words = list(local)
-            kind = np.array([END] + [own[w] if w in own else ending(w) for w in words[1:]], np.int64)
-            a = np.array(ids, np.int64)
-            c = cls[kind][a]
-            inner = np.flatnonzero(kind[a] < ENDINGS)
-            pair, n = np.unique(np.concatenate((a[inner] * (2 * classes) + c[inner - 1], a[inner] * (2 * classes) + classes + c[inner + 1])), return_counts=True)
+            ids = np.concatenate([x for x, _ in held]).astype(np.int64)
+            c = np.concatenate(([end_class], class_of[ids]))
+            inner = np.flatnonzero(loose[ids])
+            ids[ids < 0] = end + 1 + np.array([k for _, x in held for k in x], np.int64)
+            a = ids[inner] * (2 * classes)
+            pair, n = np.unique(np.concatenate((a + c[inner], a + classes + c[inner + 2])), return_counts=True)
             if len(pair):
                 at = pair // (2 * classes)
                 first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-                word = pa.array(words, pa.binary()).take(pa.array(at[first])).cast(pa.string())
+                named = pa.concat_arrays([head, pa.array([END_WORD.encode()], pa.binary()), pa.array(list(local), pa.binary())])
+                word = named.take(pa.array(at[first])).cast(pa.string())
                 off = pa.array(np.append(first, len(at)).astype(np.int32))
                 code, count = pa.array((pair % (2 * classes)).astype(np.int32)), pa.array(n.astype(np.int32))
                 out = pa.RecordBatch.from_arrays([word, pa.ListArray.from_arrays(off, code), pa.ListArray.from_arrays(off, count)], names=["word", "codes", "ns"])
                 for lo in range(0, out.num_rows, NEIGHBOUR_ROWS):
                     yield out.slice(lo, NEIGHBOUR_ROWS)
 
-        for b in chunks(batches):
-            for t in byte_texts(b):
-                ids.extend([local.setdefault(w, len(local)) for w in t.lower().split()])
-                ids.append(0)
-                size += len(t)
-            if size >= NEIGHBOUR_BYTES:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append((texts_of(b.column(0), end)[0], [local.setdefault(w, len(local)) for x in b.column(1).to_pylist() for w in x.split()]))
+            if sum(len(x) for x, _ in held) >= NEIGHBOUR_WORDS:
                 yield from added_up()
                 local.clear()
-                local[END_WORD.encode()] = 0
-                ids, size = [0], 0
-        yield from added_up()
+                held.clear()
+        if held:
+            yield from added_up()
+        release()
 
-    return docs.mapInArrow(run, "word string, codes array<int>, ns array<int>")
+    return texts.select("ids", "outside").mapInArrow(run, "word string, codes array<int>, ns array<int>")
 
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,6 +238,7 @@ def assign(neighbours: DataFrame, big: np.ndarray, cls: np.ndarray) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gain, by_ending = shared.value
         last, best, count = None, np.zeros(classes), 0
+        room = np.empty((ENTRIES_AT_ONCE, classes))
 
         def rows(words: list, total: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
             total[np.arange(len(words)), by_ending[[ending(w.encode()) for w in words]]] += stay
@@ -207,7 +253,10 @@ def assign(neighbours: DataFrame, big: np.ndarray, cls: np.ndarray) -> DataFrame
             code, n = b.column(1).flatten().to_numpy(), b.column(2).flatten().to_numpy().astype(np.int64)
             # Rows of a word follow each other, and so do their entries.
             first = np.concatenate(([0], np.cumsum(pa.compute.list_value_length(b.column(1)).to_numpy())))[first]
-            total = np.add.reduceat(gain[code] * n[:, None], first)
+            weighed = room[: len(code)] if len(code) <= len(room) else np.empty((len(code), classes))
+            np.take(gain, code, axis=0, out=weighed, mode="clip")
+            weighed *= n[:, None]
+            total = np.add.reduceat(weighed, first)
             c = np.add.reduceat(np.where(code < classes, n, 0), first)
             if words[0] == last:
                 total[0] += best
@@ -292,7 +341,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), train.alias("t"))
     learnt = given.filter(F.coalesce("t", F.lit(False))).select("text")
     counts = materialise(count_words(learnt))
-    tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    tokens, distinct, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.max(F.when(F.col("word") == END_WORD, F.col("c"))), F.lit(0))).first()
     # The head by level of frequency: as many levels from the top as hold at most HEAD words.
     level = F.floor(F.log2("c") * LEVELS).cast("int")
     inside, cut = 0, 1 << 30
@@ -303,73 +352,68 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     n_classes = classes_of(distinct)
     own: dict[bytes, int] = {}
     head = counts.filter(level >= cut).toArrow().sort_by([("c", "descending"), ("word", "ascending")])
+    words, c = [w.encode() for w in head["word"].to_pylist()], head["c"].to_numpy()
     for w in head["word"].slice(0, OWN * n_classes + 1).to_pylist():
         if w != END_WORD and len(own) < OWN * n_classes:
             own[w.encode()] = END + 1 + len(own)
-    pairs = count_bigrams(learnt, own)
+    texts = encode(given, words)
+    training, end = texts.filter(F.coalesce("t", F.lit(False))), len(words)
+    kinds = by_id(np.array([own[w] if w in own else END if w == END_WORD.encode() else ending(w) for w in words], np.int64), np.arange(ENDINGS), END)
+    pairs = count_bigrams(training, kinds, END + 1 + len(own), end)
     cls = exchange(pairs, n_classes)
     one = np.zeros((len(pairs), n_classes))
     one[np.arange(len(pairs)), cls] = 1
     seed_class = {w: int(cls[k]) for w, k in own.items()} | {END_WORD.encode(): int(cls[END])}
-    alone = materialise(assign(count_neighbours(learnt, own, cls, n_classes), one.T @ pairs @ one, cls))
+    alone = materialise(assign(count_neighbours(training, words, kinds, cls, n_classes), one.T @ pairs @ one, cls))
     class_of_word = alone.filter(level >= cut).select("word", "k").toArrow()
     seed_class.update(zip((w.encode() for w in class_of_word["word"].to_pylist()), class_of_word["k"].to_pylist(), strict=True))
-    words = [w.encode() for w in head["word"].to_pylist()]
-    c = head["c"].to_numpy()
     class_of = np.array([seed_class[w] for w in words], np.int64)
     size, kinds_of = np.zeros(n_classes), np.zeros(n_classes)
     for r in alone.filter(level < cut).groupBy("k").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
         size[r.k], kinds_of[r.k] = r.c, r.n
     size += np.bincount(class_of, c, n_classes)
     kinds_of += np.bincount(class_of, minlength=n_classes)
-    table = {w: k for k, w in enumerate(words)}
-    known_words = spark.sparkContext.broadcast((table, np.log10(c + 0.5), class_of, cls[: END + 1]))
+    if ends and END_WORD not in head["word"].to_pylist():
+        size[cls[END]] += ends
+        kinds_of[cls[END]] += 1
+    log_c = by_id(np.log10(c + 0.5), np.zeros(ENDINGS), float(np.log10(ends + 0.5)))
+    tables = spark.sparkContext.broadcast((log_c, by_id(class_of, cls[:ENDINGS], int(cls[END])).astype(np.int64)))
+    end_known, end_class = int(ends > 0), int(cls[END])
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text, with the classes of its tokens (of the ending, less 2**15, outside the table), and one for each predecessor and token outside."""
-        table, log_c, class_of, by_ending = known_words.value
-        get = table.get
-        key = TaskContext.get().partitionId() << 36
-        end = get(END_WORD.encode(), -1)
+        log_c, class_of = tables.value
         names = ["key", "doc_id", "learn", "word", "m", "n_tokens", "n_known", "s", "before", "path"]
-        for b in chunks(batches):
-            ids, learn = b.column(0), [bool(x) for x in b.column(2).to_pylist()]
-            n_tokens, known, s, path, tails, tail_words, tail_before, tail_n = ([] for _ in range(8))
-            for t in byte_texts(b):
-                w = t.lower().split()
-                at = np.array([get(x, -1) for x in w], np.int64)
-                out = np.flatnonzero(at < 0)
-                k = class_of[at] if len(class_of) else np.zeros(len(at), np.int64)
-                tails.append(0)
-                if len(out):
-                    unknown = [w[j] for j in out.tolist()]
-                    k[out] = by_ending[[ending(x) for x in unknown]]
-                    tail = Counter(zip(unknown, np.concatenate(([by_ending[END]], k))[out].tolist(), strict=True))
-                    tails[-1] = len(tail)
-                    tail_words += [x for x, _ in tail]
-                    tail_before += [h for _, h in tail]
-                    tail_n += tail.values()
-                seen = log_c[at[at >= 0]].sum() + (log_c[end] if end >= 0 else np.log10(0.5))
-                k[out] -= 1 << 15
-                n_tokens.append(len(w) + 1)
-                known.append(len(w) - len(out) + (end >= 0))
-                s.append(float(seen))
-                path.append(np.concatenate((k, [by_ending[END]])).astype(np.int16).tobytes())
-            n, keys = len(path), key + np.arange(len(path))
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            keys, learn = b.column(0).to_numpy(), np.array([bool(x) for x in b.column(2).to_pylist()])
+            ids, sizes = texts_of(b.column(3), end)
+            starts = np.concatenate(([0], np.cumsum(sizes + 1)))
+            k = class_of[ids]
+            out = np.flatnonzero(ids < 0)
+            before = np.concatenate(([end_class], k))[out]
+            text = np.repeat(np.arange(n), sizes + 1)[out]
+            k[out] -= 1 << 15
+            path = k.astype(np.int16).tobytes()
+            known = sizes - np.bincount(text, minlength=n) + end_known
             none = lambda value, kind, size: pa.array(np.full(size, value), kind)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), ids, pa.array(learn, pa.bool_()), pa.array([f" {x}" for x in keys.tolist()], pa.string()), none(0, pa.int32(), n), pa.array(n_tokens, pa.int32()), pa.array(known, pa.int32()), pa.array(s, pa.float64()), none(-1, pa.int32(), n), pa.array(path, pa.binary())],
+                [pa.array(keys), b.column(1), pa.array(learn, pa.bool_()), pa.array([f" {x}" for x in keys.tolist()], pa.string()), none(0, pa.int32(), n), pa.array((sizes + 1).astype(np.int32)), pa.array(known.astype(np.int32)), pa.array(np.add.reduceat(log_c[ids], starts[:-1])), none(-1, pa.int32(), n), pa.array([path[2 * x : 2 * y] for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], pa.binary())],
                 names=names,
             )
-            more = len(tail_n)
-            if more:
+            if len(out):
+                local: dict[bytes, int] = {}
+                word = np.array([local.setdefault(w, len(local)) for x in b.column(4).to_pylist() for w in x.split()], np.int64)
+                code, times = np.unique((text * len(local) + word) * n_classes + before, return_counts=True)
+                text, word, more = code // n_classes // len(local), code // n_classes % len(local), len(code)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(keys, tails), pa.int64()), pa.nulls(more, pa.int64()), pa.array(np.repeat(np.array(learn), tails)), pa.array(tail_words, pa.binary()).cast(pa.string()), pa.array(tail_n, pa.int32()), none(0, pa.int32(), more), none(0, pa.int32(), more), none(0.0, pa.float64(), more), pa.array(tail_before, pa.int32()), pa.nulls(more, pa.binary())],
+                    [pa.array(keys[text]), pa.nulls(more, pa.int64()), pa.array(learn[text]), pa.array(list(local), pa.binary()).take(pa.array(word)).cast(pa.string()), pa.array(times.astype(np.int32)), none(0, pa.int32(), more), none(0, pa.int32(), more), none(0.0, pa.float64(), more), pa.array((code % n_classes).astype(np.int32)), pa.nulls(more, pa.binary())],
                     names=names,
                 )
-            key += n
 
-    parts = materialise(given.select("doc_id", "text", "t").mapInArrow(paths, "key long, doc_id long, learn boolean, word string, m int, n_tokens int, n_known int, s double, before int, path binary"))
+    parts = materialise(texts.mapInArrow(paths, "key long, doc_id long, learn boolean, word string, m int, n_tokens int, n_known int, s double, before int, path binary"))
     whole_texts = parts.filter("m = 0")
     outside = parts.filter("m > 0").select("key", "learn", "word", "m", "before")
     rare = alone.filter(level < cut)
