@@ -352,6 +352,15 @@ def test_components_of_a_path(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_chains_of_a_task_cost_no_rounds(spark):
+    """Each round writes a table, so a chain that one task holds makes no more of them than a single edge."""
+    chain = spark.createDataFrame([((i * 37) % 401, ((i + 1) * 37) % 401) for i in range(400)] + [(900, 900)], "a long, b long").coalesce(1)
+    with common.recorded() as made:
+        got = {r.node: r.label for r in components.connected(chain).collect()}
+    assert got == dict.fromkeys(range(401), 0) | {900: 900}
+    assert len(made) <= 3
+
+
 
 # 5
 

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriframe.llm.common import LOWER, byte_texts, chunks, mix64, small_batches, word_hashes
+from veriframe.llm.common import LOWER, byte_texts, chunks, mix64, release, small_batches, word_hashes
 from veriframe.llm.samples import labelled
 
 SAMPLE = 6000  # documents of each label, at most about
@@ -227,6 +227,8 @@ def score(docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "t
     small_batches(docs.sparkSession)
     rows, _ = labelled(docs, labels, train, label_col, SAMPLE, LONGEST, id_col, text_col)
     model = docs.sparkSession.sparkContext.broadcast(fit(rows))
+    del rows
+    release()  # what the fit used
 
     def judge(texts: list[bytes]) -> list[tuple[float, int, int, int, int]]:
         m = model.value
