@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from veriframe.config import ABV_MOST, ABV_STEP, ABV_TOLERANCE, BEER_STEP, ML_PER_FL_OZ, NET_TOLERANCE
 from veriframe.functions import text as T
-from veriframe.staging import shuffled, staged
+from veriframe.staging import dealt, staged
 
 # Printed forms of an alcohol content, {n} the figure; the last five at twice the percentage.
 ABV_FORMS = (
@@ -122,47 +122,89 @@ def candidates(filed: DataFrame) -> DataFrame:
     """One row for each accepted spelling: label, claim, cand_idx, text, norm, value, name, claimed, form, num.
 
     Spellings of one normalized text are one, the first. Of a numeric field these are the spellings
-    of values within the tolerance of the filed one; ``other_values`` finds the others by figure.
+    of values within the tolerance of the filed one; ``lists`` has the others by figure.
     """
     text = filed.filter("numeric is null").select("label", "claim", "expected", F.posexplode("texts").alias("cand_idx", "text"))
     text = text.withColumn("norm", T.normalize("text")).filter("norm <> ''")
     first = F.row_number().over(Window.partitionBy("label", "claim", "norm").orderBy("cand_idx"))
     text = text.withColumn("k", first).filter("k = 1").select("label", "claim", "cand_idx", "text", "norm", F.lit(0.0).alias("value"), F.col("expected").alias("name"), F.lit(True).alias("claimed"), F.lit(-1).alias("form"), F.lit("").alias("num"))
 
-    specs, words = numeric(filed)
-    # Values within the tolerance, by an equi-join on stretches of twice the tolerance.
+    number = within(*numeric(filed))
+    return text.unionByName(number.select("label", "claim", "cand_idx", "text", "norm", "value", "name", F.lit(True).alias("claimed"), "form", "num"))
+
+
+def within(specs: DataFrame, words: DataFrame) -> DataFrame:
+    """Spellings of the values within the tolerance of a filed one, by an equi-join on stretches of twice the tolerance."""
     stretch = lambda v: F.floor(v / (2 * F.col("tolerance")))
     around = F.array_distinct(F.array(stretch(F.col("want") - F.col("tolerance")), stretch(F.col("want") + F.col("tolerance"))))
     near = specs.withColumn("at", F.explode(around)).join(words.withColumn("at", stretch(F.col("value"))).drop("tolerance"), ["vocabulary", "at"])
-    number = near.filter(F.abs(F.col("value") - F.col("want")) <= F.col("tolerance"))
-    return text.unionByName(number.select("label", "claim", "cand_idx", "text", "norm", "value", "name", F.lit(True).alias("claimed"), "form", "num"))
+    return near.filter(F.abs(F.col("value") - F.col("want")) <= F.col("tolerance"))
+
+
+def _hashed(*columns: str) -> Column:
+    """128 bits of a hash."""
+    return F.concat_ws("-", F.xxhash64(*columns).cast("string"), F.xxhash64(F.lit(1), *columns).cast("string"))
+
+
+def listed() -> Column:
+    """The key of a claim's list of spellings. A list is long and often shared by many claims, so only its key goes along with a claim."""
+    number = F.concat_ws("|", F.lit("="), _hashed("numeric"), F.col("expected").cast("double").cast("string"))
+    return F.when(F.col("numeric").isNotNull(), number).otherwise(_hashed("expected", "texts"))
+
+
+def figured() -> Column:
+    """The key of the spellings of a vocabulary's values with one figure."""
+    return F.concat_ws("|", F.lit("#"), "vocabulary", "num")
+
+
+def packed(spellings: DataFrame) -> DataFrame:
+    """(set, spellings): a row for each list."""
+    return spellings.groupBy("set").agg(F.collect_list(F.struct("cand_idx", "text", "norm", "value", "name", "claimed", "form", "num")).alias("spellings"))
+
+
+def others(words: DataFrame) -> DataFrame:
+    """The lists of figures, as ``packed`` gives them."""
+    return packed(words.select(figured().alias("set"), "cand_idx", "text", "norm", "value", "name", F.lit(False).alias("claimed"), "form", "num"))
+
+
+def lists(filed: DataFrame, numbers: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """The distinct lists of spellings, as ``packed`` gives them: the claims' own (``listed``), and those of figures (``figured``).
+
+    ``numbers`` as ``numeric`` gives them. Of a list that many claims share each spelling is normalized once.
+    """
+    specs, words = numbers
+    text = filed.filter("numeric is null").select(listed().alias("set"), "expected", "texts").dropDuplicates(["set"])
+    text = text.select("set", "expected", F.posexplode("texts").alias("cand_idx", "text")).withColumn("norm", T.normalize("text")).filter("norm <> ''")
+    first = F.row_number().over(Window.partitionBy("set", "norm").orderBy("cand_idx"))
+    text = text.withColumn("k", first).filter("k = 1").select("set", "cand_idx", "text", "norm", F.lit(0.0).alias("value"), F.col("expected").alias("name"), F.lit(True).alias("claimed"), F.lit(-1).alias("form"), F.lit("").alias("num"))
+    own = within(specs.select("vocabulary", "want", "tolerance").distinct(), words)
+    own = own.select(F.concat_ws("|", F.lit("="), "vocabulary", F.col("want").cast("string")).alias("set"), "cand_idx", "text", "norm", "value", "name", F.lit(True).alias("claimed"), "form", "num")
+    return packed(text).unionByName(packed(own)).unionByName(others(words))
 
 
 def numeric(filed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The numeric claims with the key of their vocabulary, and the spellings of each distinct vocabulary; both as tables.
 
-    A vocabulary is long and shared by many claims, so only its key, 128 bits of a hash, goes along with a claim; its values
-    are read again from one claim that has it.
+    A vocabulary is long and shared by many claims, so only its key, 128 bits of a hash, goes along with a claim.
     """
-    key = F.concat_ws("-", F.xxhash64("numeric").cast("string"), F.xxhash64(F.lit(1), "numeric").cast("string"))
+    specs = staged(filed.filter("numeric is not null").select("label", "claim", *specified()))
+    return specs, vocabularies(filed, specs)
+
+
+def specified() -> list[Column]:
+    """What goes along with a numeric claim; null for text."""
+    number = F.col("numeric").isNotNull()
+    return [F.when(number, F.col("expected").cast("double")).alias("want"), F.col("numeric.tolerance").alias("tolerance"), F.when(number, _hashed("numeric")).alias("vocabulary")]
+
+
+def vocabularies(filed: DataFrame, specs: DataFrame) -> DataFrame:
+    """The spellings of each distinct vocabulary, as a table; its values are read again from one claim that has it."""
     full = filed.filter("numeric is not null")
-    specs = staged(full.select("label", "claim", F.col("expected").cast("double").alias("want"), "numeric.tolerance", key.alias("vocabulary")))
     first = specs.groupBy("vocabulary", "claim").agg(F.min("label").alias("label")).groupBy("vocabulary").agg(F.min(F.struct("label", "claim")).alias("r"))
     first = staged(first.select("vocabulary", "r.*"))
-    one = full.join(first, ["label", "claim"]).filter(key == F.col("vocabulary")).select("vocabulary", "numeric.formats", "numeric.valid", "numeric.tolerance")
+    one = full.join(first, ["label", "claim"]).filter(_hashed("numeric") == F.col("vocabulary")).select("vocabulary", "numeric.formats", "numeric.valid", "numeric.tolerance")
     one = staged(one.dropDuplicates(["vocabulary"]))
-    return specs, staged(vocabulary(one).join(one.select("vocabulary", "tolerance"), "vocabulary"))
-
-
-def other_values(numbers: tuple[DataFrame, DataFrame], figures: DataFrame) -> DataFrame:
-    """Spellings of values that are not claimed, where a reading of the label holds the very figure; ``numbers`` as ``numeric`` gives them.
-
-    ``figures`` has columns label and num, and any others, which are kept. A vocabulary of
-    thousands of spellings is thus never expanded for each label.
-    """
-    specs, words = numbers
-    found = figures.join(shuffled(specs), "label").join(words.drop("tolerance"), ["vocabulary", "num"])
-    return found.filter(F.abs(F.col("value") - F.col("want")) > F.col("tolerance")).withColumn("claimed", F.lit(False)).drop("vocabulary", "want", "tolerance")
+    return staged(vocabulary(dealt(one, "vocabulary")).join(one.select("vocabulary", "tolerance"), "vocabulary"))
 
 
 def vocabulary(specs: DataFrame, key: str = "vocabulary") -> DataFrame:
