@@ -109,21 +109,31 @@ def successors(ordered: DataFrame, most: int = MAX_FOLLOW) -> DataFrame:
 
 
 def chains(ordered: DataFrame, edges: DataFrame, most: int = MAX_RUN) -> DataFrame:
-    """Every path of one to ``most`` boxes along the edges.
+    """Every path of one to ``most`` boxes along the edges; ``pos`` as ``reading_order`` numbers it.
 
     Columns: label, path (positions), box, text, confidence (the least), parts, widest (the
     longest member's normalized length). Ordering by ``path`` is the order of a depth-first walk.
+    A label's boxes, with those that follow each, are gathered once; paths grow within the label's row, so no
+    level of them is joined or written.
     """
-    node = ordered.select("label", F.col("pos").alias("b"), F.struct("x0", "y0", "x1", "y1").alias("nb"), F.col("text").alias("nt"), F.col("confidence").alias("nc"), F.length(T.normalize("text")).alias("nw"))
-    level = node.select("label", F.array("b").alias("path"), F.col("nb").alias("box"), F.col("nt").alias("text"), F.col("nc").alias("confidence"), F.lit(1).alias("parts"), F.col("nw").alias("widest"))
-    out = level
-    for _ in range(most - 1):
-        step = level.withColumn("a", F.element_at("path", -1)).join(shuffled(edges), ["label", "a"]).join(shuffled(node), ["label", "b"])
-        box = F.struct(F.least("box.x0", "nb.x0").alias("x0"), F.least("box.y0", "nb.y0").alias("y0"), F.greatest("box.x1", "nb.x1").alias("x1"), F.greatest("box.y1", "nb.y1").alias("y1"))
-        level = step.select("label", F.concat("path", F.array("b")).alias("path"), box.alias("box"), F.concat_ws(" ", "text", "nt").alias("text"), F.least("confidence", "nc").alias("confidence"), (F.col("parts") + 1).alias("parts"), F.greatest("widest", "nw").alias("widest"))
-        level = staged(level)  # the next level and the result both read it
-        out = out.unionByName(level)
-    return out
+    follow = edges.groupBy("label", F.col("a").alias("pos")).agg(F.collect_list("b").alias("next"))
+    node = ordered.select("label", "pos", F.struct("x0", "y0", "x1", "y1").alias("box"), "text", "confidence", F.length(T.normalize("text")).alias("w"))
+    node = node.join(shuffled(follow), ["label", "pos"], "left").withColumn("next", F.coalesce("next", F.array().cast("array<int>")))
+    out = node.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "box", "text", "confidence", "w", "next"))).alias("nodes"))
+
+    def path(*fields: Column) -> Column:
+        return F.struct(*[f.alias(c) for c, f in zip(("path", "box", "text", "confidence", "parts", "widest"), fields, strict=True)])
+
+    def longer(p: Column, n: Column) -> Column:
+        box = F.struct(*[g(p["box"][c], n["box"][c]).alias(c) for c, g in (("x0", F.least), ("y0", F.least), ("x1", F.greatest), ("y1", F.greatest))])
+        return path(F.concat(p["path"], F.array(n["pos"])), box, F.concat_ws(" ", p["text"], n["text"]), F.least(p["confidence"], n["confidence"]), p["parts"] + 1, F.greatest(p["widest"], n["w"]))
+
+    node_at = lambda k: F.get("nodes", k)
+    out = out.withColumn("level1", F.transform("nodes", lambda n: path(F.array(n["pos"]), n["box"], n["text"], n["confidence"], F.lit(1), n["w"])))
+    for k in range(1, most):
+        grown = lambda p: F.transform(node_at(F.element_at(p["path"], -1))["next"], lambda b: longer(p, node_at(b)))
+        out = out.withColumn(f"level{k + 1}", F.flatten(F.transform(f"level{k}", grown)))
+    return out.select("label", F.explode(F.concat(*[f"level{k + 1}" for k in range(most)])).alias("p")).select("label", "p.*")
 
 
 def one_for_each_reading(paths: DataFrame) -> DataFrame:
