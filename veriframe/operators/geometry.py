@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from veriframe.config import DEFAULT, MAX_FOLLOW, MAX_RUN, Options
 from veriframe.functions import text as T
-from veriframe.staging import shuffled, staged
+from veriframe.staging import dealt, shuffled, staged
 
 
 def kept(detections: DataFrame, options: Options = DEFAULT) -> DataFrame:
@@ -119,7 +119,8 @@ def chains(ordered: DataFrame, edges: DataFrame, most: int = MAX_RUN) -> DataFra
     follow = edges.groupBy("label", F.col("a").alias("pos")).agg(F.collect_list("b").alias("next"))
     node = ordered.select("label", "pos", F.struct("x0", "y0", "x1", "y1").alias("box"), "text", "confidence", F.length(T.normalize("text")).alias("w"))
     node = node.join(shuffled(follow), ["label", "pos"], "left").withColumn("next", F.coalesce("next", F.array().cast("array<int>")))
-    out = node.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "box", "text", "confidence", "w", "next"))).alias("nodes"))
+    # Many paths are made of a few boxes, so their tasks are not merged for being small.
+    out = dealt(node, "label").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "box", "text", "confidence", "w", "next"))).alias("nodes"))
 
     def path(*fields: Column) -> Column:
         return F.struct(*[f.alias(c) for c, f in zip(("path", "box", "text", "confidence", "parts", "widest"), fields, strict=True)])
